@@ -139,12 +139,15 @@ QUERIES = [
               SELECT r.id AS rule_id, s.tick, s.errors FROM valid_rules r JOIN sliding s
               ON s.window_minutes = r.window_minutes AND s.service IS NOT DISTINCT FROM r.service, bounds b
               WHERE s.errors >= r.threshold AND s.tick BETWEEN b.first_tick AND b.last_tick),
-            lists AS (SELECT rule_id, list(tick ORDER BY tick) AS ticks FROM over GROUP BY rule_id),
-            fired AS (
-              SELECT rule_id, ticks, ticks[1] AS tick FROM lists
+            marked AS (SELECT *, tick - row_number() OVER (PARTITION BY rule_id ORDER BY tick) AS run FROM over),
+            runs AS (SELECT rule_id, min(tick) AS a, max(tick) + 1 AS z, row_number() OVER (PARTITION BY rule_id ORDER BY min(tick)) AS k FROM marked GROUP BY rule_id, run),
+            walk AS (
+              SELECT rule_id, k, a AS begin_tick, z, a + CAST(ceil((z - a) / 10.0) AS BIGINT) * 10 AS free FROM runs WHERE k = 1
               UNION ALL
-              SELECT rule_id, ticks, list_filter(ticks[list_position(ticks, tick):list_position(ticks, tick) + 10], lambda x: x >= tick + 10)[1]
-              FROM fired WHERE list_filter(ticks[list_position(ticks, tick):list_position(ticks, tick) + 10], lambda x: x >= tick + 10)[1] IS NOT NULL)""", """
+              SELECT rule_id, r.k, greatest(r.a, w.free), r.z,
+                     CASE WHEN w.free >= r.z THEN w.free ELSE greatest(r.a, w.free) + CAST(ceil((r.z - greatest(r.a, w.free)) / 10.0) AS BIGINT) * 10 END
+              FROM walk w JOIN runs r USING (rule_id) WHERE r.k = w.k + 1),
+            fired AS (SELECT rule_id, unnest(range(begin_tick, z, 10)) AS tick FROM walk WHERE begin_tick < z)""", """
             SELECT f.rule_id, TIMESTAMP '1970-01-01' + f.tick * INTERVAL 1 MINUTE AS fired_at, o.errors
             FROM fired f JOIN over o USING (rule_id, tick)"""),
     ),

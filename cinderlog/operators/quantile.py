@@ -68,5 +68,6 @@ def exact_quantile(df: DataFrame, group: str, value: str, p: float, name: str) -
         F.max(F.when(F.col("slot") == 0, F.col("value"))).alias("low"),
         F.max(F.when(F.col("slot") == 1, F.col("value"))).alias("high"),
     ).join(sizes, group)
-    fraction = position - F.floor(position)
-    return ends.select(group, (F.col("low") + (F.col("high") - F.col("low")) * fraction).alias(name))
+    between = (F.ceil(position) - position) * F.col("low") + (position - F.floor(position)) * F.col("high")
+    exact = F.when(F.ceil(position) == F.floor(position), F.col("low")).otherwise(between)
+    return ends.select(group, exact.alias(name))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.functions.text import is_blank
 from cinderlog.functions.times import ISO_PATTERN
-from cinderlog.schemas import ATTRIBUTES, FUTURE_SLACK_MINUTES, LEVELS
+from cinderlog.schemas import FUTURE_SLACK_MINUTES, LEVELS
 from cinderlog.sources.batches import faulty_attributes, is_null_value, is_nested
 
 # An entry's id is its batch number and its index; a body under the size limit has fewer entries.
@@ -92,11 +92,14 @@ def validate(opened: DataFrame, as_of: Column) -> DataFrame:
     )
     latest = as_of.cast("timestamp") + F.expr(f"INTERVAL {FUTURE_SLACK_MINUTES} MINUTES")
     missing_text = lambda value, text: F.coalesce(_kind(value) != "STRING", F.lit(True)) | is_blank(text)
-    has_fault = F.coalesce(F.size(faulty_attributes(F.col("entry"))) > 0, F.lit(False))
+    # The text is only there where some attribute of the batch is faulty.
+    has_fault = F.col("raw").isNotNull() & F.coalesce(F.size(faulty_attributes(F.col("entry"))) > 0, F.lit(False))
+    is_object = F.coalesce(_kind(F.col("entry")).startswith("OBJECT"), F.lit(False))
     # The reasons.
     reason = (
         F.when(F.col("index").isNull(), None)
-        .when(~F.coalesce(_kind(F.col("entry")).startswith("OBJECT"), F.lit(False)), "entry must be an object")
+        # Only an object can have a timestamp, so the type of the others alone needs a look.
+        .when(stamp.isNull() & ~is_object, "entry must be an object")
         .when(_is_falsy(stamp, F.col("_stamp_text")), "timestamp is required")
         .when(F.col("timestamp").isNull(), "invalid timestamp")
         .when(F.date_trunc("millisecond", "timestamp") > latest, "timestamp too far in the future")
@@ -109,15 +112,14 @@ def validate(opened: DataFrame, as_of: Column) -> DataFrame:
         .when(~_absent(attributes) & ~_kind(attributes).startswith("OBJECT"), "attributes must be a flat object")
         .when(has_fault, _fault_reason(F.col("raw")))
     )
-    checked = fields.withColumn("reason", reason).withColumn(
-        "attributes",
-        F.when(
-            F.col("reason").isNull() & ~_absent(attributes),
-            F.try_variant_get("entry", "$.attributes", "map<string,string>"),
-        ),
+    result = F.struct(
+        reason.alias("reason"), "timestamp", "level", "service", "message",
+        F.try_variant_get("entry", "$.attributes", "map<string,string>").alias("attributes"),
     )
     kept = [c for c in opened.columns if c not in ("entry", "raw")]
-    return checked.select(*kept, "reason", "timestamp", "level", "service", "message", "attributes")
+    # As the output of a generator the result is computed once. A plain column would be computed
+    # again for a filter on it, since Spark moves filters below projections.
+    return fields.select(*kept, F.explode(F.array(result)).alias("r")).select(*kept, "r.*")
 
 
 def accepted(checked: DataFrame, *keys: str) -> DataFrame:
@@ -133,8 +135,7 @@ def rejected(checked: DataFrame, *keys: str) -> DataFrame:
 def with_ids(entries: DataFrame, batch_number: str = "batch_id") -> DataFrame:
     """Ids that order by batch and index and come out the same when a batch is replayed."""
     row_id = F.shiftleft(F.col(batch_number).cast("long"), INDEX_BITS) + F.col("index")
-    attributes = F.col("attributes").cast(ATTRIBUTES)
-    return entries.select(row_id.alias("id"), "timestamp", "level", "service", "message", attributes.alias("attributes"))
+    return entries.select(row_id.alias("id"), "timestamp", "level", "service", "message", "attributes")
 
 
 def batch_results(checked: DataFrame, key: str = "batch_id") -> DataFrame:

@@ -13,7 +13,7 @@ MAX_BODY_BYTES = 20 * 1024 * 1024
 FUTURE_SLACK_MINUTES = 5
 ALERT_COOLDOWN_MINUTES = 10
 
-ATTRIBUTES = T.MapType(T.StringType(), T.StringType(), False)
+ATTRIBUTES = T.MapType(T.StringType(), T.StringType())
 
 LOGS = T.StructType([
     T.StructField("id", T.LongType(), False),

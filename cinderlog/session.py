@@ -23,6 +23,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         .appName("cinderlog")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
     )
