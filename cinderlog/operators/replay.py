@@ -21,6 +21,7 @@ from cinderlog.schemas import ALERT_COOLDOWN_MINUTES
 
 DAY = 1440
 PAIR = ["service", "window_minutes"]
+RULE = PAIR + ["threshold"]
 
 
 def _day(tick: Column) -> Column:
@@ -37,8 +38,16 @@ def sliding_counts(logs: DataFrame, rules: DataFrame, start: datetime, end: date
 
     Given as (service, window_minutes, tick_from, tick_to, errors): the count holds for the ticks
     tick_from <= tick < tick_to, numbered in minutes since the epoch. Intervals end where the count
-    may change and at midnight. The count is a running sum of errors entering and leaving the
-    window, taken within days on top of the sum of the days before.
+    may change and at midnight.
+    """
+    return _steps(logs, rules, start, end).select(*PAIR, "tick_from", "tick_to", "errors")
+
+
+def _steps(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """The intervals with their day, and `before`, the count just before (NULL at a day's start).
+
+    The count is a running sum of errors entering and leaving the window, taken within days on top
+    of the sum of the days before.
     """
     first, last = epoch_minute(start) + 1, epoch_minute(end)
     dtype = time_type(logs, "timestamp")
@@ -78,11 +87,14 @@ def sliding_counts(logs: DataFrame, rules: DataFrame, start: datetime, end: date
     )
     in_day = Window.partitionBy(*PAIR, "day").orderBy("tick")
     day_end = F.least((F.col("day") + 1) * DAY, F.lit(last + 1))
+    errors = F.col("carried") + F.sum("delta").over(in_day)
     return points.join(carried, same).select(
         *PAIR,
+        "day",
         F.col("tick").alias("tick_from"),
         F.coalesce(F.lead("tick").over(in_day), day_end).alias("tick_to"),
-        (F.col("carried") + F.sum("delta").over(in_day)).alias("errors"),
+        errors.alias("errors"),
+        F.when(F.lag("tick").over(in_day).isNotNull(), errors - F.col("delta")).alias("before"),
     )
 
 
@@ -94,67 +106,107 @@ def _fires(span: Column, free: Column) -> tuple[Column, Column]:
     return begin, F.when(begin < span["b"], begin + times.cast("long") * cooldown).otherwise(free)
 
 
-def _free_after(spans: Column, free: Column) -> Column:
-    return F.aggregate(spans, free, lambda acc, span: _fires(span, acc)[1])
+def _free_after(runs: Column, free: Column) -> Column:
+    return F.aggregate(runs, free, lambda acc, run: _fires(run, acc)[1])
 
 
-def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
-    """(rule_id, fired_at, errors) for every alert the rules would have raised in (start, end]."""
-    counts = sliding_counts(logs, rules, start, end)
-    wanted = rules.select(
-        F.col("id").alias("rule_id"), rule_scope(F.col("service")).alias("_scope"),
-        F.col("window_minutes").cast("long").alias("_window"), F.col("threshold").cast("long"),
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, Column]:
+    """The right side with its keys renamed, and the condition that all keys are the same."""
+    renamed = right.withColumnsRenamed({key: f"_{key}" for key in keys})
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & left[key].eqNullSafe(renamed[f"_{key}"])
+    return renamed, condition
+
+
+def _runs(steps: DataFrame, rules: DataFrame) -> DataFrame:
+    """Per (service, window, threshold) and day: `runs`, the intervals at or over the threshold.
+
+    A change of the count only concerns the thresholds it steps over, so the work grows with the
+    changes and not with the number of rules.
+    """
+    levels = rules.where("window_minutes > 0").groupBy(
+        rule_scope(F.col("service")).alias("service"), F.col("window_minutes").cast("long").alias("window_minutes")
+    ).agg(F.collect_set(F.col("threshold").cast("long")).alias("levels"))
+    levels, same = _null_safe(steps, levels, PAIR)
+    errors, before = F.col("errors"), F.col("before")
+
+    def crossed(level: Column) -> Column:
+        return F.when(before.isNull(), level <= errors).otherwise((level <= errors) != (level <= before))
+
+    crossings = steps.join(levels, same).select(
+        *PAIR, "day", "tick_from", "errors", F.explode(F.filter("levels", crossed)).alias("threshold")
     )
-    same = counts["service"].eqNullSafe(wanted["_scope"]) & (counts["window_minutes"] == wanted["_window"])
-    over = counts.join(wanted, same).where(F.col("errors") >= F.col("threshold"))
-    spans = over.groupBy("rule_id", _day(F.col("tick_from")).alias("day")).agg(
-        F.sort_array(F.collect_list(F.struct(
-            F.col("tick_from").alias("a"), F.col("tick_to").alias("b"), F.col("errors").alias("n")
-        ))).alias("spans")
+    order = Window.partitionBy(*PAIR, "threshold", "day").orderBy("tick_from")
+    # The last interval of a day may run past the end of the replay; firing stops there.
+    run = F.struct(F.col("tick_from").alias("a"), F.coalesce("next", (F.col("day") + 1) * DAY).alias("b"))
+    return (
+        crossings.withColumn("next", F.lead("tick_from").over(order))
+        .where(F.col("errors") >= F.col("threshold"))
+        .groupBy(*PAIR, "threshold", "day").agg(F.sort_array(F.collect_list(run)).alias("runs"))
     )
-    # What each possible cooldown left over at midnight becomes by the next midnight.
+
+
+def _waits(runs: DataFrame) -> DataFrame:
+    """`wait`: the minutes of cooldown left over when a day starts."""
     starts = F.sequence(F.lit(0), F.lit(ALERT_COOLDOWN_MINUTES - 1))
+    none = F.lit(0).cast("long")
     next_day = (F.col("day") + 1) * DAY
+    # What each possible wait at midnight becomes by the next midnight.
     left = F.transform(
         starts,
-        lambda wait: F.greatest(
-            _free_after(F.col("spans"), F.col("day") * DAY + wait.cast("long")) - next_day, F.lit(0).cast("long")
-        ),
+        lambda wait: F.greatest(_free_after(F.col("runs"), F.col("day") * DAY + wait.cast("long")) - next_day, none),
     )
-    tables = spans.select("rule_id", F.struct("day", left.alias("left")).alias("step"))
-    steps = tables.groupBy("rule_id").agg(F.sort_array(F.collect_list("step")).alias("steps"))
+    tables = runs.select(*RULE, F.struct("day", left.alias("left")).alias("step"))
+    steps = tables.groupBy(*RULE).agg(F.sort_array(F.collect_list("step")).alias("steps"))
     nothing = F.struct(
-        F.lit(-1).cast("long").alias("day"), F.lit(0).cast("long").alias("wait"),
+        F.lit(-1).cast("long").alias("day"), none.alias("wait"),
         F.array().cast("array<struct<day:bigint,wait:bigint>>").alias("out"),
     )
 
     def chain(acc: Column, step: Column) -> Column:
         # A day without candidates in between is longer than any cooldown.
-        wait = F.when(acc["day"] + 1 == step["day"], acc["wait"]).otherwise(F.lit(0).cast("long"))
+        wait = F.when(acc["day"] + 1 == step["day"], acc["wait"]).otherwise(none)
         return F.struct(
             step["day"].alias("day"),
             F.element_at(step["left"], (wait + 1).cast("int")).alias("wait"),
             F.concat(acc["out"], F.array(F.struct(step["day"].alias("day"), wait.alias("wait")))).alias("out"),
         )
 
-    known = steps.select(
-        "rule_id", F.explode(F.aggregate("steps", nothing, chain, lambda acc: acc["out"])).alias("s")
-    ).select("rule_id", "s.day", "s.wait")
+    waits = F.aggregate("steps", nothing, chain, lambda acc: acc["out"])
+    return steps.select(*RULE, F.explode(waits).alias("w")).select(*RULE, "w.day", "w.wait")
+
+
+def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
+    """(rule_id, fired_at, errors) for every alert the rules would have raised in (start, end].
+
+    Rules that agree in service, window and threshold fire alike and are replayed once.
+    """
+    steps = _steps(logs, rules, start, end)
+    runs = _runs(steps, rules)
+    waits, same_day = _null_safe(runs, _waits(runs), RULE + ["day"])
 
-    def fire(acc: Column, span: Column) -> Column:
-        begin, free = _fires(span, acc["free"])
-        ticks = F.when(
-            begin < span["b"], F.sequence(begin, span["b"] - 1, F.lit(ALERT_COOLDOWN_MINUTES).cast("long"))
-        ).otherwise(F.array().cast("array<bigint>"))
-        new = F.transform(ticks, lambda t: F.struct(t.alias("tick"), span["n"].alias("errors")))
-        return F.struct(free.alias("free"), F.concat(acc["out"], new).alias("out"))
+    def fire(acc: Column, run: Column) -> Column:
+        begin, free = _fires(run, acc["free"])
+        every = F.lit(ALERT_COOLDOWN_MINUTES).cast("long")
+        ticks = F.when(begin < run["b"], F.sequence(begin, run["b"] - 1, every)).otherwise(F.array().cast("array<bigint>"))
+        return F.struct(free.alias("free"), F.concat(acc["out"], ticks).alias("out"))
 
     initial = F.struct(
-        (F.col("day") * DAY + F.col("wait")).alias("free"),
-        F.array().cast("array<struct<tick:bigint,errors:bigint>>").alias("out"),
+        (F.col("day") * DAY + F.col("wait")).alias("free"), F.array().cast("array<bigint>").alias("out"),
     )
-    fired = spans.join(known, ["rule_id", "day"]).select(
-        "rule_id", F.explode(F.aggregate("spans", initial, fire, lambda acc: acc["out"])).alias("f")
+    ticks = F.aggregate("runs", initial, fire, lambda acc: acc["out"])
+    fired = runs.join(waits, same_day).select(*RULE, "day", F.explode(ticks).alias("tick"))
+    fired = fired.where(F.col("tick") <= epoch_minute(end))
+    # The count at a firing is that of the interval it falls into.
+    counts = steps.select(*PAIR, F.lit(None).cast("long").alias("threshold"), "day", F.col("tick_from").alias("tick"), "errors")
+    both = counts.unionByName(fired.withColumn("errors", F.lit(None).cast("long")))
+    upto = Window.partitionBy(*PAIR, "day").orderBy("tick", F.asc_nulls_first("threshold"))
+    filled = both.withColumn("errors", F.last("errors", ignorenulls=True).over(upto)).where("threshold IS NOT NULL")
+    asked = rules.select(
+        F.col("id").alias("rule_id"), rule_scope(F.col("service")).alias("service"),
+        F.col("window_minutes").cast("long").alias("window_minutes"), F.col("threshold").cast("long").alias("threshold"),
     )
-    fired_at = minute_to_time(F.col("f.tick"), time_type(logs, "timestamp"))
-    return fired.select("rule_id", fired_at.alias("fired_at"), F.col("f.errors").alias("errors"))
+    asked, same_rule = _null_safe(filled, asked, RULE)
+    fired_at = minute_to_time(F.col("tick"), time_type(logs, "timestamp"))
+    return filled.join(asked, same_rule).select("rule_id", fired_at.alias("fired_at"), "errors")
