@@ -26,6 +26,15 @@ def _text(field: str) -> Column:
     return F.try_variant_get("entry", f"$.{field}", "string")
 
 
+def _value(field: str) -> Column:
+    return F.try_variant_get("entry", f"$.{field}", "variant")
+
+
+def _is_missing_text(field: str) -> Column:
+    """Not a string, or a blank one."""
+    return F.coalesce(_kind(_value(field)) != "STRING", F.lit(True)) | is_blank(F.col(field))
+
+
 def _is_falsy(value: Column, text: Column) -> Column:
     """Missing, null, empty text, false or zero."""
     zero = F.coalesce(text.try_cast("double") == 0, F.lit(False)) | (text == "false")
@@ -70,56 +79,49 @@ def validate(opened: DataFrame, as_of: Column) -> DataFrame:
     `as_of` is one instant per batch: a literal, or the micro-batch's own time column. Rows without
     an entry (empty or bad batches) pass through with NULL `index` and NULL `reason`.
     """
-    level, stamp = F.col("_level"), F.col("_stamp")
-    service, message, attributes = F.col("_service"), F.col("_message"), F.col("_attributes")
+    # Sound entries only pay for the typed fields here. What a value is, beyond its text, is looked
+    # up inside the branches for entries that failed a check.
     fields = opened.select(
         "*",
-        *[
-            F.try_variant_get("entry", f"$.{name}", "variant").alias(f"_{alias}")
-            for name, alias in (
-                ("timestamp", "stamp"), ("level", "level"), ("service", "service"),
-                ("message", "message"), ("attributes", "attributes"),
-            )
-        ],
         *[_text(name).alias(name) for name in ("level", "service", "message")],
-        _text("timestamp").alias("_stamp_text"),
+        _text("timestamp").alias("stamp"),
+        F.try_variant_get("entry", "$.attributes", "map<string,string>").alias("attributes"),
     ).withColumn(
-        "timestamp",
-        F.when(
-            (_kind(stamp) == "STRING") & F.col("_stamp_text").rlike(ISO_PATTERN),
-            F.col("_stamp_text").try_cast("timestamp"),
-        ),
+        "timestamp", F.when(F.col("stamp").rlike(ISO_PATTERN), F.col("stamp").try_cast("timestamp"))
     )
+    entry, level, attributes = F.col("entry"), F.col("level"), F.col("attributes")
     latest = as_of.cast("timestamp") + F.expr(f"INTERVAL {FUTURE_SLACK_MINUTES} MINUTES")
-    missing_text = lambda value, text: F.coalesce(_kind(value) != "STRING", F.lit(True)) | is_blank(text)
+    is_object = F.coalesce(_kind(entry).startswith("OBJECT"), F.lit(False))
     # The text is only there where some attribute of the batch is faulty.
-    has_fault = F.col("raw").isNotNull() & F.coalesce(F.size(faulty_attributes(F.col("entry"))) > 0, F.lit(False))
-    is_object = F.coalesce(_kind(F.col("entry")).startswith("OBJECT"), F.lit(False))
+    has_fault = F.col("raw").isNotNull() & F.coalesce(F.size(faulty_attributes(entry)) > 0, F.lit(False))
     # The reasons.
+    bad_time = (
+        F.when(~is_object, "entry must be an object")
+        .when(_is_falsy(_value("timestamp"), F.col("stamp")), "timestamp is required")
+        .otherwise("invalid timestamp")
+    )
     reason = (
         F.when(F.col("index").isNull(), None)
-        # Only an object can have a timestamp, so the type of the others alone needs a look.
-        .when(stamp.isNull() & ~is_object, "entry must be an object")
-        .when(_is_falsy(stamp, F.col("_stamp_text")), "timestamp is required")
-        .when(F.col("timestamp").isNull(), "invalid timestamp")
+        .when(F.col("timestamp").isNull(), bad_time)
         .when(F.date_trunc("millisecond", "timestamp") > latest, "timestamp too far in the future")
+        # No number, flag or list reads like a level.
         .when(
-            F.coalesce(_kind(level) != "STRING", F.lit(True)) | ~F.col("level").isin(*LEVELS),
-            F.concat(F.lit("invalid level: '"), _shown_level(level, F.col("level")), F.lit("'")),
+            ~F.coalesce(level.isin(*LEVELS), F.lit(False)),
+            F.concat(F.lit("invalid level: '"), _shown_level(_value("level"), level), F.lit("'")),
         )
-        .when(missing_text(service, F.col("service")), "service is required")
-        .when(missing_text(message, F.col("message")), "message is required")
-        .when(~_absent(attributes) & ~_kind(attributes).startswith("OBJECT"), "attributes must be a flat object")
+        .when(_is_missing_text("service"), "service is required")
+        .when(_is_missing_text("message"), "message is required")
+        .when(attributes.isNull() & ~_absent(_value("attributes")), "attributes must be a flat object")
         .when(has_fault, _fault_reason(F.col("raw")))
     )
     result = F.struct(
-        reason.alias("reason"), "timestamp", "level", "service", "message",
-        F.try_variant_get("entry", "$.attributes", "map<string,string>").alias("attributes"),
+        reason.alias("reason"), "timestamp", "level", "service", "message", "attributes",
     )
     kept = [c for c in opened.columns if c not in ("entry", "raw")]
     # As the output of a generator the result is computed once. A plain column would be computed
     # again for a filter on it, since Spark moves filters below projections.
-    return fields.select(*kept, F.explode(F.array(result)).alias("r")).select(*kept, "r.*")
+    results = fields.select(*kept, F.array(result).alias("results"))
+    return results.select(*kept, F.explode_outer("results").alias("r")).select(*kept, "r.*")
 
 
 def accepted(checked: DataFrame, *keys: str) -> DataFrame:
