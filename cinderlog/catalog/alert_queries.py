@@ -114,7 +114,7 @@ QUERIES = [
     ),
     Query(
         "notifications_from_alerts", lambda spark, sf: n.alert_notifications(_firing(spark, sf), d.AS_OF),
-        with_ctes(COUNTS, """SELECT 'alert' AS type, concat('Alert: ', coalesce(service, 'all')) AS title,
+        with_ctes(COUNTS, """SELECT id AS rule_id, 'alert' AS type, concat('Alert: ', coalesce(service, 'all')) AS title,
             concat(errors, ' errors in ', window_minutes, ' min (threshold: ', threshold, ')') AS message, service, 'error' AS level,
             false AS is_read, TIMESTAMP '2024-01-31 00:00:00' AS created_at FROM firing"""),
     ),

@@ -236,7 +236,7 @@ QUERIES = [
     Query(
         "top_errors", lambda spark, sf: m.top_errors(d.documents(spark, sf)),
         with_ctes(d.DOCS, """SELECT regexp_replace(message, '[0-9]+', '#', 'g') AS template, count(*) AS count, min(timestamp) AS first_seen,
-            max(timestamp) AS last_seen FROM docs WHERE level = 'error' GROUP BY 1 ORDER BY count DESC, template LIMIT 10"""),
+            max(timestamp) AS last_seen FROM docs WHERE level = 'error' GROUP BY 1 ORDER BY count DESC, first_seen, md5(template) LIMIT 10"""),
     ),
     Query(
         "volume_trend", _trend,

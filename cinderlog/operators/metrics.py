@@ -177,12 +177,21 @@ def summary_page(summary: DataFrame, page: int = 1, by: str = "service", size: i
 
 
 def top_errors(logs: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent error messages, alike up to their digits."""
-    errors = logs.where(F.col("level") == "error").select("timestamp", mask_digits(F.col("message")).alias("template"))
-    clusters = errors.groupBy("template").agg(
+    """Most frequent error messages, alike up to their digits; the earlier one first among equals.
+
+    Messages may be long, so they are counted by digest, and only the texts of the winners, at
+    most `top` of them, are fetched afterwards.
+    """
+    template = mask_digits(F.col("message"))
+    errors = logs.where(F.col("level") == "error").select("timestamp", template.alias("template"))
+    errors = errors.withColumn("digest", F.md5("template"))
+    clusters = errors.groupBy("digest").agg(
         F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
     )
-    return clusters.orderBy(F.desc("count"), "template").limit(top)
+    winners = clusters.orderBy(F.desc("count"), "first_seen", "digest").limit(top)
+    texts = errors.join(F.broadcast(winners), "digest").groupBy("digest", "count", "first_seen", "last_seen")
+    named = texts.agg(F.first("template").alias("template"))
+    return named.select("template", "count", "first_seen", "last_seen").orderBy(F.desc("count"), "first_seen")
 
 
 def volume_change(buckets: DataFrame) -> DataFrame:

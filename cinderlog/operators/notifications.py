@@ -15,6 +15,7 @@ def alert_notifications(firing: DataFrame, as_of: datetime) -> DataFrame:
     scope = rule_scope(F.col("service"))
     now = literal_like(as_of, time_type(firing, "last_triggered_at"))
     return firing.select(
+        F.col("id").alias("rule_id"),
         F.lit("alert").alias("type"),
         F.format_string("Alert: %s", F.coalesce(scope, F.lit("all"))).alias("title"),
         F.format_string("%d errors in %d min (threshold: %d)", "errors", "window_minutes", "threshold").alias("message"),

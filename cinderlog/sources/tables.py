@@ -2,7 +2,7 @@
 
 logs       log_date=/epoch=   rows sorted by (service, timestamp, id) inside each file
 deltas     epoch=             roll-up deltas, one folder per micro-batch
-compact    upto=<epoch>_<generation>   roll-up with every delta up to that epoch summed in
+compact    upto=<epoch>_<generation>/log_date=   roll-up with every delta up to that epoch summed in
 rejected, quarantine, alerts, notifications   epoch=
 rules      version=           snapshots; the newest counts
 
@@ -16,11 +16,11 @@ import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cinderlog.operators.rollup import compacted, merge_deltas, rollup_kept
+from cinderlog.operators.rollup import compacted, rollup_kept
 from cinderlog.schemas import NOTIFICATIONS, ROLLUP, RULES, STORED_LOGS
 
 EPOCH = T.StructField("epoch", T.LongType(), False)
@@ -106,8 +106,8 @@ class LogStore:
     # Roll-up
 
     def append_rollup(self, deltas: DataFrame, epoch: int) -> None:
-        """Deltas are already one row per minute, service and level; few files are enough."""
-        self.write_epoch(deltas.coalesce(8), "deltas", epoch)
+        """Rebalancing sizes the files by their bytes: one for a small batch, many for a big one."""
+        self.write_epoch(deltas.hint("rebalance"), "deltas", epoch)
 
     def _compact_folders(self) -> list[tuple[int, int, str]]:
         """(last epoch summed in, generation, path) of the compacted folders."""
@@ -118,17 +118,20 @@ class LogStore:
     def _current_compact(self) -> tuple[int, int, str] | None:
         return max((f for f in self._compact_folders() if self._complete(f[2])), default=None)
 
-    def _rollup_parts(self) -> list[DataFrame]:
+    def _deltas(self, where: Column) -> DataFrame:
+        deltas = self.read_epochs("deltas", ROLLUP).where(where)
+        return deltas.select(*ROLLUP.names, F.to_date("bucket_start").alias("log_date"))
+
+    def rollup(self, upto: int | None = None) -> DataFrame:
+        """Compacted part and later deltas together; always sum the counts. Dated, so that ranges
+        open only the days they need of the compacted part."""
         base = self._current_compact()
-        deltas = self.read_epochs("deltas", ROLLUP)
+        epoch = F.col("epoch")
+        pending = (epoch > base[0]) if base else epoch.isNotNull()
+        deltas = self._deltas(pending if upto is None else pending & (epoch <= upto))
         if not base:
-            return [deltas]
-        upto, _, path = base
-        return [self.spark.read.schema(ROLLUP).parquet(path), deltas.where(F.col("epoch") > upto)]
-
-    def rollup(self) -> DataFrame:
-        """Compacted part and later deltas together; always sum the counts."""
-        return merge_deltas(*self._rollup_parts())
+            return deltas
+        return self.spark.read.schema(deltas.schema).parquet(base[2]).unionByName(deltas)
 
     def compact_rollup(self, drop_before: datetime | None = None) -> int:
         """Sum the finished deltas into a new compacted folder, optionally without expired minutes.
@@ -140,12 +143,12 @@ class LogStore:
         base = self._current_compact()
         upto = max(epochs + ([base[0]] if base else []), default=-1)
         generation = base[1] + 1 if base else 0
-        *older, deltas = self._rollup_parts()
-        rows = compacted(merge_deltas(*older, deltas.where(F.col("epoch") <= upto)))
+        rows = compacted(self.rollup(upto))
         if drop_before:
             rows = rollup_kept(rows, drop_before)
-        spread = rows.hint("rebalance").sortWithinPartitions("bucket_start", "service")
-        spread.write.mode("overwrite").parquet(f"{self.path('compact')}/upto={upto}_{generation}")
+        dated = rows.withColumn("log_date", F.to_date("bucket_start")).hint("rebalance", F.col("log_date"))
+        ordered = dated.sortWithinPartitions("log_date", "service", "bucket_start")
+        ordered.write.mode("overwrite").partitionBy("log_date").parquet(f"{self.path('compact')}/upto={upto}_{generation}")
         for _, number, path in self._compact_folders():
             if number < generation:
                 self._drop(path)
@@ -169,7 +172,7 @@ class LogStore:
     # Rules
 
     def save_rules(self, rules: DataFrame, version: int) -> None:
-        rules.coalesce(1).write.mode("overwrite").parquet(f"{self.path('rules')}/version={version}")
+        rules.hint("rebalance").write.mode("overwrite").parquet(f"{self.path('rules')}/version={version}")
 
     def rules_version(self, before: int | None = None) -> int | None:
         done = [int(k) for k, path in self.folders("rules", "version").items() if self._complete(path)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,16 +14,14 @@ from cinderlog.operators.retention import RETENTION_DAYS, cutoff, expired_count
 from cinderlog.schemas import NOTIFICATIONS, RULES
 from cinderlog.sources.tables import LogStore
 
-# Notification ids: the run's number, the kind of run, and the position inside it.
-KIND_BITS, POSITION_BITS = 1, 24
+# A notification's id is the run's number, the kind of run, and the rule's id (below 2^31).
+RULE_BITS = 31
 ALERT_KIND, RETENTION_KIND = 0, 1
 
 
-def _write_notifications(store: LogStore, rows: DataFrame, run: int, kind: int) -> None:
-    """At most one row per rule and run, so numbering them in one task is safe."""
-    position = F.row_number().over(Window.orderBy("title", "message", "service")).cast("long") - 1
-    number = (run << KIND_BITS) | kind
-    numbered = rows.withColumn("id", F.lit(number << POSITION_BITS) + position)
+def _write_notifications(store: LogStore, rows: DataFrame, run: int, kind: int, position: Column) -> None:
+    number = 2 * run + kind
+    numbered = rows.withColumn("id", F.lit(number << RULE_BITS) + position)
     numbered = numbered.withColumn("created_at", F.col("created_at").cast("timestamp"))
     store.write_epoch(numbered.select(*NOTIFICATIONS.names), "notifications", number)
 
@@ -35,7 +33,7 @@ def alert_tick(store: LogStore, as_of: datetime, tick: int) -> None:
     fired = alerts_firing(store.logs(), rules, as_of).persist()
     try:
         store.write_epoch(alert_payloads(fired, as_of), "alerts", tick)
-        _write_notifications(store, alert_notifications(fired, as_of), tick, ALERT_KIND)
+        _write_notifications(store, alert_notifications(fired, as_of), tick, ALERT_KIND, F.col("rule_id"))
         store.save_rules(rules_after(rules, fired, as_of).select(*RULES.names), tick)
     finally:
         fired.unpersist()
@@ -64,5 +62,5 @@ def run_retention(store: LogStore, as_of: datetime, run: int, days: int = RETENT
     store.compact_rollup(drop_before=limit)
     report = store.spark.range(1).select(F.lit(deleted).cast("long").alias("deleted"))
     notice = retention_notification(report, days, as_of, NOTIFICATIONS["created_at"].dataType)
-    _write_notifications(store, notice, run, RETENTION_KIND)
+    _write_notifications(store, notice, run, RETENTION_KIND, F.lit(0))
     return deleted
