@@ -9,65 +9,68 @@ from cinderlog.sources.workspace import written
 
 # Bins are logarithmic: 128 per factor e (at most some thousand in practice), then 4096 times finer.
 COARSE, FINE = 128, 128 * 4096
+# Up to this many rows in a coarse bin its values are sorted directly.
+DIRECT_ROWS = 5_000_000
 
 
 def _bin(value: Column, scale: int) -> Column:
     """A bin number that never decreases as the value grows."""
-    offset = 1000 * scale
-    size = lambda v: F.floor(F.ln(v) * scale) + offset
-    return F.when(value > 0, size(value)).when(value < 0, -size(-value)).otherwise(0).cast("long")
+    def size(v: Column) -> Column:
+        return F.floor(F.ln(v) * scale) + 1000 * scale
 
+    return F.when(value > 0, size(value)).when(value < 0, -size(-value)).when(value == 0, 0).cast("long")
 
-def _narrow(rows: DataFrame, targets: DataFrame, group: str, scale: int) -> tuple[DataFrame, DataFrame]:
-    """Keep only the rows of the bins that hold the wanted ranks.
 
-    `targets` has (group, parent, rank): which row of which parent bin is wanted, counting from 0.
-    Bin counts are exact, so the ranks inside the chosen bins are too.
-    """
-    binned = rows.withColumn("bin", _bin(F.col("value"), scale))
-    counts = binned.groupBy(group, "parent", "bin").agg(F.count("*").alias("n"))
-    # At most a few thousand bins per parent.
-    order = Window.partitionBy(group, "parent").orderBy("bin")
+def histogram(df: DataFrame, group: str, value: str, *figures: Column) -> DataFrame:
+    """(group, bin, n, figures): a row count per coarse bin, NULL values in the bin NULL, and any
+    other figures that can be added up. Small, and written out, so that it costs one scan."""
+    binned = df.groupBy(group, _bin(F.col(value).cast("double"), COARSE).alias("bin"))
+    return written(binned.agg(F.count("*").alias("n"), *figures), "histogram")
+
+
+def _located(counts: DataFrame, targets: DataFrame, keys: list[str], item: str) -> DataFrame:
+    """For each target (keys, slot, rank), the item whose rows hold that rank, and the rank
+    inside the item. Ranks count from 0 in item order."""
+    order = Window.partitionBy(*keys).orderBy(item)
     placed = counts.withColumn("before", F.sum("n").over(order) - F.col("n"))
-    chosen = placed.join(targets, [group, "parent"]).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    )
-    found = written(
-        chosen.select(group, F.col("bin").alias("parent"), "slot", (F.col("rank") - F.col("before")).alias("rank")),
-        "quantile-bins",
-    )
-    bins = found.select(group, F.col("parent").alias("bin")).distinct()
-    kept = binned.join(bins, [group, "bin"]).select(group, F.col("bin").alias("parent"), "value")
-    return kept, found
+    hit = (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
+    found = placed.join(targets, keys).where(hit)
+    return found.select(*keys, "slot", item, (F.col("rank") - F.col("before")).alias("rank"), "n")
 
 
-def exact_quantile(df: DataFrame, group: str, value: str, p: float, name: str) -> DataFrame:
-    """(group, name): the p-quantile with linear interpolation, per group.
+def exact_quantile(
+    df: DataFrame, bins: DataFrame, group: str, value: str, p: float, name: str, direct_rows: int = DIRECT_ROWS
+) -> DataFrame:
+    """(group, name): the p-quantile with linear interpolation, per group; `bins` is the histogram.
 
-    Two counting passes narrow each group down to the one or two bins around the wanted rank; what
-    remains of even the largest group is tiny. The list of bins is written out, so that its size is
-    known: Spark broadcasts it while small, and otherwise joins on (group, bin), which spreads a
-    hot group over many tasks.
+    The histogram tells the one or two bins around the wanted rank. Only their rows are taken, in a
+    second scan. Where a bin is still large, finer bins narrow it down once more, so that what
+    remains of even the largest group is tiny. The lists of bins are written out, so that their size
+    is known: Spark broadcasts them while small, and otherwise joins on (group, bin), which spreads
+    a hot group over many tasks.
     """
-    rows = df.where(F.col(value).isNotNull()).select(group, F.lit(0).cast("long").alias("parent"), F.col(value).cast("double").alias("value"))
-    sizes = rows.groupBy(group).agg(F.count("*").alias("n"))
-    position = F.lit(p) * (F.col("n") - 1)
-    wanted = sizes.select(
-        group, F.lit(0).cast("long").alias("parent"),
-        F.posexplode(F.array(F.floor(position), F.ceil(position))).alias("slot", "rank"),
-    )
-    kept, targets = _narrow(rows, wanted, group, COARSE)
-    kept, targets = _narrow(kept, targets, group, FINE)
-    values = kept.groupBy(group, "parent", "value").agg(F.count("*").alias("n"))
-    order = Window.partitionBy(group, "parent").orderBy("value")
-    placed = values.withColumn("before", F.sum("n").over(order) - F.col("n"))
-    picked = placed.join(targets, [group, "parent"]).where(
-        (F.col("rank") >= F.col("before")) & (F.col("rank") < F.col("before") + F.col("n"))
-    )
-    ends = picked.groupBy(group).agg(
+    counts = bins.where("bin IS NOT NULL").select(group, "bin", "n")
+    sizes = counts.groupBy(group).agg(F.sum("n").alias("size"))
+    position = F.lit(p) * (F.col("size") - 1)
+    wanted = sizes.select(group, F.posexplode(F.array(F.floor(position), F.ceil(position))).alias("slot", "rank"))
+    keys = [group, "bin"]
+    targets = written(_located(counts, wanted, [group], "bin"), "quantile-bins")
+    number = F.col(value).cast("double")
+    rows = df.where(number.isNotNull()).select(group, _bin(number, COARSE).alias("bin"), number.alias("value"))
+    rows = rows.join(targets.select(*keys).distinct(), keys)
+    # The size of the largest of these bins, one number.
+    largest = targets.agg(F.max("n")).first()[0] or 0
+    if largest > direct_rows:
+        rows = written(rows, "quantile-rows").withColumn("fine", _bin(F.col("value"), FINE))
+        counts = rows.groupBy(*keys, "fine").agg(F.count("*").alias("n"))
+        targets = written(_located(counts, targets.drop("n"), keys, "fine"), "quantile-fine-bins")
+        keys = [group, "bin", "fine"]
+        rows = rows.join(targets.select(*keys).distinct(), keys)
+    values = rows.groupBy(*keys, "value").agg(F.count("*").alias("n"))
+    picked = _located(values, targets.drop("n"), keys, "value").groupBy(group).agg(
         F.max(F.when(F.col("slot") == 0, F.col("value"))).alias("low"),
         F.max(F.when(F.col("slot") == 1, F.col("value"))).alias("high"),
-    ).join(sizes, group)
+    )
     between = (F.ceil(position) - position) * F.col("low") + (position - F.floor(position)) * F.col("high")
     exact = F.when(F.ceil(position) == F.floor(position), F.col("low")).otherwise(between)
-    return ends.select(group, exact.alias(name))
+    return picked.join(sizes, group).select(group, exact.alias(name))

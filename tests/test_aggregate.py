@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cinderlog.operators import metrics as m
 from cinderlog.operators.aggregate import aggregate, aggregate_exact, aggregate_raw, aggregate_rollup, aggregate_with_pending
-from cinderlog.operators.quantile import exact_quantile
+from cinderlog.operators.quantile import exact_quantile, histogram
 from cinderlog.operators.rollup import build_rollup, compacted, merge_deltas, reconcile
 from cinderlog.plans.spec import AggSpec
 from cinderlog.schemas import BUCKETS
@@ -101,12 +101,13 @@ def values_for(kind, rng):
     }[kind]
 
 
-@pytest.mark.parametrize("p", [0.0, 0.5, 0.99, 1.0])
-def test_exact_quantile(spark, p):
+@pytest.mark.parametrize("p, direct_rows", [(0.0, 0), (0.5, 0), (0.99, 0), (0.99, 5_000_000), (1.0, 5_000_000)])
+def test_exact_quantile(spark, p, direct_rows):
     rng = np.random.default_rng(5)
     groups = {k: values_for(k, rng) for k in ("hot", "same", "one", "two", "signed", "zeros", "tight", "wide")}
     rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("hot", None), ("empty", None)]
-    got = exact_quantile(spark.createDataFrame(rows, "g string, x double"), "g", "x", p, "q").collect()
+    frame = spark.createDataFrame(rows, "g string, x double")
+    got = exact_quantile(frame, histogram(frame, "g", "x"), "g", "x", p, "q", direct_rows).collect()
     assert {r["g"]: r["q"] for r in got} == pytest.approx({g: np.quantile(xs, p) for g, xs in groups.items()}, rel=1e-12)
 
 
