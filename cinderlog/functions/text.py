@@ -38,3 +38,31 @@ def matches_text(col: Column, text: str) -> Column:
 
 def mask_digits(col: Column) -> Column:
     return F.regexp_replace(col, "[0-9]+", "#")
+
+
+# Spark's text of a floating point number outside 0.001 to 10 million: one digit before the point.
+EXPONENT_FORM = r"^-?[0-9]\.[0-9]+E-?[0-9]+$"
+
+
+def script_number(text: Column) -> Column:
+    """Spark's text of a floating point number as scripts write it: without a needless point, in
+    plain digits for exponents from -6 to 20, otherwise with a signed exponent."""
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    fraction = F.regexp_replace(F.regexp_extract(text, r"\.([0-9]+)E", 1), "0+$", "")
+    digits = F.concat(F.regexp_extract(text, r"^-?([0-9])\.", 1), fraction)
+    exponent = F.regexp_extract(text, "E(-?[0-9]+)$", 1).try_cast("int")
+    whole = exponent + 1
+    large = F.when(F.length(digits) <= whole, F.rpad(digits, whole, F.lit("0"))).otherwise(
+        F.concat(F.substring(digits, F.lit(1), whole), F.lit("."), F.substring(digits, whole + 1, F.length(digits)))
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exponent - 1), digits)
+    mantissa = F.when(fraction == "", digits).otherwise(
+        F.concat(F.substring(digits, 1, 1), F.lit("."), fraction)
+    )
+    power = F.concat(F.when(exponent > 0, "e+").otherwise("e"), exponent.cast("string"))
+    number = (
+        F.when((exponent >= 0) & (exponent < 21), large)
+        .when((exponent < 0) & (exponent >= -6), small)
+        .otherwise(F.concat(mantissa, power))
+    )
+    return F.when(text.rlike(EXPONENT_FORM), F.concat(sign, number)).otherwise(F.regexp_replace(text, r"\.0$", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.functions.text import is_blank
+from cinderlog.functions.text import is_blank, script_number
 from cinderlog.functions.times import ISO_PATTERN
 from cinderlog.schemas import FUTURE_SLACK_MINUTES, LEVELS
 from cinderlog.sources.batches import faulty_attributes, is_null_value, is_nested
@@ -73,6 +73,15 @@ def _fault_reason(raw: Column) -> Column:
     ).otherwise(F.concat(F.lit("nested object in attribute '"), key, F.lit("'")))
 
 
+def _rewritten(texts: Column, source: Column, path: str) -> Column:
+    """Attribute texts with the numbers written anew that had an exponent: those are DOUBLE to
+    Spark, all other numbers are exact and keep their text."""
+    values = F.try_variant_get(source, path, "map<string,variant>")
+    return F.transform_values(
+        texts, lambda k, v: F.when(_kind(values[k]) == "DOUBLE", script_number(v)).otherwise(v)
+    )
+
+
 def validate(opened: DataFrame, as_of: Column) -> DataFrame:
     """Add `reason` and the typed fields to opened entries.
 
@@ -114,10 +123,11 @@ def validate(opened: DataFrame, as_of: Column) -> DataFrame:
         .when(attributes.isNull() & ~_absent(_value("attributes")), "attributes must be a flat object")
         .when(has_fault, _fault_reason(F.col("raw")))
     )
+    exact = F.when(F.col("has_exponents"), _rewritten(attributes, entry, "$.attributes")).otherwise(attributes)
     result = F.struct(
-        reason.alias("reason"), "timestamp", "level", "service", "message", "attributes",
+        reason.alias("reason"), "timestamp", "level", "service", "message", exact.alias("attributes"),
     )
-    kept = [c for c in opened.columns if c not in ("entry", "raw")]
+    kept = [c for c in opened.columns if c not in ("entry", "raw", "has_exponents")]
     # As the output of a generator the result is computed once. A plain column would be computed
     # again for a filter on it, since Spark moves filters below projections.
     results = fields.select(*kept, F.array(result).alias("results"))
@@ -158,4 +168,5 @@ def normalize_attributes(attributes: Column) -> Column:
     """A flat JSON object (Variant) as text values; NULL when a value is null or nested."""
     values = F.try_variant_get(attributes, "$", "map<string,variant>")
     faulty = F.map_filter(values, lambda _, v: is_null_value(v) | is_nested(v))
-    return F.when(F.size(faulty) == 0, F.try_variant_get(attributes, "$", "map<string,string>"))
+    texts = F.try_variant_get(attributes, "$", "map<string,string>")
+    return F.when(F.size(faulty) == 0, _rewritten(texts, attributes, "$"))

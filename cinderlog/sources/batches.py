@@ -12,6 +12,8 @@ MALFORMED = "malformed JSON"
 TOO_LARGE = "payload too large"
 NO_ARRAY = "body must contain a 'logs' array"
 
+EXPONENT_VALUE = r":\s*-?[0-9.]+[eE][+-]?[0-9]+\s*[,}]"
+
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """One file per batch: (source_file, body)."""
@@ -48,8 +50,8 @@ def faulty_attributes(entry: Column) -> Column:
 def open_batches(bodies: DataFrame) -> DataFrame:
     """Explode bodies into entries, parsing each body once.
 
-    Adds `batch_error` (why a body cannot be opened), `index`, `entry` (a Variant) and `raw` (the
-    entry's text). A body without entries keeps one row, with NULL `index`. The text is there only
+    Adds `batch_error` (why a body cannot be opened), `has_exponents` (whether it may hold numbers
+    like 1e7), `index`, `entry` (a Variant) and `raw` (the entry's text). A body without entries keeps one row, with NULL `index`. The text is there only
     for bodies in which some attribute is faulty: naming the first fault needs the source order of
     the keys, which a Variant does not keep, and a second parse is the price. No filter may sit
     between the parse and the explode, since Spark would evaluate the parse again for it.
@@ -66,20 +68,20 @@ def open_batches(bodies: DataFrame) -> DataFrame:
         F.when(F.octet_length("body") > MAX_BODY_BYTES, TOO_LARGE)
         .when(F.col("_doc").isNull(), MALFORMED)
         .when(F.col("_entries").isNull(), NO_ARRAY),
-    ).withColumn(
+    ).withColumn("has_exponents", F.col("body").rlike(EXPONENT_VALUE)).withColumn(
         "_items",
         F.arrays_zip("_entries", F.when(needs_text, texts).otherwise(no_texts))
         .cast("array<struct<entry:variant,raw:string>>"),
     )
     keys = [c for c in bodies.columns if c != "body"]
     return opened.select(
-        *keys, "batch_error", F.posexplode_outer("_items").alias("index", "_item")
+        *keys, "batch_error", "has_exponents", F.posexplode_outer("_items").alias("index", "_item")
     ).select(
-        *keys, "batch_error", F.col("index").cast("long").alias("index"),
+        *keys, "batch_error", "has_exponents", F.col("index").cast("long").alias("index"),
         F.col("_item.entry").alias("entry"), F.col("_item.raw").alias("raw"),
     )
 
 
 def bad_batches(opened: DataFrame) -> DataFrame:
     """The quarantine: bodies that could not be opened, with the reason."""
-    return opened.where("batch_error IS NOT NULL").drop("index", "entry", "raw")
+    return opened.where("batch_error IS NOT NULL").drop("has_exponents", "index", "entry", "raw")

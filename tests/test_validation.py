@@ -148,3 +148,13 @@ def test_attribute_texts(spark):
     assert row["m"] == {"a": "1.5", "b": "true", "c": "x", "d": "-3", "e": "12345678901", "f": "1"}
     nested = spark.range(1).select(normalize_attributes(F.parse_json(F.lit('{"a":{}}'))).alias("m")).first()
     assert nested["m"] is None
+
+
+@pytest.mark.parametrize("literal, text", [
+    ("1e21", "1e+21"), ("1e7", "10000000"), ("-1.25e-7", "-1.25e-7"), ("1.5e300", "1.5e+300"), ("2.5e8", "250000000"), ("1.234567891e8", "123456789.1"),
+    ("1.5e-4", "0.00015"), ("1e-6", "0.000001"), ("1e20", "100000000000000000000"), ("-4e-9", "-4e-9"), ('"1.0E7"', "1.0E7"), ("1e2", "100"), ("12.5", "12.5"),
+])
+def test_numbers_with_exponents(spark, literal, text):
+    entry = json.dumps({**BASE, "attributes": {"n": "@"}}).replace('"@"', literal)
+    row = accepted(check(spark, [(1, '{"logs":[' + entry + "]}")])).first()
+    assert row["attributes"] == {"n": text}
