@@ -24,7 +24,7 @@ from cinderlog.catalog.registry import all_queries  # noqa: E402
 from cinderlog.functions.times import literal_like  # noqa: E402
 from cinderlog.operators.aggregate import aggregate_raw, aggregate_rollup  # noqa: E402
 from cinderlog.operators.alerts import alert_counts  # noqa: E402
-from cinderlog.operators.search import newest, search  # noqa: E402
+from cinderlog.operators.search import search  # noqa: E402
 from cinderlog.plans.spec import AggSpec, LogQuery  # noqa: E402
 from cinderlog.schemas import RULES  # noqa: E402
 from cinderlog.session import local_session  # noqa: E402
@@ -80,7 +80,7 @@ def stored_figures(spark, store: LogStore) -> dict[str, float]:
         "stored_agg_text": lambda: aggregate_raw(logs, AggSpec(*week, "1h", q="timed out")).collect(),
         "stored_search_range": lambda: search(logs, LogQuery(service="auth", since=NOW - timedelta(hours=1), limit=1000)).collect(),
         "stored_search_attr": lambda: search(logs, LogQuery(attributes={"user_id": "42"}, limit=1000)).collect(),
-        "stored_search_newest": lambda: newest(logs, LogQuery()).collect(),
+        "stored_search_newest": lambda: store.newest(LogQuery()).collect(),
         "stored_alert_counts": lambda: alert_counts(logs, rules, NOW).collect(),
     }
     return {name: timed(run) for name, run in runs.items()}

@@ -11,7 +11,8 @@ from cinderlog.catalog.query import Query, with_ctes
 from cinderlog.operators import aggregate as agg
 from cinderlog.operators import metrics as m
 from cinderlog.operators import rollup as r
-from cinderlog.plans.spec import AggSpec
+from cinderlog.operators.quantile import exact_quantile, histogram
+from cinderlog.plans.spec import AggSpec, LogQuery
 from cinderlog.sources.export import read_csv, storage_rows, write_csv
 from cinderlog.sources.tables import LogStore
 from cinderlog.sources.workspace import new_folder
@@ -75,6 +76,72 @@ def _rollup_append(spark, sf):
     return r.compacted(store.rollup()).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
 
 
+def _stored(spark, sf):
+    """All events in a store: logs of two epochs, and a roll-up of which one half has been compacted."""
+    store = LogStore(spark, new_folder(spark, "stored"))
+    logs = d.logs(spark, sf).select("id", F.col("timestamp").cast("timestamp").alias("timestamp"), "level", "service", "message", F.lit(None).cast("map<string,string>").alias("attributes"))
+    for epoch in (0, 1):
+        part = logs.where(F.pmod("id", F.lit(2)) == epoch)
+        store.append_logs(part, epoch)
+        store.append_rollup(r.build_rollup(part), epoch)
+        if epoch == 0:
+            store.compact_rollup()
+    return store
+
+
+def _stored_aggregate(spark, sf):
+    """Through the routing of `aggregate`, from the stored roll-up."""
+    store = _stored(spark, sf)
+    counts = agg.aggregate(store.logs(), store.rollup(), AggSpec(*ODD, "1h", group_by="service"))
+    return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+def _stored_newest(spark, sf):
+    page = _stored(spark, sf).newest(LogQuery(levels=("error",), limit=200))
+    return page.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "service")
+
+
+def _rollup_after_compaction(spark, sf):
+    """Both halves compacted one after the other, and once more with nothing new."""
+    store = _stored(spark, sf)
+    store.compact_rollup()
+    store.compact_rollup()
+    return r.compacted(store.rollup()).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+def _halves(spark, sf, same_checkpoint_name: bool):
+    """Two streams over the halves of the events into one store, with a compaction in between.
+
+    Either two landing tables with a checkpoint each, or one stream that is started again on a new checkpoint.
+    """
+    store = LogStore(spark, new_folder(spark, "two-streams"))
+    for half in (0, 1):
+        folder = new_folder(spark, "half")
+        _events_as_logs(spark.read.parquet(f"{sf}/events.parquet")).where(F.pmod("event_id", F.lit(2)) == half).write.parquet(folder)
+        rows = spark.readStream.schema("event_id long, timestamp timestamp, service string, level string").parquet(folder)
+        name = "checkpoint" if same_checkpoint_name else f"checkpoint-{half}"
+        rollup_delta_stream(rows, store, f"{new_folder(spark, 'checkpoints')}/{name}").awaitTermination()
+        store.compact_rollup()
+    return r.compacted(store.rollup()).withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
+def _events_as_logs(events):
+    return events.select("event_id", F.col("ts").cast("timestamp").alias("timestamp"), F.expr(d.SERVICE_SQL).alias("service"), F.expr(d.LEVEL_SQL).alias("level"))
+
+
+def _odd_quantiles(spark, sf):
+    """The exact median of values among which are NaN and infinities, in text so that engines agree on them."""
+    events = d.table(spark, sf, "events").select("event_type", "event_id", F.col("value").cast("double").alias("value"))
+    turn = F.pmod("event_id", F.lit(100))
+    odd = F.when(turn < 20, float("nan")).when(turn < 25, float("inf")).when(turn < 30, -float("inf")).otherwise(F.col("value"))
+    rows = events.withColumn("value", odd)
+    found = exact_quantile(rows, histogram(rows, "event_type", "value"), "event_type", "value", 0.9, "p90")
+    low = exact_quantile(rows, histogram(rows, "event_type", "value"), "event_type", "value", 0.01, "p1")
+    mid = exact_quantile(rows, histogram(rows, "event_type", "value"), "event_type", "value", 0.4, "p40")
+    joined = found.join(low, "event_type").join(mid, "event_type")
+    return joined.select("event_type", F.isnan("p90").alias("p90_nan"), (F.col("p1") == -float("inf")).alias("p1_low"), F.round("p40", 6).alias("p40"))
+
+
 def _event_stream(spark, sf):
     """The events file as a stream of (timestamp, service, level)."""
     events = spark.readStream.schema(d.table(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
@@ -250,5 +317,23 @@ QUERIES = [
             SELECT start, service, count, previous,
                    CAST(round(CAST(100 * (count - previous) AS DECIMAL(18,8)) / previous, 1) AS DOUBLE) AS change_pct FROM paired"""),
     ),
+    Query("stored_agg_rollup", _stored_aggregate, _counts_sql("1h", "service", ROLLUP_ODD_SQL, "rollup")),
+    Query(
+        "stored_newest", _stored_newest,
+        with_ctes(d.LOGS, "SELECT id, timestamp, service FROM logs WHERE level = 'error' ORDER BY timestamp DESC, id DESC LIMIT 200"),
+    ),
+    Query("rollup_after_compaction", _rollup_after_compaction, with_ctes(d.ROLLUP, "SELECT * FROM rollup")),
+    Query("stream_two_sources", lambda spark, sf: _halves(spark, sf, False), with_ctes(d.ROLLUP, "SELECT * FROM rollup")),
+    Query("stream_new_checkpoint", lambda spark, sf: _halves(spark, sf, True), with_ctes(d.ROLLUP, "SELECT * FROM rollup")),
+    Query(
+        "quantile_with_nan", _odd_quantiles,
+        """WITH odd AS (SELECT event_type, CASE WHEN event_id % 100 < 20 THEN 'NaN'::DOUBLE WHEN event_id % 100 < 25 THEN 'Infinity'::DOUBLE
+             WHEN event_id % 100 < 30 THEN '-Infinity'::DOUBLE ELSE CAST(value AS DOUBLE) END AS value FROM events),
+           ranked AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) - 1 AS last FROM odd WHERE value IS NOT NULL),
+           picked AS (SELECT event_type, any_value(last) AS last,
+             max(CASE WHEN i = ceil(0.9 * last) THEN value END) AS high90, max(CASE WHEN i = floor(0.01 * last) THEN value END) AS low1,
+             max(CASE WHEN i = floor(0.4 * last) THEN value END) AS low40, max(CASE WHEN i = ceil(0.4 * last) THEN value END) AS high40 FROM ranked GROUP BY event_type)
+           SELECT event_type, isnan(high90) AS p90_nan, low1 = '-Infinity'::DOUBLE AS p1_low,
+             round(low40 + (0.4::DOUBLE * last - floor(0.4::DOUBLE * last)) * (high40 - low40), 6) AS p40 FROM picked""",
+    ),
 ]
-

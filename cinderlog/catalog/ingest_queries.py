@@ -65,7 +65,7 @@ def _append(spark, sf):
     rows = v.with_ids(v.accepted(_checked(spark, sf), "batch_id"))
     store.append_logs(rows, 0)
     store.append_logs(rows, 0)
-    return _plain(store.logs().drop("epoch"))
+    return _plain(store.logs().drop("stream", "epoch"))
 
 
 def _land(spark, sf):
@@ -78,7 +78,7 @@ def _land(spark, sf):
 def _stream(spark, sf):
     store = LogStore(spark, new_folder(spark, "ingest"))
     ingest_stream(store, _land(spark, sf), store.path("checkpoint"), as_of=d.INGEST_TIME).awaitTermination()
-    return _plain(store.logs().drop("id", "epoch", "log_date"))
+    return _plain(store.logs().drop("id", "stream", "epoch", "log_date"))
 
 
 def _synthetic(spark, sf):
@@ -161,7 +161,7 @@ QUERIES = [
     Query(
         "synthetic_cycle", _cyclic,
         """SELECT event_id AS id, TIMESTAMP '2024-01-31 00:00:00' AS timestamp, ['debug', 'info', 'warn', 'error'][event_id % 4 + 1] AS level,
-          ['checkout', 'auth', 'inventory', 'billing'][event_id % 4 + 1] AS service, concat('load test log entry ', event_id) AS message,
-          concat('{"user_id":"', event_id + 1000, '","region":"eu-west","retries":"', event_id % 5, '"}') AS attributes FROM events""",
+          ['ledger', 'search', 'mailer'][event_id % 3 + 1] AS service, concat('row ', event_id, ' of a cycle') AS message,
+          concat('{"shard":"', event_id % 11, '"}') AS attributes FROM events""",
     ),
 ]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import replace
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -99,29 +99,30 @@ def pages(logs: DataFrame, query: LogQuery) -> Iterator[list[Row]]:
         query = replace(query, cursor=Cursor(stamp.replace(tzinfo=None), last["id"]))
 
 
-def newest(stored: DataFrame, query: LogQuery) -> DataFrame:
+def newest(stored: DataFrame, query: LogQuery, days: list[date]) -> DataFrame:
     """A search without lower bound on a dated table, reading from the newest day backwards.
 
+    `days` are those the table holds (from the names of its folders; nothing is read to learn them).
+
     The span doubles until the page is full, so that the usual "latest logs" request opens a few
     directories instead of all of them. Each probe counts at most `limit` rows.
     """
-    bounds = stored.agg(F.min("log_date").alias("first"), F.max("log_date").alias("last")).first()
-    if query.since or bounds["last"] is None:
+    if query.since or not days:
         return search(stored, query)
-    newest_day = bounds["last"]
+    oldest_day, newest_day = min(days), max(days)
     if query.until:
         newest_day = min(newest_day, query.until.date())
     if query.cursor:
         newest_day = min(newest_day, query.cursor.timestamp.date())
-    days = 1
-    while newest_day - timedelta(days=days) >= bounds["first"]:
-        start = newest_day - timedelta(days=days - 1)
+    span = 1
+    while newest_day - timedelta(days=span) >= oldest_day:
+        start = newest_day - timedelta(days=span - 1)
         recent = stored.where(F.col("log_date") >= F.lit(start))
         matching = filter_logs(recent, query)
         matching = after_cursor(matching, query.cursor) if query.cursor else matching
         if matching.limit(query.limit).count() == query.limit:
             return search(recent, query)
-        days *= 2
+        span *= 2
     return search(stored, query)
 
 

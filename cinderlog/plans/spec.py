@@ -55,7 +55,7 @@ def parse_limit(value) -> int:
     if not value:
         return DEFAULT_LIMIT
     text = str(value).strip()
-    number = float(text) if re.fullmatch(r"[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?", text) else None
+    number = float(text) if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", text) else None
     if text == "":
         number = 0.0
     if number is None or not number.is_integer():

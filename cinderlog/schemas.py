@@ -24,9 +24,10 @@ LOGS = T.StructType([
     T.StructField("attributes", ATTRIBUTES, True),
 ])
 
-# What the stored table has on top: both columns live in directory names.
+# What the stored table has on top: these columns live in directory names.
 STORED_LOGS = T.StructType(LOGS.fields + [
     T.StructField("log_date", T.DateType(), False),
+    T.StructField("stream", T.LongType(), False),
     T.StructField("epoch", T.LongType(), False),
 ])
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.functions.times import epoch_micros
+from cinderlog.schemas import LEVELS
 
 # Service names, level weights by repetition, regions.
 SERVICES = (
@@ -19,14 +20,13 @@ REGIONS = ("us-east-1", "eu-west-1", "ap-southeast-1")
 PAYING_SERVICES = ("checkout", "payment-gateway")
 SPREAD_DAYS = 30
 TEXTS = {
-    "debug": ("cache lookup took 3 ms", "query plan reused", "heartbeat sent"),
-    "info": ("session opened", "configuration reloaded", "job finished"),
-    "warn": ("connection pool at 92%", "response took over 350 ms", "retrying call"),
-    "error": ("payment refused, no funds", "upstream timed out", "disk at 97%"),
+    "debug": ("parsed 14 header fields", "index segment merged", "timer wheel advanced"),
+    "info": ("snapshot 12 uploaded", "worker joined the ring", "schema check passed"),
+    "warn": ("clock drift of 41 ms", "queue holds 6,000 items", "lease renewed late"),
+    "error": ("checksum mismatch in block 9", "leader lost its quorum", "image could not be decoded"),
 }
-# The cyclic batch of the load test.
-CYCLE_LEVELS = ("debug", "info", "warn", "error")
-CYCLE_SERVICES = ("checkout", "auth", "inventory", "billing")
+
+CYCLE_SERVICES = ("ledger", "search", "mailer")
 
 
 def draw(number: Column, salt: int, size: int) -> Column:
@@ -73,17 +73,16 @@ def synthetic_logs(spark: SparkSession, rows: int, as_of: datetime) -> DataFrame
 
 
 def cyclic_logs(numbers: DataFrame, as_of: datetime) -> DataFrame:
-    """The load test's batch: levels and services in turn, one instant."""
+    """Rows of one instant with levels and services in turn."""
     n = F.col("id")
-    turn = lambda values: F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(4)) + 1).cast("int"))
+
+    def turn(values: tuple[str, ...]) -> Column:
+        return F.element_at(F.array(*map(F.lit, values)), (F.pmod(n, F.lit(len(values))) + 1).cast("int"))
+
     return numbers.select(
-        n, F.timestamp_micros(F.lit(epoch_micros(as_of))).alias("timestamp"),
-        turn(CYCLE_LEVELS).alias("level"), turn(CYCLE_SERVICES).alias("service"),
-        F.concat(F.lit("load test log entry "), n.cast("string")).alias("message"),
-        F.create_map(
-            F.lit("user_id"), (n + 1000).cast("string"), F.lit("region"), F.lit("eu-west"),
-            F.lit("retries"), F.pmod(n, F.lit(5)).cast("string"),
-        ).alias("attributes"),
+        n, F.timestamp_micros(F.lit(epoch_micros(as_of))).alias("timestamp"), turn(LEVELS).alias("level"), turn(CYCLE_SERVICES).alias("service"),
+        F.concat(F.lit("row "), n.cast("string"), F.lit(" of a cycle")).alias("message"),
+        F.create_map(F.lit("shard"), F.pmod(n, F.lit(11)).cast("string")).alias("attributes"),
     )
 
 

@@ -1,13 +1,17 @@
 """The engine's tables as Parquet folders under one root.
 
-logs       log_date=/epoch=   rows sorted by (service, timestamp, id) inside each file
-deltas     epoch=             roll-up deltas, one folder per micro-batch
-compact    upto=<epoch>_<generation>/log_date=   roll-up with every delta up to that epoch summed in
-rejected, quarantine, alerts, notifications   epoch=
-rules      version=           snapshots; the newest counts
-
-Whatever a micro-batch writes goes to folders named by its epoch, which a replay overwrites, so a
-retried batch never counts twice.
+logs       log_date=/stream=/epoch=   rows sorted by (service, timestamp, id) inside each file
+deltas     stream=/epoch=             roll-up deltas, one folder per micro-batch
+compact    generation=/log_date=      roll-up with deltas summed in; a day's newest generation counts
+rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch=
+rules      added=                     rule definitions; trigger times are kept apart, in triggers
+receipts   added=                     which notifications have been read
+streams    one marker per stream number that is taken
+
+Whatever a micro-batch writes goes to folders named by its stream and epoch, which a replay overwrites, so a retried
+batch never counts twice. A stream's number is taken once per checkpoint and remembered inside it: a second stream, or
+the same one on a new checkpoint, gets another number and never overwrites what is there. Number 0 is for direct calls.
+Folders count once this module's own marker is in them, whatever markers the committer writes.
 """
 
 from __future__ import annotations
@@ -20,11 +24,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.operators.alerts import with_rule_check
+from cinderlog.operators.notifications import with_read_state
 from cinderlog.operators.rollup import compacted, rollup_kept
+from cinderlog.operators.search import newest
+from cinderlog.plans.spec import LogQuery
 from cinderlog.schemas import NOTIFICATIONS, ROLLUP, RULES, STORED_LOGS
 
-EPOCH = T.StructField("epoch", T.LongType(), False)
+EPOCH = (T.StructField("stream", T.LongType(), False), T.StructField("epoch", T.LongType(), False))
+TRIGGERS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("triggered_at", T.TimestampType())])
+RECEIPTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("all_until", T.TimestampType())])
+EXPIRED = T.StructType([T.StructField("deleted", T.LongType())])
 MAX_RECORDS_PER_FILE = 20_000_000
+MAX_STREAM, MAX_EPOCH, MAX_RULE = 1 << 7, 1 << 24, 1 << 31
+COMPLETE = "_COMPLETE"
+
+
+def checked_number(stream: int, epoch: int) -> None:
+    """Ids are made of these numbers; beyond their bounds they would repeat."""
+    if not 0 <= stream < MAX_STREAM or not 0 <= epoch < MAX_EPOCH:
+        raise ValueError(f"stream {stream} must be below {MAX_STREAM} and epoch {epoch} below {MAX_EPOCH}")
+
+
+@dataclass(frozen=True)
+class Compaction:
+    """A finished compaction: what it has summed in per stream, and the first day that is kept."""
+
+    generation: int
+    upto: dict[int, int]
+    first_day: date | None
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
@@ -66,96 +94,229 @@ class LogStore:
         fs, hadoop_path = self._fs(path)
         fs.delete(hadoop_path, True)
 
-    def _complete(self, path: str) -> bool:
-        fs, marker = self._fs(f"{path}/_SUCCESS")
-        return fs.exists(marker)
+    def _marked(self, path: str) -> bool:
+        return self._is_file(f"{path}/{COMPLETE}")
+
+    def _is_file(self, path: str) -> bool:
+        fs, hadoop_path = self._fs(path)
+        return fs.exists(hadoop_path)
+
+    def _mark(self, path: str) -> bool:
+        """Create an empty file; false if it was there. Only one caller ever gets true."""
+        fs, hadoop_path = self._fs(path)
+        return fs.createNewFile(hadoop_path)
+
+    def _names(self, path: str) -> list[str]:
+        fs, hadoop_path = self._fs(path)
+        return [status.getPath().getName() for status in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+    def _next(self, table: str, key: str) -> int:
+        """A number that nobody else has: the marker file decides."""
+        taken = [int(name.removeprefix(f"{key}.")) for name in self._names(self.path(table)) if name.startswith(f"{key}.")]
+        number = max(taken, default=0) + 1
+        while not self._mark(f"{self.path(table)}/{key}.{number}"):
+            number += 1
+        return number
+
+    # Streams
+
+    def stream_of(self, checkpoint: str) -> int:
+        """The number of the stream that runs on this checkpoint; a new checkpoint takes a new number."""
+        for name in self._names(checkpoint):
+            if match := re.fullmatch(r"stream\.(\d+)", name):
+                return int(match.group(1))
+        number = self._next("streams", "taken")
+        checked_number(number, 0)
+        self._mark(f"{checkpoint.rstrip('/')}/stream.{number}")
+        return number
 
     # Logs
 
-    def append_logs(self, rows: DataFrame, epoch: int) -> None:
+    def append_logs(self, rows: DataFrame, epoch: int, stream: int = 0) -> None:
         """Write one epoch of accepted rows.
 
         Rebalancing by date keeps small dates in one file and splits a date that holds most of the
         rows over many tasks; sorting makes row-group statistics selective for service and time.
         """
-        dated = rows.withColumn("log_date", F.to_date("timestamp")).withColumn("epoch", F.lit(epoch).cast("long"))
+        checked_number(stream, epoch)
+        numbers = {"stream": F.lit(stream).cast("long"), "epoch": F.lit(epoch).cast("long")}
+        dated = rows.withColumn("log_date", F.to_date("timestamp")).withColumns(numbers)
         spread = dated.hint("rebalance", F.col("log_date"))
-        ordered = spread.sortWithinPartitions("log_date", "epoch", "service", "timestamp", "id")
+        ordered = spread.sortWithinPartitions("log_date", "stream", "epoch", "service", "timestamp", "id")
         (
             ordered.write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-            .partitionBy("log_date", "epoch")
+            .partitionBy("log_date", "stream", "epoch")
             .parquet(self.path("logs"))
         )
 
-    def logs(self) -> DataFrame:
-        return self.spark.read.schema(STORED_LOGS).parquet(self.path("logs"))
+    def log_days(self) -> list[date]:
+        """The days that hold logs, from the names of their folders."""
+        return sorted(date.fromisoformat(text) for text in self.folders("logs", "log_date"))
+
+    def logs(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """The stored rows; with bounds, only folders of the days they touch are listed and read."""
+        reader = self.spark.read.schema(STORED_LOGS)
+        if since is None and until is None:
+            return reader.parquet(self.path("logs"))
+        days = [day for day in self.log_days() if (since is None or day >= since.date()) and (until is None or day <= until.date())]
+        if not days:
+            return self.spark.createDataFrame([], STORED_LOGS)
+        paths = [f"{self.path('logs')}/log_date={day.isoformat()}" for day in days]
+        return reader.option("basePath", self.path("logs")).parquet(*paths)
+
+    def newest(self, query: LogQuery) -> DataFrame:
+        """The newest matching rows; see `newest`."""
+        return newest(self.logs(query.since, query.until), query, self.log_days())
 
     # Tables written once per epoch
 
-    def write_epoch(self, rows: DataFrame, table: str, epoch: int) -> None:
+    def _epoch_path(self, table: str, epoch: int, stream: int) -> str:
+        return f"{self.path(table)}/stream={stream}/epoch={epoch}"
+
+    def write_epoch(self, rows: DataFrame, table: str, epoch: int, stream: int = 0) -> None:
         """A replay replaces the folder, also when it has become empty."""
-        rows.write.mode("overwrite").parquet(f"{self.path(table)}/epoch={epoch}")
+        checked_number(stream, epoch)
+        path = self._epoch_path(table, epoch, stream)
+        rows.write.mode("overwrite").parquet(path)
+        self._mark(f"{path}/{COMPLETE}")
+
+    def drop_epoch(self, table: str, epoch: int, stream: int = 0) -> None:
+        """Take back what an earlier try has written, if anything."""
+        path = self._epoch_path(table, epoch, stream)
+        if self._is_file(path):
+            self._drop(path)
 
     def read_epochs(self, table: str, schema: T.StructType) -> DataFrame:
         if not self.has(table):
-            return self.spark.createDataFrame([], _with(schema, EPOCH))
-        return self.spark.read.schema(_with(schema, EPOCH)).parquet(self.path(table))
+            return self.spark.createDataFrame([], _with(schema, *EPOCH))
+        return self.spark.read.schema(_with(schema, *EPOCH)).parquet(self.path(table))
+
+    def epochs(self, table: str) -> dict[tuple[int, int], str]:
+        """(stream, epoch) and path of the finished folders of a table."""
+        found = {}
+        for stream in self.folders(table, "stream"):
+            for epoch, path in self.folders(f"{table}/stream={stream}", "epoch").items():
+                if self._marked(path):
+                    found[int(stream), int(epoch)] = path
+        return found
 
     # Roll-up
 
-    def append_rollup(self, deltas: DataFrame, epoch: int) -> None:
+    def append_rollup(self, deltas: DataFrame, epoch: int, stream: int = 0) -> None:
         """Rebalancing sizes the files by their bytes: one for a small batch, many for a big one."""
-        self.write_epoch(deltas.hint("rebalance"), "deltas", epoch)
-
-    def _compact_folders(self) -> list[tuple[int, int, str]]:
-        """(last epoch summed in, generation, path) of the compacted folders."""
-        return sorted(
-            (*map(int, name.split("_")), path) for name, path in self.folders("compact", "upto").items()
-        )
-
-    def _current_compact(self) -> tuple[int, int, str] | None:
-        return max((f for f in self._compact_folders() if self._complete(f[2])), default=None)
+        self.write_epoch(deltas.hint("rebalance"), "deltas", epoch, stream)
+
+    def _compactions(self) -> list[Compaction]:
+        found = []
+        for text, path in self.folders("compact", "generation").items():
+            names = self._names(path)
+            if COMPLETE in names:
+                upto = dict(map(int, name.split(".")[1:]) for name in names if name.startswith("_upto."))
+                first = [date.fromisoformat(name.split(".")[1]) for name in names if name.startswith("_from.")]
+                found.append(Compaction(int(text), upto, max(first, default=None)))
+        return sorted(found, key=lambda c: c.generation)
+
+    def _compact_days(self, upto_generation: int) -> dict[date, list[tuple[int, str]]]:
+        """The generations (ascending) that hold a day, and their paths."""
+        days: dict[date, list[tuple[int, str]]] = {}
+        for text in sorted(self.folders("compact", "generation"), key=int):
+            if int(text) <= upto_generation:
+                for day, path in self.folders(f"compact/generation={text}", "log_date").items():
+                    days.setdefault(date.fromisoformat(day), []).append((int(text), path))
+        return days
+
+    def _pending(self, base: Compaction | None) -> Column:
+        """Whether a delta's epoch is beyond what the compaction has of its stream."""
+        pending = F.lit(True)
+        for stream, epoch in (base.upto if base else {}).items():
+            pending = pending & ((F.col("stream") != stream) | (F.col("epoch") > epoch))
+        return pending
 
     def _deltas(self, where: Column) -> DataFrame:
         deltas = self.read_epochs("deltas", ROLLUP).where(where)
         return deltas.select(*ROLLUP.names, F.to_date("bucket_start").alias("log_date"))
 
-    def rollup(self, upto: int | None = None) -> DataFrame:
+    def _compacted(self, base: Compaction | None, days: set[date] | None = None) -> DataFrame:
+        dated = _with(ROLLUP, T.StructField("log_date", T.DateType()))
+        paths = []
+        for day, found in self._compact_days(base.generation).items() if base else []:
+            if (days is None or day in days) and (base.first_day is None or day >= base.first_day):
+                paths.append(found[-1][1])
+        if not paths:
+            return self.spark.createDataFrame([], dated)
+        # Read with the generation as well, which the folders carry.
+        rows = self.spark.read.schema(_with(dated, T.StructField("generation", T.LongType())))
+        return rows.option("basePath", self.path("compact")).parquet(*paths).select(*dated.names)
+
+    def rollup(self) -> DataFrame:
         """Compacted part and later deltas together; always sum the counts. Dated, so that ranges
         open only the days they need of the compacted part."""
-        base = self._current_compact()
-        epoch = F.col("epoch")
-        pending = (epoch > base[0]) if base else epoch.isNotNull()
-        deltas = self._deltas(pending if upto is None else pending & (epoch <= upto))
-        if not base:
-            return deltas
-        return self.spark.read.schema(deltas.schema).parquet(base[2]).unionByName(deltas)
-
-    def compact_rollup(self, drop_before: datetime | None = None) -> int:
-        """Sum the finished deltas into a new compacted folder, optionally without expired minutes.
-
-        Readers switch once the new folder is complete; only then do the folders it replaces go.
-        Returns the last epoch that is summed in.
+        base = max(self._compactions(), key=lambda c: c.generation, default=None)
+        deltas = self._deltas(self._pending(base))
+        return self._compacted(base).unionByName(deltas) if base else deltas
+
+    def compact_rollup(self, drop_before: datetime | None = None) -> Compaction | None:
+        """Sum the finished deltas into a new generation of the days they touch, optionally without expired minutes.
+
+        Other days stay as they are. Readers switch once the generation is marked complete. What it replaces is kept
+        until the next compaction, for readers that are still at it.
         """
-        epochs = [int(k) for k, path in self.folders("deltas", "epoch").items() if self._complete(path)]
-        base = self._current_compact()
-        upto = max(epochs + ([base[0]] if base else []), default=-1)
-        generation = base[1] + 1 if base else 0
-        rows = compacted(self.rollup(upto))
+        history = self._compactions()
+        base = history[-1] if history else None
+        finished = self.epochs("deltas")
+        new = {key: path for key, path in finished.items() if not base or key[1] > base.upto.get(key[0], -1)}
+        if not new and not drop_before:
+            self._clean(base, finished)
+            return base
+        upto = dict(base.upto if base else {})
+        for stream, epoch in new:
+            upto[stream] = max(epoch, upto.get(stream, -1))
+        current = Compaction(0, upto, None)
+        fresh = self._deltas(self._pending(base) & ~self._pending(current)) if new else self._deltas(F.lit(False))
+        first_day = drop_before.date() if drop_before else None
+        if base and base.first_day:
+            first_day = max(first_day or base.first_day, base.first_day)
+        touched = {row[0] for row in fresh.select("log_date").distinct().collect()} if new else set()
+        if drop_before:
+            touched.add(drop_before.date())
+        rows = compacted(self._compacted(base, touched).unionByName(fresh))
         if drop_before:
             rows = rollup_kept(rows, drop_before)
+        if first_day:
+            rows = rows.where(F.to_date("bucket_start") >= F.lit(first_day))
+        generation = base.generation + 1 if base else 0
+        path = f"{self.path('compact')}/generation={generation}"
         dated = rows.withColumn("log_date", F.to_date("bucket_start")).hint("rebalance", F.col("log_date"))
-        ordered = dated.sortWithinPartitions("log_date", "service", "bucket_start")
-        ordered.write.mode("overwrite").partitionBy("log_date").parquet(f"{self.path('compact')}/upto={upto}_{generation}")
-        for _, number, path in self._compact_folders():
-            if number < generation:
+        dated.sortWithinPartitions("log_date", "service", "bucket_start").write.mode("overwrite").partitionBy("log_date").parquet(path)
+        if drop_before and base:
+            self._hide(generation, drop_before.date())
+        for stream, epoch in upto.items():
+            self._mark(f"{path}/_upto.{stream}.{epoch}")
+        if first_day:
+            self._mark(f"{path}/_from.{first_day.isoformat()}")
+        self._mark(f"{path}/{COMPLETE}")
+        self._clean(base, finished)
+        return Compaction(generation, upto, first_day)
+
+    def _hide(self, generation: int, day: date) -> None:
+        """A cutoff day of which nothing is left has no folder in the new generation; an empty one stands for it."""
+        path = f"{self.path('compact')}/generation={generation}/log_date={day.isoformat()}"
+        if not self._is_file(path):
+            self.spark.createDataFrame([], ROLLUP).write.parquet(path)
+
+    def _clean(self, base: Compaction | None, finished: dict[tuple[int, int], str]) -> None:
+        """Drop what the compaction before the newest one (`base`) had already replaced."""
+        if base is None:
+            return
+        for (stream, epoch), path in finished.items():
+            if epoch <= base.upto.get(stream, -1):
                 self._drop(path)
-        for number, path in self.folders("deltas", "epoch").items():
-            if int(number) <= upto:
+        for day, found in self._compact_days(base.generation).items():
+            stale = found if base.first_day and day < base.first_day else found[:-1]
+            for _, path in stale:
                 self._drop(path)
-        return upto
 
     # Retention
 
@@ -171,20 +332,62 @@ class LogStore:
 
     # Rules
 
-    def save_rules(self, rules: DataFrame, version: int) -> None:
-        rules.hint("rebalance").write.mode("overwrite").parquet(f"{self.path('rules')}/version={version}")
-
-    def rules_version(self, before: int | None = None) -> int | None:
-        done = [int(k) for k, path in self.folders("rules", "version").items() if self._complete(path)]
-        return max([v for v in done if before is None or v < before], default=None)
-
-    def rules(self, before: int | None = None) -> DataFrame:
-        version = self.rules_version(before)
-        if version is None:
+    def add_rules(self, rules: DataFrame) -> None:
+        """Store rule definitions; of definitions with one id the last added counts. A running alert loop sees
+        them from its next tick on, and never writes to them."""
+        if rules.where((F.col("id") < 0) | (F.col("id") >= MAX_RULE)).limit(1).count():
+            raise ValueError(f"rule ids must be between 0 and {MAX_RULE - 1}")
+        rules.select(*RULES.names).hint("rebalance").write.parquet(f"{self.path('rules')}/added={self._next('rules', '_added')}")
+
+    def create_rule(self, service: str | None, threshold: int | None, window_minutes: int | None, webhook_url: str | None) -> DataFrame:
+        """Check and store a new rule under the next free id, and return its row."""
+        row = self.spark.createDataFrame([(0, service, threshold, window_minutes, webhook_url, None)], RULES)
+        checked = with_rule_check(row)
+        reason = checked.first()["reason"]
+        if reason:
+            raise ValueError(reason)
+        highest = self.rules().agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
+        number = highest + 1
+        while not self._mark(f"{self.path('rules')}/_id.{number}"):
+            number += 1
+        created = checked.drop("reason").withColumn("id", F.lit(number).cast("long")).select(*RULES.names)
+        self.add_rules(created)
+        return created
+
+    def rules(self, stream: int | None = None, before: int | None = None) -> DataFrame:
+        """The rules with their last trigger times; those of the given stream's ticks only before `before`."""
+        folders = self.folders("rules", "added")
+        if not folders:
             return self.spark.createDataFrame([], RULES)
-        return self.spark.read.schema(RULES).parquet(f"{self.path('rules')}/version={version}")
+        added = _with(RULES, T.StructField("added", T.LongType(), False))
+        rows = self.spark.read.schema(added).parquet(self.path("rules"))
+        fields = F.struct("added", *RULES.names)
+        latest = rows.groupBy(F.col("id").alias("_id")).agg(F.max_by(fields, "added").alias("rule")).select("rule.*")
+        seen = self.read_epochs("triggers", TRIGGERS)
+        if before is not None:
+            seen = seen.where((F.col("stream") != (stream or 0)) | (F.col("epoch") < before))
+        last = seen.groupBy(F.col("rule_id").alias("_rule")).agg(F.max("triggered_at").alias("_last"))
+        joined = latest.join(last, F.col("id") == F.col("_rule"), "left")
+        return joined.withColumn("last_triggered_at", F.greatest("last_triggered_at", "_last")).select(*RULES.names)
 
     # Notifications
 
     def notifications(self) -> DataFrame:
-        return self.read_epochs("notifications", NOTIFICATIONS)
+        """All notifications, their read state folded in."""
+        rows = self.read_epochs("notifications", NOTIFICATIONS)
+        if not self.folders("receipts", "added"):
+            return rows
+        receipts = self.spark.read.schema(RECEIPTS).parquet(self.path("receipts"))
+        until = receipts.agg(F.max("all_until")).first()[0]
+        return with_read_state(rows, receipts.where("id IS NOT NULL").select("id"), until)
+
+    def mark_read(self, notification_id: int) -> None:
+        self._receipt(notification_id, None)
+
+    def mark_all_read(self, as_of: datetime) -> None:
+        """Everything up to this instant has been read; what comes later has not."""
+        self._receipt(None, as_of)
+
+    def _receipt(self, notification_id: int | None, until: datetime | None) -> None:
+        row = self.spark.createDataFrame([(notification_id, until)], RECEIPTS)
+        row.coalesce(1).write.parquet(f"{self.path('receipts')}/added={self._next('receipts', '_added')}")

@@ -12,43 +12,53 @@ from pyspark.sql.streaming import StreamingQuery
 
 from cinderlog.functions.times import literal_like
 from cinderlog.operators.rollup import build_rollup
-from cinderlog.operators.validation import accepted, rejected, validate, with_ids
+from cinderlog.operators.validation import accepted, rejected, validate
 from cinderlog.sources.batches import bad_batches, open_batches, stream_bodies
-from cinderlog.sources.tables import LogStore
+from cinderlog.sources.tables import LogStore, checked_number
 
-# A batch number is the micro-batch's epoch and the rank of the file inside it.
-RANK_BITS = 14
+# Batch numbers and row ids of a micro-batch begin with its stream and epoch; what follows counts inside it.
+INSIDE_BITS, EPOCH_BITS = 32, 24
 DEFAULT_FILES = 1000
 
 
-def _numbered(checked: DataFrame, epoch: int) -> DataFrame:
-    """Number the batches of a micro-batch by file name, the same way on every replay.
+def _inside(number: Column, position: Column) -> Column:
+    too_many = F.raise_error(F.lit("a micro-batch has more than 2^32 entries")).cast("long")
+    return number + F.when(position < 1 << INSIDE_BITS, position).otherwise(too_many)
 
-    The list of files is bounded by maxFilesPerTrigger, checked below 2^14 when the stream starts,
-    which is what makes the one-task ranking and the broadcast safe.
+
+def _numbered(checked: DataFrame, epoch: int, stream: int) -> DataFrame:
+    """Number the batches and entries of a micro-batch by file name and index, the same way on every replay.
+
+    One task ranks the files of the micro-batch, a row each.
     """
-    files = checked.select("source_file").distinct()
-    rank = F.row_number().over(Window.orderBy("source_file")).cast("long") - 1
-    numbers = files.select("source_file", (F.lit(epoch << RANK_BITS) + rank).alias("batch_id"))
-    return checked.join(F.broadcast(numbers), "source_file")
+    checked_number(stream, epoch)
+    files = checked.groupBy("source_file").agg((F.coalesce(F.max("index"), F.lit(-1)) + 1).alias("entries"))
+    order = Window.orderBy("source_file")
+    before = F.coalesce(F.sum("entries").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    number = F.lit((stream << EPOCH_BITS | epoch) << INSIDE_BITS)
+    rank = F.row_number().over(order).cast("long") - 1
+    numbers = files.select("source_file", _inside(number, rank).alias("batch_id"), before.alias("entries_before"))
+    joined = checked.join(numbers, "source_file")
+    return joined.withColumn("id", _inside(number, F.col("entries_before") + F.col("index"))).drop("entries_before")
 
 
 @dataclass(frozen=True)
 class IngestJob:
-    """Process one micro-batch into the store; `foreachBatch` calls it, and so do replays."""
+    """Process one micro-batch of a stream into the store; `foreachBatch` calls it, and so do replays."""
 
     store: LogStore
+    stream: int = 0
 
     def __call__(self, opened: DataFrame, epoch: int) -> None:
         checked = validate(opened, F.col("as_of")).persist()
         try:
-            numbered = _numbered(checked, epoch)
-            good = accepted(numbered, "batch_id")
-            self.store.append_logs(with_ids(good), epoch)
-            self.store.append_rollup(build_rollup(good), epoch)
-            self.store.write_epoch(rejected(numbered, "batch_id", "source_file"), "rejected", epoch)
+            numbered = _numbered(checked, epoch, self.stream)
+            good = accepted(numbered, "id")
+            self.store.append_logs(good.select("id", "timestamp", "level", "service", "message", "attributes"), epoch, self.stream)
+            self.store.append_rollup(build_rollup(good), epoch, self.stream)
+            self.store.write_epoch(rejected(numbered, "batch_id", "source_file"), "rejected", epoch, self.stream)
             bad = bad_batches(checked).select("source_file", F.col("batch_error").alias("reason"))
-            self.store.write_epoch(bad, "quarantine", epoch)
+            self.store.write_epoch(bad, "quarantine", epoch, self.stream)
         finally:
             checked.unpersist()
 
@@ -62,10 +72,10 @@ def ingest_stream(
     The time that entries are checked against is the micro-batch's own (or a fixed one). Spark
     keeps it in the checkpoint, so a replayed batch accepts the same entries.
     """
-    if not 1 <= max_files < 1 << RANK_BITS:
-        raise ValueError(f"max_files must be between 1 and {(1 << RANK_BITS) - 1}")
+    if max_files < 1:
+        raise ValueError("max_files must be at least 1")
     now: Column = literal_like(as_of, T.TimestampType()) if as_of else F.current_timestamp()
     bodies = stream_bodies(store.spark, landing, max_files).withColumn("as_of", now)
-    writer = open_batches(bodies).writeStream.foreachBatch(IngestJob(store)).option("checkpointLocation", checkpoint)
+    writer = open_batches(bodies).writeStream.foreachBatch(IngestJob(store, store.stream_of(checkpoint))).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()

@@ -12,8 +12,10 @@ from cinderlog.sources.tables import LogStore
 
 def rollup_delta_stream(logs: DataFrame, store: LogStore, checkpoint: str) -> StreamingQuery:
     """Append one set of roll-up deltas per micro-batch. Rows of any age count; no state is kept."""
+    stream = store.stream_of(checkpoint)
+
     def flush(rows: DataFrame, epoch: int) -> None:
-        store.append_rollup(build_rollup(rows), epoch)
+        store.append_rollup(build_rollup(rows), epoch, stream)
 
     writer = logs.writeStream.foreachBatch(flush).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start()

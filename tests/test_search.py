@@ -79,7 +79,7 @@ def test_stored_table_gives_the_same(sample, stored):
     LogQuery(since=datetime(2024, 3, 2), limit=20),
 ])
 def test_newest_first_walk(stored, query):
-    assert ids(newest(stored.logs(), query)) == ids(search(stored.logs(), query))
+    assert ids(newest(stored.logs(), query, stored.log_days())) == ids(search(stored.logs(), query))
 
 
 def plan(df):

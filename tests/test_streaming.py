@@ -11,7 +11,7 @@ from cinderlog.operators.validation import accepted, rejected, validate
 from cinderlog.schemas import LOGS, RULES
 from cinderlog.sources.batches import open_batches, read_bodies
 from cinderlog.sources.export import log_rows, write_csv
-from cinderlog.sources.synthetic import as_bodies, cyclic_logs, synthetic_logs
+from cinderlog.sources.synthetic import as_bodies, synthetic_logs
 from cinderlog.streaming.ingest import IngestJob, ingest_stream
 from cinderlog.streaming.jobs import alert_stream, alert_tick, run_retention
 
@@ -83,12 +83,102 @@ def test_stream_resumes_and_compaction_keeps_the_counts(spark, store, tmp_path):
         assert rollup_of(store) == before
         # Again, with nothing new.
         store.compact_rollup()
-        assert rollup_of(store) == before and store.folders("deltas", "epoch") == {}
+        assert rollup_of(store) == before and store.epochs("deltas") == {}
+
+
+def test_two_streams_and_a_new_checkpoint_share_a_store(spark, store, tmp_path):
+    bodies = make_bodies(spark, 300)
+    for number, part in enumerate((bodies[:2], bodies[2:4], bodies[4:])):
+        land(tmp_path / f"landing{number}", part)
+        ingest_stream(store, str(tmp_path / f"landing{number}"), store.path(f"checkpoint{number}"), as_of=NOW).awaitTermination()
+        store.compact_rollup()
+    assert store.logs().count() == 298 == store.logs().select("id").distinct().count()
+    assert rollup_of(store) == rollup_of_logs(store)
+    assert {r["stream"] for r in store.logs().select("stream").distinct().collect()} == {1, 2, 3}
+    assert store.stream_of(store.path("checkpoint1")) == 2
+
+
+def test_a_micro_batch_of_very_many_bodies(spark, store):
+    body = F.concat(F.lit('{"logs":[{"timestamp":"2024-01-05T00:00:00Z","level":"info","service":"s","message":"m'), F.col("id"), F.lit('"}]}'))
+    bodies = spark.range(20_000).select(F.format_string("f%09d", "id").alias("source_file"), body.alias("body"))
+    opened = open_batches(bodies).withColumn("as_of", literal_like(NOW, LOGS["timestamp"].dataType))
+    IngestJob(store)(opened, 0)
+    IngestJob(store)(opened.where("source_file < 'f000000010'"), 1)
+    assert store.logs().select("id").distinct().count() == store.logs().count() == 20_010
+    with pytest.raises(ValueError):
+        IngestJob(store)(opened, 1 << 24)
+
+
+def test_compaction_keeps_one_old_generation(spark, store):
+    rows = [(i, datetime(2024, 1, 1 + i, 12), "info", "a", "m", None) for i in range(4)]
+    logs = spark.createDataFrame(rows, LOGS)
+    store.append_rollup(build_rollup(logs), 0)
+    store.compact_rollup()
+    earlier = store.rollup()
+    store.append_rollup(build_rollup(logs.where("id = 2")), 1)
+    store.compact_rollup()
+    assert len(list(Path(store.path("compact/generation=1")).glob("log_date=*"))) == 1
+    assert compacted(earlier).agg(F.sum("count")).first()[0] == 4
+    assert compacted(store.rollup()).agg(F.sum("count")).first()[0] == 5
+
+
+def test_reads_of_a_range_open_only_its_days(spark, store):
+    rows = [(i, datetime(2024, 1, 1 + i), "info", "a", "m", None) for i in range(9)]
+    store.append_logs(spark.createDataFrame(rows, LOGS), 0)
+    part = store.logs(datetime(2024, 1, 4), datetime(2024, 1, 5))
+    assert sorted(r["id"] for r in part.collect()) == [3, 4]
+    assert {Path(f).parent.parent.parent.name for f in part.inputFiles()} == {"log_date=2024-01-04", "log_date=2024-01-05"}
+    assert store.logs(datetime(2025, 1, 1)).collect() == []
+
+
+def test_a_failed_retention_run_is_repeated(spark, store, monkeypatch):
+    rows = [(i, datetime(2024, 1, 1, 12) + timedelta(days=i), "info", "a", "m", None) for i in range(40)]
+    store.append_logs(spark.createDataFrame(rows, LOGS), 0)
+    monkeypatch.setattr(type(store), "compact_rollup", lambda *a, **k: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        run_retention(store, datetime(2024, 2, 10, 18), 1)
+    monkeypatch.undo()
+    assert run_retention(store, datetime(2024, 2, 10, 18), 1) == 11
+    assert [r["message"] for r in store.notifications().collect()] == ["Deleted 11 logs older than 30 days"]
+
+
+def test_rules_added_between_ticks(spark, store):
+    start = datetime(2024, 3, 1)
+    store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
+    assert store.create_rule("auth", 3, 60, "http://example.invalid/a").first()["id"] == 1
+    alert_tick(store, start, 0)
+    assert store.create_rule(None, 5, 60, "http://example.invalid/b").first()["id"] == 2
+    alert_tick(store, start + timedelta(minutes=1), 1)
+    # A new alert loop begins at tick 0 again and sees what the other one has triggered.
+    alert_tick(store, start + timedelta(minutes=2), 0, stream=4)
+    assert sorted((r["stream"], r["epoch"], r["rule_id"]) for r in spark.read.parquet(store.path("alerts")).collect()) == [(0, 0, 1), (0, 1, 2)]
+    assert {r["id"]: r["last_triggered_at"] for r in store.rules().collect()} == {1: start, 2: start + timedelta(minutes=1)}
+    with pytest.raises(ValueError, match="required"):
+        store.create_rule("auth", 0, 60, "http://example.invalid/a")
+    with pytest.raises(ValueError, match="rule ids"):
+        store.add_rules(spark.createDataFrame([(1 << 31, None, 1, 1, "u", None)], RULES))
+
+
+def test_read_marks_are_kept(spark, store):
+    start = datetime(2024, 3, 1)
+    store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
+    rules = [(i, None, 1, 60, "http://example.invalid/a", None) for i in range(3)]
+    store.add_rules(spark.createDataFrame(rules, RULES))
+    alert_tick(store, start, 0)
+    unread = lambda: sorted(r["id"] for r in store.notifications().where("not is_read").collect())
+    ids = unread()
+    assert len(ids) == 3
+    store.mark_read(ids[0])
+    assert unread() == ids[1:]
+    store.mark_all_read(start)
+    assert unread() == []
+    alert_tick(store, start + timedelta(minutes=10), 1)
+    assert len(unread()) == 3
 
 
 def test_limits_of_a_stream(store, tmp_path):
     with pytest.raises(ValueError):
-        ingest_stream(store, str(tmp_path), store.path("checkpoint"), max_files=1 << 14)
+        ingest_stream(store, str(tmp_path), store.path("checkpoint"), max_files=0)
 
 
 def test_a_hot_day_is_split(spark, store):
@@ -104,7 +194,7 @@ def test_a_hot_day_is_split(spark, store):
     finally:
         spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
     files = list(Path(store.path("logs")).rglob("*.parquet"))
-    assert len(files) > 1 and {p.parent.parent.name for p in files} == {"log_date=2024-03-01"}
+    assert len(files) > 1 and {p.parent.parent.parent.name for p in files} == {"log_date=2024-03-01"}
     assert store.logs().count() == 200_000 and store.logs().agg(F.min("timestamp")).first()[0] == start
 
 
@@ -132,7 +222,7 @@ def test_alert_ticks(spark, store):
     start = datetime(2024, 3, 1)
     store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
     rules = [(1, "auth", 3, 60, "http://example.invalid/a", None), (2, None, 6, 60, "http://example.invalid/b", None)]
-    store.save_rules(spark.createDataFrame(rules, RULES), -1)
+    store.add_rules(spark.createDataFrame(rules, RULES))
     for tick in (0, 9, 10, 11):
         alert_tick(store, start + timedelta(minutes=tick), tick)
         alert_tick(store, start + timedelta(minutes=tick), tick)
@@ -148,7 +238,7 @@ def test_alert_ticks(spark, store):
 def test_alert_loop(spark, store):
     now = spark.sql("SELECT current_timestamp() AS t").first()["t"]
     store.append_logs(spark.createDataFrame([(1, now, "error", "auth", "m", None)], LOGS), 0)
-    store.save_rules(spark.createDataFrame([(1, None, 1, 600, "http://example.invalid/a", None)], RULES), -1)
+    store.add_rules(spark.createDataFrame([(1, None, 1, 600, "http://example.invalid/a", None)], RULES))
     query = alert_stream(store, store.path("checkpoint"), "1 second")
     try:
         for _ in range(60):
@@ -182,4 +272,3 @@ def test_generated_logs(spark):
     assert NOW - timedelta(days=30) < bounds[0] and bounds[1] <= NOW
     again = synthetic_logs(spark, 7000, NOW).withColumn("attributes", F.to_json("attributes"))
     assert logs.withColumn("attributes", F.to_json("attributes")).exceptAll(again).count() == 0
-    assert cyclic_logs(spark.range(8), NOW).groupBy("level", "service").count().where("count = 2").count() == 4
