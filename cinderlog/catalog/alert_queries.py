@@ -15,7 +15,9 @@ from cinderlog.operators import replay as p
 from cinderlog.operators import retention as r
 from cinderlog.operators.rollup import rollup_kept
 
-START = datetime(2024, 1, 5, 6)
+# The first event is from this day.
+START = datetime(2024, 1, 1)
+MID_MINUTE = datetime(2024, 1, 29, 18, 42, 17, 250_000)
 MARK_ALL_AT = datetime(2024, 1, 10)
 KEEP_DAYS = 7
 CUTOFF_SQL = "TIMESTAMP '2024-01-24 00:00:00'"
@@ -36,7 +38,7 @@ minutes AS (
   SELECT CAST(floor(epoch(timestamp) / 60) AS BIGINT) AS minute, service, count(*) AS n
   FROM logs WHERE level = 'error' GROUP BY ALL),
 scoped AS (SELECT * FROM minutes UNION ALL SELECT minute, NULL, sum(n) FROM minutes GROUP BY minute),
-bounds AS (SELECT CAST(epoch(TIMESTAMP '2024-01-05 06:00:00') / 60 AS BIGINT) + 1 AS first_tick, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') / 60 AS BIGINT) AS last_tick),
+bounds AS (SELECT CAST(epoch(TIMESTAMP '2024-01-01 00:00:00') / 60 AS BIGINT) + 1 AS first_tick, CAST(epoch(TIMESTAMP '2024-01-31 00:00:00') / 60 AS BIGINT) AS last_tick),
 pairs AS (SELECT DISTINCT service, CAST(window_minutes AS BIGINT) AS window_minutes FROM valid_rules WHERE window_minutes > 0),
 dense AS (
   SELECT p.service, p.window_minutes, t.tick, coalesce(s.n, 0) AS n
@@ -53,28 +55,33 @@ def _rules(spark, sf):
 
 
 def _counted(spark, sf):
-    return a.alert_counts(d.logs(spark, sf), _rules(spark, sf), d.AS_OF)
+    return a.alert_counts(d.logs(spark, sf), _rules(spark, sf), d.AS_OF, d.rollup(spark, sf))
 
 
 def _firing(spark, sf):
     return a.alerts_firing(d.logs(spark, sf), _rules(spark, sf), d.AS_OF)
 
 
+def _counted_mid_minute(spark, sf):
+    """At an instant inside a minute: raw rows answer for the first part of each window's first minute."""
+    return a.alert_counts(d.logs(spark, sf), _rules(spark, sf), MID_MINUTE, d.rollup(spark, sf)).select("id", "errors")
+
+
 def _rules_after(spark, sf):
     return a.rules_after(_rules(spark, sf), _firing(spark, sf), d.AS_OF)
 
 
 def _sliding(spark, sf):
     """The ticks at which the sliding count differs from the one before."""
-    logs = d.logs(spark, sf)
-    spans = p.sliding_counts(logs, _rules(spark, sf), START, d.AS_OF)
-    at = minute_to_time(F.col("tick_from"), time_type(logs, "timestamp"))
-    until = minute_to_time(F.col("tick_to"), time_type(logs, "timestamp"))
+    rollup = d.rollup(spark, sf)
+    spans = p.sliding_counts(rollup, _rules(spark, sf), START, d.AS_OF)
+    at = minute_to_time(F.col("tick_from"), time_type(rollup, "bucket_start"))
+    until = minute_to_time(F.col("tick_to"), time_type(rollup, "bucket_start"))
     return spans.select("service", "window_minutes", at.alias("from_tick"), until.alias("to_tick"), "errors")
 
 
 def _replay(spark, sf):
-    return p.replay_alerts(d.logs(spark, sf), _rules(spark, sf), START, d.AS_OF)
+    return p.replay_alerts(d.rollup(spark, sf), _rules(spark, sf), START, d.AS_OF)
 
 
 def _read_state(spark, sf):
@@ -101,6 +108,11 @@ QUERIES = [
     Query("alert_rules_valid", _rules, with_ctes(d.RULES, f"SELECT {RULE} FROM valid_rules")),
     Query("alert_rules_list", lambda spark, sf: a.list_rules(d.rules(spark, sf)), with_ctes(d.RULES, f"SELECT {RULE} FROM rules ORDER BY id DESC")),
     Query("alert_counts", _counted, with_ctes(COUNTS, f"SELECT {RULE}, errors FROM counted")),
+    Query(
+        "alert_counts_mid_minute", _counted_mid_minute,
+        with_ctes(d.LOGS + ", " + d.RULES, """SELECT r.id, (SELECT count(*) FROM logs l WHERE l.level = 'error' AND (r.service IS NULL OR l.service = r.service)
+            AND l.timestamp >= TIMESTAMP '2024-01-29 18:42:17.25' - r.window_minutes * INTERVAL 1 MINUTE) AS errors FROM valid_rules r"""),
+    ),
     Query("alerts_firing", _firing, with_ctes(COUNTS, f"SELECT {RULE}, errors FROM firing")),
     Query(
         "alert_payloads", lambda spark, sf: a.alert_payloads(_firing(spark, sf), d.AS_OF),
@@ -170,7 +182,7 @@ QUERIES = [
         with_ctes(d.LOGS, f"SELECT id, timestamp, level, service, message FROM logs WHERE timestamp >= {CUTOFF_SQL}"),
     ),
     Query(
-        "retention_chunks", lambda spark, sf: r.chunks(d.logs(spark, sf), _cutoff()),
+        "retention_chunks", lambda spark, sf: r.chunks(d.rollup(spark, sf), _cutoff()),
         with_ctes(d.LOGS, f"""SELECT time_bucket(INTERVAL '7 DAYS', timestamp, TIMESTAMP '1970-01-01') AS chunk_start,
             chunk_start + INTERVAL '7 DAYS' AS chunk_end, count(*) AS count, chunk_end <= {CUTOFF_SQL} AS dropped FROM logs GROUP BY ALL"""),
     ),

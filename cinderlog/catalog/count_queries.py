@@ -230,7 +230,7 @@ QUERIES = [
             FROM logs GROUP BY ALL"""),
     ),
     Query(
-        "overview", lambda spark, sf: m.overview(d.logs(spark, sf)),
+        "overview", lambda spark, sf: m.overview(d.logs(spark, sf), d.rollup(spark, sf)),
         with_ctes(d.LOGS, """SELECT count(*) AS total_logs, count(DISTINCT service) AS services_count, count(DISTINCT level) AS levels_count,
             min(timestamp) AS oldest, max(timestamp) AS newest FROM logs"""),
     ),
@@ -243,7 +243,7 @@ QUERIES = [
         with_ctes(d.LOGS, f"SELECT service, count(*) AS count FROM logs WHERE {RECENT} GROUP BY service ORDER BY count DESC, service LIMIT 8"),
     ),
     Query(
-        "overview_json", lambda spark, sf: m.overview_json(d.logs(spark, sf), d.NOW),
+        "overview_json", lambda spark, sf: m.overview_json(d.logs(spark, sf), d.NOW, d.rollup(spark, sf)),
         with_ctes(d.LOGS + f""",
             by_level AS (SELECT level, count(*) AS n FROM logs WHERE {RECENT} GROUP BY level),
             by_service AS (SELECT service, count(*) AS n FROM logs WHERE {RECENT} GROUP BY service ORDER BY n DESC, service LIMIT 8)""", """

@@ -57,7 +57,20 @@ def _export(spark, sf):
     return read_csv(spark, path, "`Timestamp` string, `Level` string, `Service` string, `Message` string")
 
 
+def _response(spark, sf):
+    found = ops.search_response(d.logs(spark, sf), LogQuery(service="auth", limit=37))
+    ids = F.array_join(F.transform("logs", lambda row: row["id"].cast("string")), ",")
+    return found.select(ids.alias("ids"), "total", "next_cursor")
+
+
 QUERIES = [
+    Query(
+        "search_response", _response,
+        with_ctes(d.LOGS + f", found AS (SELECT * FROM logs WHERE service = 'auth'), page AS (SELECT timestamp, id FROM found {NEWEST} LIMIT 37)", """
+            SELECT (SELECT string_agg(CAST(id AS VARCHAR), ',' ORDER BY timestamp DESC, id DESC) FROM page) AS ids, (SELECT count(*) FROM found) AS total,
+                   CASE WHEN (SELECT count(*) FROM page) = 37 THEN base64(encode(concat('{"timestamp":"', strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f'), 'Z","id":', CAST(id AS VARCHAR), '}'))) END AS next_cursor
+            FROM page ORDER BY timestamp, id LIMIT 1"""),
+    ),
     Query("search_service", _filter(LogQuery(service="checkout")), _sql("WHERE service = 'checkout'")),
     Query("search_levels", _filter(LogQuery(levels=("warn", "error"))), _sql("WHERE level IN ('warn', 'error')")),
     Query(

@@ -44,6 +44,19 @@ def mask_digits(col: Column) -> Column:
 EXPONENT_FORM = r"^-?[0-9]\.[0-9]+E-?[0-9]+$"
 
 
+# Plain decimals below a millionth.
+SMALL_FORM = r"^-?0\.0{6,}[1-9][0-9]*$"
+
+
+def small_number(text: Column) -> Column:
+    """A plain decimal below a millionth the way scripts write it: with an exponent."""
+    zeros = F.length(F.regexp_extract(text, r"\.(0*)", 1))
+    digits = F.regexp_replace(F.regexp_extract(text, r"\.0*([1-9][0-9]*)$", 1), "0+$", "")
+    tail = F.when(F.length(digits) > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), F.length(digits)))).otherwise("")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    return F.concat(sign, F.substring(digits, 1, 1), tail, F.lit("e-"), (zeros + 1).cast("string"))
+
+
 def script_number(text: Column) -> Column:
     """Spark's text of a floating point number as scripts write it: without a needless point, in
     plain digits for exponents from -6 to 20, otherwise with a signed exponent."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cinderlog.functions.numbers import half_up, percent
@@ -13,7 +13,8 @@ from cinderlog.functions.text import mask_digits
 from cinderlog.functions.times import iso_millis, ts_literal
 from cinderlog.operators.aggregate import aggregate_rollup, last, rollup_rows
 from cinderlog.operators.quantile import exact_quantile, histogram
-from cinderlog.operators.search import newest_first
+from cinderlog.operators.search import in_range, newest_first
+from cinderlog.sources.workspace import written
 
 HOUR, DAY, WEEK = timedelta(hours=1), timedelta(days=1), timedelta(days=7)
 
@@ -26,20 +27,38 @@ WARNING_RATE, DEGRADED_RATE = 1.0, 2.5
 STATUS_ORDER = ("HEALTHY", "WARNING", "DEGRADED")
 
 
-def overview(logs: DataFrame) -> DataFrame:
-    """Totals in one pass: the raw rows shrink to (service, level) before anything distinct."""
-    pairs = logs.groupBy("service", "level").agg(
-        F.count("*").alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest")
-    )
+def overview(logs: DataFrame, rollup: DataFrame | None = None) -> DataFrame:
+    """Totals in one pass: the rows shrink to (service, level) before anything distinct.
+
+    With a roll-up everything but the exact first and last instant comes from it, and raw rows are only read of
+    the minutes in which those lie.
+    """
+    if rollup is None:
+        pairs = logs.groupBy("service", "level").agg(
+            F.count("*").alias("n"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest")
+        )
+        oldest, newest = F.min("oldest"), F.max("newest")
+    else:
+        pairs = rollup.groupBy("service", "level").agg(F.sum("count").alias("n"))
+        ends = rollup.agg(F.min("bucket_start").alias("first"), F.max("bucket_start").alias("last")).first()
+        oldest, newest = (_instant(logs, minute, pick) for minute, pick in ((ends["first"], F.min), (ends["last"], F.max)))
     return pairs.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total_logs"),
+        F.coalesce(F.sum("n"), F.lit(0)).cast("long").alias("total_logs"),
         F.count_distinct("service").alias("services_count"),
         F.count_distinct("level").alias("levels_count"),
-        F.min("oldest").alias("oldest"),
-        F.max("newest").alias("newest"),
+        oldest.alias("oldest"),
+        newest.alias("newest"),
     )
 
 
+def _instant(logs: DataFrame, minute: datetime | None, pick) -> Column:
+    """The first or last instant of a minute, as a scalar subquery over that minute's rows."""
+    if minute is None:
+        return F.lit(None).cast(logs.schema["timestamp"].dataType)
+    rows = in_range(logs, minute, minute + timedelta(minutes=1))
+    return rows.agg(pick("timestamp")).scalar()
+
+
 def _recent(logs: DataFrame, as_of: datetime) -> DataFrame:
     """The last 24 hours, without their first instant."""
     start = as_of - DAY
@@ -57,7 +76,7 @@ def recent_top_services(logs: DataFrame, as_of: datetime, top: int = 8) -> DataF
     return counts.orderBy(F.desc("count"), "service").limit(top)
 
 
-def overview_json(logs: DataFrame, as_of: datetime) -> DataFrame:
+def overview_json(logs: DataFrame, as_of: datetime, rollup: DataFrame | None = None) -> DataFrame:
     """The overview as one JSON document. The lists hold four levels and eight services at most."""
     def packed(counts: DataFrame, key: str, name: str) -> DataFrame:
         # Sorting by the negated count gives the biggest first, then by name.
@@ -73,7 +92,7 @@ def overview_json(logs: DataFrame, as_of: datetime) -> DataFrame:
         iso_millis(F.col("oldest")).alias("oldest"), iso_millis(F.col("newest")).alias("newest"),
         levels.alias("last_24h_by_level"), services.alias("last_24h_by_service"),
     )
-    return overview(logs).select(F.to_json(document).alias("context"))
+    return overview(logs, rollup).select(F.to_json(document).alias("context"))
 
 
 def _summed(df: DataFrame, name: str) -> DataFrame:
@@ -179,20 +198,26 @@ def summary_page(summary: DataFrame, page: int = 1, by: str = "service", size: i
 
 
 def top_errors(logs: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent error messages, alike up to their digits; the earlier one first among equals.
+    """The `top` (1 to 1000) most frequent error messages, alike up to their digits; the earlier one first among equals.
 
     Messages may be long, so they are counted by digest, and only the texts of the winners, at
     most `top` of them, are fetched afterwards.
     """
+    if not 1 <= top <= 1000:
+        raise ValueError("top must be between 1 and 1000")
     template = mask_digits(F.col("message"))
     errors = logs.where(F.col("level") == "error").select("timestamp", template.alias("template"))
     errors = errors.withColumn("digest", F.md5("template"))
     clusters = errors.groupBy("digest").agg(
         F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen")
     )
-    winners = clusters.orderBy(F.desc("count"), "first_seen", "digest").limit(top)
-    texts = errors.join(F.broadcast(winners), "digest").groupBy("digest", "count", "first_seen", "last_seen")
-    named = texts.agg(F.first("template").alias("template"))
+    winners = written(clusters.orderBy(F.desc("count"), "first_seen", "digest").limit(top), "top-errors")
+    # At most `top` instants: with them the second read opens only the row groups that can hold a winner's first text.
+    seen = [row[0] for row in winners.select("first_seen").distinct().collect()]
+    first = in_range(logs, min(seen), max(seen) + timedelta(microseconds=1)) if seen else logs.where("false")
+    first = first.where((F.col("level") == "error") & F.col("timestamp").isin([ts_literal(t.replace(tzinfo=None), logs) for t in seen]))
+    first = first.select(template.alias("template")).withColumn("digest", F.md5("template"))
+    named = first.groupBy("digest").agg(F.first("template").alias("template")).join(winners, "digest")
     return named.select("template", "count", "first_seen", "last_seen").orderBy(F.desc("count"), "first_seen")
 
 

@@ -12,6 +12,7 @@ from cinderlog.operators.alerts import rule_scope
 
 
 def alert_notifications(firing: DataFrame, as_of: datetime) -> DataFrame:
+    # Types, titles and messages of notifications, here and below.
     scope = rule_scope(F.col("service"))
     now = literal_like(as_of, time_type(firing, "last_triggered_at"))
     return firing.select(

@@ -10,14 +10,16 @@ day or one row per day.
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlog.functions.times import epoch_minute, literal_like, minute_number, minute_to_time, time_type, ts_literal
-from cinderlog.operators.alerts import by_scope, recent_errors, rule_scope, widest_window
+from cinderlog.functions.times import epoch_minute, floor_minute, minute_number, minute_to_time, time_type
+from cinderlog.operators.alerts import by_scope, rule_scope
+from cinderlog.operators.search import in_range
 from cinderlog.schemas import ALERT_COOLDOWN_MINUTES
+from cinderlog.sources.workspace import written
 
 DAY = 1440
 PAIR = ["service", "window_minutes"]
@@ -36,6 +38,8 @@ def _pairs(rules: DataFrame) -> DataFrame:
 def sliding_counts(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """Error count at every minute tick in (start, end], per distinct (service, window) of the rules.
 
+    `logs` is the logs table, or the roll-up, which has all that is needed.
+
     Given as (service, window_minutes, tick_from, tick_to, errors): the count holds for the ticks
     tick_from <= tick < tick_to, numbered in minutes since the epoch. Intervals end where the count
     may change and at midnight.
@@ -50,13 +54,16 @@ def _steps(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) ->
     of the sum of the days before.
     """
     first, last = epoch_minute(start) + 1, epoch_minute(end)
-    dtype = time_type(logs, "timestamp")
-    oldest = literal_like(start, dtype) - F.make_dt_interval(mins=widest_window(rules))
-    errors = recent_errors(logs, oldest).where(F.col("timestamp") < ts_literal(end, logs))
-    if "log_date" in logs.columns:
-        errors = errors.where(F.col("log_date") <= F.lit(end.date()))
-    minutes = errors.groupBy("service", minute_number(F.col("timestamp")).alias("minute")).agg(F.count("*").alias("n"))
-    counts = by_scope(minutes, "minute")
+    widest = rules.agg(F.coalesce(F.max("window_minutes"), F.lit(0))).first()[0]
+    oldest = start - timedelta(minutes=widest)
+    if "bucket_start" in logs.columns:
+        errors = in_range(logs.where(F.col("level") == "error"), floor_minute(oldest), end, "bucket_start")
+        minute, count = minute_number(F.col("bucket_start")), F.sum("count")
+    else:
+        errors = in_range(logs.where(F.col("level") == "error"), oldest, end)
+        minute, count = minute_number(F.col("timestamp")), F.count("*")
+    # Looked at several times below: written once, a row per service and minute with errors.
+    counts = written(by_scope(errors.groupBy("service", minute.alias("minute")).agg(count.alias("n")), "minute"), "error-minutes")
     pairs = _pairs(rules)
     mine = counts.withColumnRenamed("service", "_service")
     joined = mine.join(pairs, F.col("_service").eqNullSafe(pairs["service"]))
@@ -182,7 +189,7 @@ def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datet
 
     Rules that agree in service, window and threshold fire alike and are replayed once.
     """
-    steps = _steps(logs, rules, start, end)
+    steps = written(_steps(logs, rules, start, end), "replay-steps")
     runs = _runs(steps, rules)
     waits, same_day = _null_safe(runs, _waits(runs), RULE + ["day"])
 
@@ -208,5 +215,5 @@ def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datet
         F.col("window_minutes").cast("long").alias("window_minutes"), F.col("threshold").cast("long").alias("threshold"),
     )
     asked, same_rule = _null_safe(filled, asked, RULE)
-    fired_at = minute_to_time(F.col("tick"), time_type(logs, "timestamp"))
+    fired_at = minute_to_time(F.col("tick"), time_type(logs, "bucket_start" if "bucket_start" in logs.columns else "timestamp"))
     return filled.join(asked, same_rule).select("rule_id", fired_at.alias("fired_at"), "errors")

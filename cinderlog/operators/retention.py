@@ -30,8 +30,13 @@ def kept(logs: DataFrame, limit: datetime) -> DataFrame:
     return rows.where(F.col("log_date") >= F.lit(limit.date())) if "log_date" in logs.columns else rows
 
 
-def chunks(logs: DataFrame, limit: datetime, days: int = CHUNK_DAYS) -> DataFrame:
-    """Chunks of the table and whether each goes: only one that lies wholly before the cutoff does."""
-    counted = logs.groupBy(F.window("timestamp", f"{days} days").alias("w")).agg(F.count("*").alias("count"))
-    gone = F.col("w.end") <= ts_literal(limit, logs)
+def chunks(rows: DataFrame, limit: datetime, days: int = CHUNK_DAYS) -> DataFrame:
+    """Chunks of the table and whether each goes: only one that lies wholly before the cutoff does.
+
+    Chunks begin on whole minutes, so the roll-up (a table with bucket_start) counts them exactly and cheaply.
+    """
+    rolled = "bucket_start" in rows.columns
+    time, count = ("bucket_start", F.sum("count")) if rolled else ("timestamp", F.count("*"))
+    counted = rows.groupBy(F.window(time, f"{days} days").alias("w")).agg(count.alias("count"))
+    gone = F.col("w.end") <= ts_literal(limit, rows, time)
     return counted.select(F.col("w.start").alias("chunk_start"), F.col("w.end").alias("chunk_end"), "count", gone.alias("dropped"))

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from cinderlog.functions.text import matches_text
@@ -81,10 +81,26 @@ def total(logs: DataFrame, query: LogQuery) -> DataFrame:
 def next_cursor(page: DataFrame, limit: int) -> DataFrame:
     """One row with the cursor behind a page; NULL unless the page is full."""
     last = F.min(F.struct("timestamp", "id"))
+    counted = page.agg(F.count("*").alias("n_rows"), last.alias("last"))
+    return counted.select("n_rows", _cursor_after(F.col("n_rows"), limit).alias("next_cursor"))
+
+
+def search_response(logs: DataFrame, query: LogQuery) -> DataFrame:
+    """One row that answers a search: `logs` (the page, newest first), `total` (of all matching rows) and `next_cursor`.
+
+    The page is at most 1000 rows; it is searched once, and the total is a count next to it.
+    """
+    page = search(logs, query).withColumn("attributes", F.to_json("attributes"))
+    fields = F.struct("timestamp", "id", "level", "service", "message", "attributes")
+    last = F.min(F.struct("timestamp", "id"))
+    packed = page.agg(F.sort_array(F.collect_list(fields), asc=False).alias("logs"), last.alias("last"))
+    return packed.select("logs", total(logs, query).scalar().alias("total"), _cursor_after(F.size("logs"), query.limit).alias("next_cursor"))
+
+
+def _cursor_after(rows: Column, limit: int) -> Column:
+    """The cursor behind a page that ends with the row `last`; NULL unless the page is full."""
     text = F.to_json(F.struct(iso_micros(F.col("last.timestamp")).alias("timestamp"), F.col("last.id").alias("id")))
-    return page.agg(F.count("*").alias("n_rows"), last.alias("last")).select(
-        "n_rows", F.when(F.col("n_rows") == limit, F.base64(text)).alias("next_cursor")
-    )
+    return F.when(rows == limit, F.base64(text))
 
 
 def pages(logs: DataFrame, query: LogQuery) -> Iterator[list[Row]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.functions.text import is_blank, script_number
+from cinderlog.functions.text import SMALL_FORM, is_blank, script_number, small_number
 from cinderlog.functions.times import ISO_PATTERN
 from cinderlog.schemas import FUTURE_SLACK_MINUTES, LEVELS
 from cinderlog.sources.batches import faulty_attributes, is_null_value, is_nested
@@ -74,12 +74,15 @@ def _fault_reason(raw: Column) -> Column:
 
 
 def _rewritten(texts: Column, source: Column, path: str) -> Column:
-    """Attribute texts with the numbers written anew that had an exponent: those are DOUBLE to
-    Spark, all other numbers are exact and keep their text."""
+    """Attribute texts with the numbers written anew that had an exponent, or are too small to be
+    written without: the former are DOUBLE to Spark, other numbers are exact and keep their text."""
     values = F.try_variant_get(source, path, "map<string,variant>")
-    return F.transform_values(
-        texts, lambda k, v: F.when(_kind(values[k]) == "DOUBLE", script_number(v)).otherwise(v)
-    )
+
+    def text_of(key: Column, text: Column) -> Column:
+        small = text.rlike(SMALL_FORM) & _kind(values[key]).startswith("DECIMAL")
+        return F.when(small, small_number(text)).when(_kind(values[key]) == "DOUBLE", script_number(text)).otherwise(text)
+
+    return F.transform_values(texts, text_of)
 
 
 def validate(opened: DataFrame, as_of: Column) -> DataFrame:

@@ -12,7 +12,8 @@ MALFORMED = "malformed JSON"
 TOO_LARGE = "payload too large"
 NO_ARRAY = "body must contain a 'logs' array"
 
-EXPONENT_VALUE = r":\s*-?[0-9.]+[eE][+-]?[0-9]+\s*[,}]"
+# Numbers whose text may have to be written anew: with an exponent, or below a millionth.
+EXPONENT_VALUE = r":\s*-?(?:[0-9.]+[eE][+-]?[0-9]+|0\.0{6}[0-9]*)\s*[,}]"
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:

@@ -32,7 +32,7 @@ def alert_tick(store: LogStore, as_of: datetime, tick: int, stream: int = 0) ->
     """Evaluate all rules at one instant. Reads trigger times as they were before this tick and writes only to folders
     of this tick, and only if a rule fires, so it can be repeated and quiet ticks leave nothing behind."""
     rules = store.rules(stream, before=tick)
-    fired = alerts_firing(store.logs(), rules, as_of).persist()
+    fired = alerts_firing(store.logs(), rules, as_of, store.rollup()).persist()
     try:
         if fired.isEmpty():
             store.drop_epoch("alerts", tick, stream)

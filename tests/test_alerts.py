@@ -6,6 +6,7 @@ import pytest
 from cinderlog.functions.times import epoch_minute
 from cinderlog.operators import alerts as a
 from cinderlog.operators import notifications as n
+from cinderlog.operators.rollup import build_rollup
 from cinderlog.operators.replay import replay_alerts, sliding_counts
 from cinderlog.schemas import LOGS, RULES
 
@@ -89,6 +90,17 @@ def brute_replay(errors, rules, start, end):
     return fired
 
 
+@pytest.mark.parametrize("as_of", [datetime(2024, 3, 3, 7, 0), datetime(2024, 3, 3, 7, 0, 23, 500_000), datetime(2024, 3, 2, 0, 0, 0, 1)])
+def test_counts_from_the_rollup_are_those_from_raw_rows(spark, sample_df, stored, as_of):
+    windows = (1, 2, 7, 60, 1440, 5000)
+    rules = rules_df(spark, *[(i, s, 1, w, "u", None) for i, (s, w) in enumerate((s, w) for s in (None, "hot", "nobody") for w in windows)])
+    counts = lambda df: {r["id"]: r["errors"] for r in df.collect()}
+    raw = counts(a.alert_counts(sample_df, rules, as_of))
+    assert counts(a.alert_counts(stored.logs(), rules, as_of, build_rollup(sample_df))) == raw
+    plan = a.alert_counts(stored.logs(), rules, as_of, build_rollup(sample_df))._jdf.queryExecution().executedPlan().toString()
+    assert ("log_date" in plan) == (as_of.second + as_of.microsecond > 0)
+
+
 @pytest.mark.parametrize("start, end", [
     (datetime(2024, 3, 1, 21), datetime(2024, 3, 2, 4)), (datetime(2024, 3, 2), datetime(2024, 3, 3)), (datetime(2024, 3, 1, 23, 55), datetime(2024, 3, 2, 0, 5)),
 ])
@@ -102,6 +114,7 @@ def test_replay_matches_a_minute_by_minute_loop(spark, start, end):
     ]
     logs, rules_frame = spark.createDataFrame(rows, LOGS), rules_df(spark, *rules)
     got = replay_alerts(logs, rules_frame, start, end).collect()
+    assert sorted(got) == sorted(replay_alerts(build_rollup(logs), rules_frame, start, end).collect())
     assert len(got) == len({tuple(r) for r in got})
     assert {(r["rule_id"], r["fired_at"], r["errors"]) for r in got} == brute_replay(moments, rules, start, end)
 
