@@ -15,7 +15,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cinderlog.functions.times import epoch_minute, floor_minute, minute_number, minute_to_time, time_type
+from cinderlog.functions.times import MINUTE_US, epoch_minute, floor_minute, micros, minute_number, minute_to_time, time_type, ts_literal
 from cinderlog.operators.alerts import by_scope, rule_scope
 from cinderlog.operators.search import in_range
 from cinderlog.schemas import ALERT_COOLDOWN_MINUTES
@@ -23,7 +23,7 @@ from cinderlog.sources.workspace import written
 
 DAY = 1440
 PAIR = ["service", "window_minutes"]
-RULE = PAIR + ["threshold"]
+RULE = PAIR + ["threshold", "quiet"]
 
 
 def _day(tick: Column) -> Column:
@@ -184,13 +184,32 @@ def _waits(runs: DataFrame) -> DataFrame:
     return steps.select(*RULE, F.explode(waits).alias("w")).select(*RULE, "w.day", "w.wait")
 
 
+def _quiet_until(rules: DataFrame, start: datetime) -> Column:
+    """The first tick at which a rule may fire; 0 if its last alert is no matter."""
+    last = F.col("last_triggered_at")
+    minute = F.ceil(micros(last) / MINUTE_US).cast("long") + ALERT_COOLDOWN_MINUTES
+    counts = (last <= ts_literal(start, rules, "last_triggered_at")) & (minute > epoch_minute(start) + 1)
+    return F.when(counts, minute).otherwise(0).cast("long")
+
+
 def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datetime) -> DataFrame:
     """(rule_id, fired_at, errors) for every alert the rules would have raised in (start, end].
 
-    Rules that agree in service, window and threshold fire alike and are replayed once.
+    A rule whose last_triggered_at is not after `start` begins with what is left of its cooldown; a later one belongs
+    to the history that is replayed and is left out of account. Rules that agree in service, window, threshold and
+    this rest fire alike and are replayed once.
     """
     steps = written(_steps(logs, rules, start, end), "replay-steps")
+    asked = rules.select(
+        F.col("id").alias("rule_id"), rule_scope(F.col("service")).alias("service"), F.col("window_minutes").cast("long").alias("window_minutes"),
+        F.col("threshold").cast("long").alias("threshold"), _quiet_until(rules, start).alias("quiet"),
+    )
     runs = _runs(steps, rules)
+    kinds, same = _null_safe(runs, asked.select(*RULE).distinct(), PAIR + ["threshold"])
+    runs = runs.join(kinds, same).select(
+        *PAIR, "threshold", "quiet", "day",
+        F.transform("runs", lambda run: F.struct(F.greatest(run["a"], F.col("quiet")).alias("a"), run["b"].alias("b"))).alias("runs"),
+    ).withColumn("runs", F.filter("runs", lambda run: run["a"] < run["b"]))
     waits, same_day = _null_safe(runs, _waits(runs), RULE + ["day"])
 
     def fire(acc: Column, run: Column) -> Column:
@@ -206,14 +225,10 @@ def replay_alerts(logs: DataFrame, rules: DataFrame, start: datetime, end: datet
     fired = runs.join(waits, same_day).select(*RULE, "day", F.explode(ticks).alias("tick"))
     fired = fired.where(F.col("tick") <= epoch_minute(end))
     # The count at a firing is that of the interval it falls into.
-    counts = steps.select(*PAIR, F.lit(None).cast("long").alias("threshold"), "day", F.col("tick_from").alias("tick"), "errors")
+    counts = steps.select(*PAIR, F.lit(None).cast("long").alias("threshold"), F.lit(None).cast("long").alias("quiet"), "day", F.col("tick_from").alias("tick"), "errors")
     both = counts.unionByName(fired.withColumn("errors", F.lit(None).cast("long")))
     upto = Window.partitionBy(*PAIR, "day").orderBy("tick", F.asc_nulls_first("threshold"))
     filled = both.withColumn("errors", F.last("errors", ignorenulls=True).over(upto)).where("threshold IS NOT NULL")
-    asked = rules.select(
-        F.col("id").alias("rule_id"), rule_scope(F.col("service")).alias("service"),
-        F.col("window_minutes").cast("long").alias("window_minutes"), F.col("threshold").cast("long").alias("threshold"),
-    )
     asked, same_rule = _null_safe(filled, asked, RULE)
     fired_at = minute_to_time(F.col("tick"), time_type(logs, "bucket_start" if "bucket_start" in logs.columns else "timestamp"))
     return filled.join(asked, same_rule).select("rule_id", fired_at.alias("fired_at"), "errors")

@@ -2,6 +2,7 @@ from collections import Counter
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from cinderlog.functions.times import epoch_minute
 from cinderlog.operators import alerts as a
@@ -119,6 +120,16 @@ def test_replay_matches_a_minute_by_minute_loop(spark, start, end):
     assert {(r["rule_id"], r["fired_at"], r["errors"]) for r in got} == brute_replay(moments, rules, start, end)
 
 
+def test_replay_begins_with_the_rest_of_a_cooldown(spark):
+    start, end = datetime(2024, 3, 1, 21), datetime(2024, 3, 1, 21, 40)
+    logs = errors_df(spark, [datetime(2024, 3, 1, 20, 30)])
+    ago = [None, 25, 10, 5, 4.5, 0, -3]
+    rules = rules_df(spark, *[(i, None, 1, 600, "u", None if m is None else start - timedelta(minutes=m)) for i, m in enumerate(ago)])
+    first = {r["rule_id"]: r["m"] for r in replay_alerts(logs, rules, start, end).groupBy("rule_id").agg(F.min("fired_at").alias("m")).collect()}
+    wait = {i: 1 for i in (0, 1, 2, 6)} | {3: 5, 4: 6, 5: 10}
+    assert first == {i: start + timedelta(minutes=m) for i, m in wait.items()}
+
+
 def test_sliding_counts_cover_every_tick_once(spark):
     start, end = datetime(2024, 3, 1, 22), datetime(2024, 3, 3, 1)
     logs = errors_df(spark, [start + timedelta(minutes=5 * i) for i in range(20)])
