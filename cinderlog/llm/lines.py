@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import WORD_HASHES, Rolling, mixed, ready
+from cinderlog.llm.common import WORD_HASHES, Rolling, mixed, ready, running_totals
 from cinderlog.sources.workspace import written
 
 MIN_WORDS = 5
@@ -86,46 +86,51 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The deletion neighbourhoods of the wanted lines (doc_id, text_key, lines: array of line numbers).
+    """The deletion neighbourhoods of the wanted lines: doc_id, text_key, lines (array of line_no, number, head, tail).
 
     Gives per line its words' text and keys: `swaps`, one per word, shared by lines that differ in that word alone;
     `whole`, and `deletions`, that of the line without a word: lines of which one has a word more share them crosswise.
+    A line that shares only its first half (head) with others can differ from them only behind it, and only words there
+    are left out; likewise for its last half (tail).
     """
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            texts = batch["text"].to_pylist()
             asked = batch["lines"].to_pylist()
-            picked = ["\n".join(text.split("\n")[n] for n in numbers) for text, numbers in zip(texts, asked)]
+            picked = ["\n".join(_picked(text, one)) for text, one in zip(batch["text"].to_pylist(), asked)]
+            asked = [line for one in asked for line in one]
             lines = _Lines(picked)
             words = lines.words
+            half = np.maximum(words - 1, 0) // 2
+            head, tail = (np.array([line[side] for line in asked], bool) for side in ("head", "tail"))
             owner = np.repeat(np.arange(len(words)), words)
             at = np.arange(len(owner))
-            place = (at - lines.start[owner]).astype(np.uint64)
+            place = at - lines.start[owner]
+            open_ = (head[owner] & (place >= half[owner])) | (tail[owner] & (place < (words - half)[owner]))
+            owner, at, place = owner[open_], at[open_], place[open_].astype(np.uint64)
             rest = lines.roll.without(lines.start[owner], lines.end[owner], at)
             size = words[owner].astype(np.uint64)
             swaps = mixed(rest + size * _LENGTH + (place + np.uint64(1)) * _PLACE)
             deletions = mixed(rest + (size - np.uint64(1)) * _LENGTH + _DELETED)
             whole = mixed(lines.roll.run(lines.start, lines.end) + words.astype(np.uint64) * _LENGTH + _DELETED)
-            offsets = pa.array(np.concatenate([[0], lines.end]).astype(np.int32))
-            rows = pa.array(lines.text_no)
-            numbers = [n for one in asked for n in one]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int32))
             content = [" ".join(_words(line)) for text in picked for line in text.split("\n")]
             yield pa.RecordBatch.from_arrays([
-                batch["doc_id"].take(rows), batch["text_key"].take(rows), pa.array(numbers, pa.int32()), pa.array(words, pa.int32()),
-                pa.array(lines.h1), pa.array(lines.h2), pa.array(content), pa.array(whole.view(np.int64)),
+                pa.array([line["number"] for line in asked], pa.int64()), pa.array(lines.h1), pa.array(content), pa.array(whole.view(np.int64)),
                 pa.ListArray.from_arrays(offsets, pa.array(swaps.view(np.int64))),
                 pa.ListArray.from_arrays(offsets, pa.array(deletions.view(np.int64))),
-            ], names)
+            ], ["number", "h1", "content", "whole", "swaps", "deletions"])
 
-    schema = "doc_id long, text_key long, line_no int, n_words int, h1 long, h2 long, content string, whole long, swaps array<long>, deletions array<long>"
-    names = [field.split()[0] for field in schema.split(", ")]
     asked = wanted.selectExpr("doc_id as w_doc", "text_key as w_key", "lines")
     texts = _keyed(docs).join(asked, F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("text_key") == F.col("w_key")))
-    # Rows alike in id and text ask for the same lines; one of them is enough, and any will do.
-    return texts.select("doc_id", "text_key", "text", "lines").mapInArrow(expand, schema)
+    return texts.select("text", "lines").mapInArrow(expand, "number long, h1 long, content string, whole long, swaps array<long>, deletions array<long>")
+
+
+def _picked(text: str, lines: list[dict]) -> list[str]:
+    parts = text.split("\n")
+    return [parts[line["line_no"]] for line in lines]
 
 
 def _words(line: str) -> list[str]:
@@ -153,36 +158,44 @@ def _verified(links: DataFrame) -> DataFrame:
     return links.where(close("content", "keeper_content"))
 
 
+def _sided(halves: Column, kind: int) -> Column:
+    return F.transform(F.array_distinct(halves), lambda half: F.struct(half.alias("half"), F.lit(kind).alias("kind")))
+
+
 def near_lines(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     """(h1, h2, keeper) for distinct lines that have an earlier one within one word; keeper is the earliest such.
 
     First the lines that share half of themselves with another are found, which all near lines do; only those are
-    expanded. Each key then meets its earliest line, so no two lines of a group are ever paired with each other.
+    numbered, in the order of their places, and expanded. Each key then meets the smallest number that has it, so no two
+    lines of a group are ever paired with each other.
     """
     distinct = keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min(where_in()).alias("place"), F.first("halves").alias("halves"))
     distinct = written(distinct, "distinct-lines")
-    halves = distinct.select("h1", "h2", "place", F.explode(F.array_distinct("halves")).alias("half"))
+    sides = [_sided(F.array(F.col("halves")[kind], F.col("halves")[kind + 2]), kind) for kind in (0, 1)]
+    halves = distinct.select("h1", F.explode(F.concat(*sides)).alias("side")).select("h1", "side.*")
     shared = halves.groupBy("half").count().where("count > 1").select("half")
-    asked = written(halves.join(shared, "half", "left_semi").select("place").distinct(), "shared-halves")
-    asked = asked.select("place.*").groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("line_no")).alias("lines"))
-    expanded = variants(docs, asked).dropDuplicates(["h1", "h2"])
+    sharing = halves.join(shared, "half", "left_semi").groupBy("h1")
+    sharing = sharing.agg(F.max(F.col("kind") == 0).alias("head"), F.max(F.col("kind") == 1).alias("tail"))
+    asked = distinct.join(sharing, "h1").select("place.*", "h1", "h2", "head", "tail", F.lit(1).alias("one"))
+    order = [F.col(name) for name in ("doc_id", "text_key", "line_no", "h1", "h2")]
+    asked = written(running_totals(asked, order, "number", "one"), "shared-halves")
+    line = F.struct("line_no", "number", "head", "tail")
+    expanded = variants(docs, asked.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_list(line)).alias("lines")))
     expanded = written(expanded, "line-variants")
-    line = F.struct(*[F.col(c) for c in ("doc_id", "text_key", "line_no", "h1", "h2")]).alias("line")
-    swaps = expanded.select(line, F.lit(0).alias("role"), F.explode("swaps").alias("key"))
-    shorter = expanded.select(line, F.lit(1).alias("role"), F.col("whole").alias("key"))
-    longer = expanded.select(line, F.lit(2).alias("role"), F.explode(F.array_distinct("deletions")).alias("key"))
+    swaps = expanded.select(F.explode("swaps").alias("key"), F.lit(0).alias("role"), "number")
+    shorter = expanded.select(F.col("whole").alias("key"), F.lit(1).alias("role"), "number")
+    longer = expanded.select(F.explode(F.array_distinct("deletions")).alias("key"), F.lit(2).alias("role"), "number")
     every = swaps.union(shorter).union(longer)
-    earliest = every.groupBy("key").agg(
-        *[F.min(F.when(F.col("role") == role, F.col("line"))).alias(f"line{role}") for role in range(3)], F.count("*").alias("n")
-    ).where("n > 1")
-    facing = F.when(F.col("role") == 0, F.col("line0")).when(F.col("role") == 1, F.col("line2")).otherwise(F.col("line1"))
-    links = every.join(earliest, "key").select("line", facing.alias("keeper")).where("keeper < line")
-    links = links.groupBy("line").agg(F.min("keeper").alias("keeper")).select(
-        F.col("line.h1"), F.col("line.h2"), "keeper", F.col("keeper.h1").alias("k1"), F.col("keeper.h2").alias("k2"),
-    )
-    contents = expanded.select("h1", "h2", "content")
-    links = links.join(contents, ["h1", "h2"]).join(contents.selectExpr("h1 k1", "h2 k2", "content keeper_content"), ["k1", "k2"])
-    return _verified(links).select("h1", "h2", F.struct("keeper.doc_id", "keeper.text_key", "keeper.line_no").alias("keeper"))
+    least = [F.min(F.when(F.col("role") == role, F.col("number"))).alias(f"least{role}") for role in range(3)]
+    earliest = every.groupBy("key").agg(*least, F.count("*").alias("n")).where("n > 1")
+    facing = F.when(F.col("role") == 0, F.col("least0")).when(F.col("role") == 1, F.col("least2")).otherwise(F.col("least1"))
+    links = every.join(earliest, "key").select("number", facing.alias("keeper")).where("keeper < number")
+    links = written(links.groupBy("number").agg(F.min("keeper").alias("keeper")), "near-numbers")
+    contents = expanded.select("number", "content").dropDuplicates(["number"])
+    both = links.join(contents, "number").join(contents.selectExpr("number keeper", "content keeper_content"), "keeper")
+    places = asked.select(F.col("number").alias("keeper"), where_in().alias("place"))
+    checked = _verified(both).select("number", "keeper").join(asked.select("number", "h1", "h2"), "number").join(places, "keeper")
+    return checked.select("h1", "h2", F.col("place").alias("keeper"))
 
 
 def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
