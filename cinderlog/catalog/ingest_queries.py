@@ -81,6 +81,14 @@ def _stream(spark, sf):
     return _plain(store.logs().drop("id", "stream", "epoch", "log_date"))
 
 
+def _stream_lines(spark, sf):
+    """The batches as lines of a few files."""
+    store, path = LogStore(spark, new_folder(spark, "ingest")), new_folder(spark, "landing-lines")
+    d.bodies(spark, sf).select("body").repartition(3).write.text(path)
+    ingest_stream(store, path, store.path("checkpoint"), as_of=d.INGEST_TIME, max_files=2, lines=True).awaitTermination()
+    return _plain(store.logs().drop("id", "stream", "epoch", "log_date"))
+
+
 def _synthetic(spark, sf):
     numbers = d.table(spark, sf, "events").select(F.col("event_id").alias("id"))
     return _plain(logs_from(numbers, datetime(2024, 1, 31)))
@@ -157,6 +165,7 @@ QUERIES = [
         with_ctes(d.ENTRIES, ACCEPTED_SQL.format(columns=f"batch_id * 16777216 + index AS id, {ROW}, CAST(timestamp AS DATE) AS log_date")),
     ),
     Query("stream_ingest", _stream, with_ctes(d.ENTRIES, ACCEPTED_SQL.format(columns=ROW))),
+    Query("stream_ingest_lines", _stream_lines, with_ctes(d.ENTRIES, ACCEPTED_SQL.format(columns=ROW))),
     Query("synthetic_logs", _synthetic, _synthetic_sql()),
     Query(
         "synthetic_cycle", _cyclic,

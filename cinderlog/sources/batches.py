@@ -16,14 +16,26 @@ NO_ARRAY = "body must contain a 'logs' array"
 EXPONENT_VALUE = r":\s*-?(?:[0-9.]+[eE][+-]?[0-9]+|0\.0{6}[0-9]*)\s*[,}]"
 
 
-def read_bodies(spark: SparkSession, path: str) -> DataFrame:
-    """One file per batch: (source_file, body)."""
-    return _named(spark.read.text(path, wholetext=True))
+def read_bodies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """(source_file, body): one file per batch, or with `lines` one line of a file."""
+    bodies = _named(spark.read.text(path, wholetext=True))
+    return body_lines(bodies) if lines else bodies
 
 
-def stream_bodies(spark: SparkSession, path: str, max_files: int) -> DataFrame:
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files).option("wholetext", True)
-    return _named(reader.text(path))
+def stream_bodies(spark: SparkSession, path: str, max_files: int, lines: bool = False) -> DataFrame:
+    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+    bodies = _named(reader.text(path, wholetext=True))
+    return body_lines(bodies) if lines else bodies
+
+
+def body_lines(files: DataFrame) -> DataFrame:
+    """Each line of a file as a batch of its own, named by the file and the line's number; blank lines are none.
+
+    Lines are cut from whole files, since only so does a line know its number in whatever order files are read.
+    """
+    parts = files.select("source_file", F.posexplode(F.split("body", "\r?\n", -1)).alias("number", "body"))
+    name = F.concat("source_file", F.lit("#"), (F.col("number") + 1).cast("string"))
+    return parts.where(F.trim("body") != "").select(name.alias("source_file"), "body")
 
 
 def _named(files: DataFrame) -> DataFrame:

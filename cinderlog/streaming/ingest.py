@@ -23,7 +23,7 @@ DEFAULT_FILES = 1000
 
 def _inside(number: Column, position: Column) -> Column:
     too_many = F.raise_error(F.lit("a micro-batch has more than 2^32 entries")).cast("long")
-    return number + F.when(position < 1 << INSIDE_BITS, position).otherwise(too_many)
+    return F.when(position >= 1 << INSIDE_BITS, too_many).otherwise(number + position)
 
 
 def _numbered(checked: DataFrame, epoch: int, stream: int) -> DataFrame:
@@ -65,17 +65,19 @@ class IngestJob:
 
 def ingest_stream(
     store: LogStore, landing: str, checkpoint: str, as_of: datetime | None = None,
-    max_files: int = DEFAULT_FILES, interval: str | None = None,
+    max_files: int = DEFAULT_FILES, interval: str | None = None, lines: bool = False,
 ) -> StreamingQuery:
     """Start ingesting the landing folder; without an interval, stop when it is worked off.
 
+    A file is a batch, or with `lines` each of its lines is one.
+
     The time that entries are checked against is the micro-batch's own (or a fixed one). Spark
     keeps it in the checkpoint, so a replayed batch accepts the same entries.
     """
     if max_files < 1:
         raise ValueError("max_files must be at least 1")
     now: Column = literal_like(as_of, T.TimestampType()) if as_of else F.current_timestamp()
-    bodies = stream_bodies(store.spark, landing, max_files).withColumn("as_of", now)
+    bodies = stream_bodies(store.spark, landing, max_files, lines).withColumn("as_of", now)
     writer = open_batches(bodies).writeStream.foreachBatch(IngestJob(store, store.stream_of(checkpoint))).option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()

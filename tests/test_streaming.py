@@ -18,6 +18,12 @@ from cinderlog.streaming.jobs import alert_stream, alert_tick, run_retention
 NOW = datetime(2024, 2, 1)
 
 
+def store_logs(store, logs, epoch=0):
+    """What an ingest leaves: rows and their counts."""
+    store.append_logs(logs, epoch)
+    store.append_rollup(build_rollup(logs), epoch)
+
+
 def land(folder: Path, bodies, first=0):
     folder.mkdir(exist_ok=True)
     for i, body in enumerate(bodies, first):
@@ -58,6 +64,22 @@ def test_stream_equals_batch(spark, store, tmp_path):
     assert rollup_of(store) == rollup_of_logs(store)
 
 
+def test_bodies_as_lines(spark, store, tmp_path):
+    landing, bodies = tmp_path / "landing", make_bodies(spark, 200)
+    land(landing, ["\n".join(bodies[:2]), "\r\n".join(["", *bodies[2:], "  "])])
+    ingest_stream(store, str(landing), store.path("checkpoint"), as_of=NOW, lines=True).awaitTermination()
+    assert store.logs().count() == 198 == store.logs().select("id").distinct().count()
+    reasons = {Path(r["source_file"]).name: r["reason"] for r in spark.read.parquet(store.path("quarantine")).collect()}
+    assert reasons == {"00001.json#4": "malformed JSON", "00001.json#5": "body must contain a 'logs' array"}
+
+
+def test_a_body_may_span_lines(spark, store, tmp_path):
+    landing = tmp_path / "landing"
+    land(landing, [json.dumps(json.loads(body), indent=2) for body in make_bodies(spark, 100)[:2]])
+    ingest_stream(store, str(landing), store.path("checkpoint"), as_of=NOW).awaitTermination()
+    assert store.logs().count() == 98 == store.logs().select("id").distinct().count()
+
+
 def test_replayed_batch_changes_nothing(spark, store, tmp_path):
     landing = tmp_path / "landing"
     land(landing, make_bodies(spark, 200))
@@ -144,7 +166,7 @@ def test_a_failed_retention_run_is_repeated(spark, store, monkeypatch):
 
 def test_rules_added_between_ticks(spark, store):
     start = datetime(2024, 3, 1)
-    store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
+    store_logs(store, spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS))
     assert store.create_rule("auth", 3, 60, "http://example.invalid/a").first()["id"] == 1
     alert_tick(store, start, 0)
     assert store.create_rule(None, 5, 60, "http://example.invalid/b").first()["id"] == 2
@@ -161,7 +183,7 @@ def test_rules_added_between_ticks(spark, store):
 
 def test_read_marks_are_kept(spark, store):
     start = datetime(2024, 3, 1)
-    store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
+    store_logs(store, spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS))
     rules = [(i, None, 1, 60, "http://example.invalid/a", None) for i in range(3)]
     store.add_rules(spark.createDataFrame(rules, RULES))
     alert_tick(store, start, 0)
@@ -220,7 +242,7 @@ def test_retention_run(spark, store):
 
 def test_alert_ticks(spark, store):
     start = datetime(2024, 3, 1)
-    store.append_logs(spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS), 0)
+    store_logs(store, spark.createDataFrame([(i, start, "error", "auth", "m", None) for i in range(5)], LOGS))
     rules = [(1, "auth", 3, 60, "http://example.invalid/a", None), (2, None, 6, 60, "http://example.invalid/b", None)]
     store.add_rules(spark.createDataFrame(rules, RULES))
     for tick in (0, 9, 10, 11):
@@ -237,7 +259,7 @@ def test_alert_ticks(spark, store):
 
 def test_alert_loop(spark, store):
     now = spark.sql("SELECT current_timestamp() AS t").first()["t"]
-    store.append_logs(spark.createDataFrame([(1, now, "error", "auth", "m", None)], LOGS), 0)
+    store_logs(store, spark.createDataFrame([(1, now, "error", "auth", "m", None)], LOGS))
     store.add_rules(spark.createDataFrame([(1, None, 1, 600, "http://example.invalid/a", None)], RULES))
     query = alert_stream(store, store.path("checkpoint"), "1 second")
     try:
