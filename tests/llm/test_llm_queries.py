@@ -1,14 +1,22 @@
 """The registered queries and the pipeline over the test tables."""
 
+import hashlib
 import math
+from collections import Counter
 
 import corpus_pipeline
+import public_tokenizers
 import pytest
 from check_oracle import oracle, rows_of
+from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
+from cinderlog.llm import quality
 from cinderlog.llm.queries import QUERIES, llm_queries
 
+from .test_lines_mixing_shuffling import plain_targets
+from .test_near_copies import plain_components, plain_fingerprint
+
 SQL = [query for query in QUERIES if query.sql]
 
 
@@ -48,6 +56,83 @@ def test_pipeline_stages(spark, sf_dir):
     assert packed.where("start = 0").count() == docs.count()
 
 
+def near(a, b):
+    """At most one word changed, left out or put in."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    head = 0
+    while head < min(len(a), len(b)) and a[head] == b[head]:
+        head += 1
+    return a[head + 1 :] == b[head + 1 :] or a[head + 1 :] == b[head:] or a[head:] == b[head + 1 :]
+
+
+def plain_fresh_lines(rows):
+    first, kept = {}, {}
+    for doc, text in sorted(rows):
+        for number, line in enumerate(text.split("\n")):
+            words = tuple(line.encode().split())
+            if len(words) >= 5:
+                first.setdefault(words, (doc, number))
+    gone = {words for words, place in first.items() if any(p < place and near(other, words) for other, p in first.items())}
+    for doc, text in rows:
+        lines = []
+        for number, line in enumerate(text.split("\n")):
+            words = tuple(line.encode().split())
+            if len(words) < 5 or (first[words] == (doc, number) and words not in gone):
+                lines.append(line)
+        if lines == text.split("\n") or "".join(lines).strip():
+            kept[doc] = "\n".join(lines)
+    return kept
+
+
+def plain_copies(rows, quality):
+    """How often each document is taken, drawn in Python."""
+    sizes = {doc: len(text.encode().split()) for doc, text, _ in rows}
+    source_size = Counter()
+    for doc, _, source in rows:
+        source_size[source] += sizes[doc]
+    target = plain_targets(source_size)
+    copies = {}
+    for source in source_size:
+        docs = [doc for doc, _, s in rows if s == source]
+        draw = {doc: -math.log((int(hashlib.md5(f"mix:{doc}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / quality.get(doc, 1.0) for doc in docs}
+        epochs = math.floor(target[source] / source_size[source])
+        rest, through = target[source] - epochs * source_size[source], 0
+        for doc in sorted(docs, key=lambda d: (draw[d], d)):
+            through += sizes[doc]
+            copies[doc] = epochs + (rest > 0 and 2 * through - sizes[doc] <= 2 * rest)
+    return copies
+
+
+def test_pipeline_equals_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    docs = stages["quality"](spark, table, sf_dir).cache()
+    assert {r.doc_id for r in docs.collect()} == {r.doc_id for r in quality.classify(table).where("keep").collect()}
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    docs = stages["line_dedup"](spark, docs, sf_dir).cache()
+    assert {r.doc_id: r.text for r in docs.collect()} == plain_fresh_lines(rows)
+    assert all(r.n_chars == len(r.text) for r in docs.collect())
+
+    found = plain_components([(r.doc_id, plain_fingerprint(r.text)) for r in docs.collect()])
+    docs = stages["near_dedup"](spark, docs, sf_dir).cache()
+    assert {r.doc_id for r in docs.collect()} == {component for _, _, component in found}
+
+    rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]
+    labels = {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        labels[r.doc_id] = min(r.quality, labels.get(r.doc_id, r.quality))
+    copies = plain_copies(rows, {doc: 2.0 if good else 0.5 for doc, good in labels.items()})
+    docs = stages["mixing"](spark, docs, sf_dir).cache()
+    assert Counter(r.doc_id for r in docs.collect()) == Counter({doc: n for doc, n in copies.items() if n})
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    pieces = corpus_pipeline.run(spark, sf_dir).collect()
+    assert sum(r.length for r in pieces) == sum(len(tokenizer.encode(r.text, add_special_tokens=False).ids) + 1 for r in docs.collect())
+    assert Counter(r.doc_id for r in pieces if r.start == 0) == Counter(r.doc_id for r in docs.collect())
+
+
 def test_pipeline_on_no_documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
