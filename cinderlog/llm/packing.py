@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -17,7 +18,7 @@ from cinderlog.llm.pretokens import Pieces
 from cinderlog.sources.workspace import written
 
 CAPACITY, END_ID = 2048, 1
-DIMENSIONS, BITS, HASHED = 3, 10, 4096
+DIMENSIONS, BITS, HASHED = 3, 10, 1024
 
 
 class TokenIds:
@@ -25,7 +26,7 @@ class TokenIds:
 
     def __init__(self, path: str):
         tokenizer = Tokenizer.from_file(path)
-        self.type = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.type, self.code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.special = {content: np.array([i], self.type).tobytes() for content, i in specials.items()}
         self.tokenizer = tokenizer
@@ -33,7 +34,7 @@ class TokenIds:
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [np.array(one.ids, self.type).tobytes() for one in encoded]
+        return [array(self.code, one.ids).tobytes() for one in encoded]
 
     def of(self, texts: list[str]) -> list[bytes]:
         parts = [self.pieces.parts(text) for text in texts]

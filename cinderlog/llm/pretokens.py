@@ -17,26 +17,31 @@ def _uneven(text: str) -> bool:
 class Pieces:
     """Values of pieces of text: `compute` gets those that are not remembered, each once.
 
-    Keys leave out the leading space, which all pieces but the first of a text have; `firsts` are kept apart.
+    Keys leave out the leading space, which all pieces but the first of a text have; `firsts` are kept apart. When
+    BOUND pieces are remembered they become the older generation, of which only what is met again is taken over.
     """
 
-    LONGEST, BOUND = 48, 1 << 20
+    LONGEST, BOUND = 48, 1 << 19
 
     def __init__(self, compute: Callable[[list[str]], list], specials: Iterable[str] = ()):
         self.compute = compute
         self.specials = re.compile("|".join(map(re.escape, specials))) if specials else None
         self.inner: dict[str, object] = {}
+        self.older: dict[str, object] = {}
         self.firsts: dict[str, object] = {}
 
     def values(self, texts: list[str]) -> list[list]:
         """For each text the values of its pieces, in order. Texts hold no special strings (see `parts`)."""
         cut = [_BETWEEN.split(text) if _uneven(text) else text.split(" ") for text in texts]
         if len(self.inner) > self.BOUND:
-            self.inner.clear()
+            self.inner, self.older = {}, self.inner
         if len(self.firsts) > self.BOUND:
             self.firsts.clear()
         first = {pieces[0] for pieces in cut}.difference(self.firsts)
         inner = set().union(*cut).difference(self.inner) if cut else set()  # first pieces too: cheaper than leaving them out
+        again = {piece: self.older[piece] for piece in inner if piece in self.older} if self.older else {}
+        self.inner.update(again)
+        inner.difference_update(again)
         passing_first = self._learn(first, "", self.firsts)
         passing = self._learn(inner, " ", self.inner)
         found = []
