@@ -3,6 +3,7 @@
 BENCH_SF_DIR   folder with the tables (default /root/testdata/sf0.1)
 BENCH_CPUS     cores (default 8)
 BENCH_ROWS     generated rows for the ingest and stored-table figures (default 1,000,000)
+BENCH_DENSE_ROWS   generated rows of one busy day, for roll-up against raw counts (default 4,000,000)
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from cinderlog.catalog.registry import all_queries  # noqa: E402
 from cinderlog.functions.times import literal_like  # noqa: E402
 from cinderlog.operators.aggregate import aggregate_raw, aggregate_rollup  # noqa: E402
 from cinderlog.operators.alerts import alert_counts  # noqa: E402
+from cinderlog.operators.rollup import build_rollup  # noqa: E402
 from cinderlog.operators.search import search  # noqa: E402
 from cinderlog.plans.spec import AggSpec, LogQuery  # noqa: E402
 from cinderlog.schemas import RULES  # noqa: E402
@@ -68,20 +70,34 @@ def ingest_figures(spark, rows: int, folder: str) -> tuple[dict[str, float], Log
     return {"ingest_batch": spent}, store
 
 
-def stored_figures(spark, store: LogStore) -> dict[str, float]:
+def dense_store(spark, rows: int, folder: str) -> LogStore:
+    """A busy day: many rows per minute, service and level, as a roll-up is meant for."""
+    store = LogStore(spark, f"{folder}/dense")
+    logs = synthetic_logs(spark, rows, NOW, days=1)
+    store.append_logs(logs, 0)
+    store.append_rollup(build_rollup(logs), 0)
+    store.compact_rollup()
+    return store
+
+
+def stored_figures(spark, store: LogStore, dense: LogStore) -> dict[str, float]:
     logs, rollup = store.logs(), store.rollup()
     week = NOW - timedelta(days=7), NOW
+    day = NOW - timedelta(days=1), NOW
+    busy, counts = dense.logs(), dense.rollup()
     rules = spark.createDataFrame(
         [(i, None if i % 3 == 0 else "auth", 10, 60 * (i + 1), "http://example.invalid", None) for i in range(20)], RULES
     )
     runs = {
         "stored_agg_rollup_1h": lambda: aggregate_rollup(rollup, AggSpec(*week, "1h", group_by="service")).collect(),
         "stored_agg_raw_1h": lambda: aggregate_raw(logs, AggSpec(*week, "1h", group_by="service")).collect(),
+        "dense_agg_rollup_1h": lambda: aggregate_rollup(counts, AggSpec(*day, "1h", group_by="service")).collect(),
+        "dense_agg_raw_1h": lambda: aggregate_raw(busy, AggSpec(*day, "1h", group_by="service")).collect(),
         "stored_agg_text": lambda: aggregate_raw(logs, AggSpec(*week, "1h", q="timed out")).collect(),
         "stored_search_range": lambda: search(logs, LogQuery(service="auth", since=NOW - timedelta(hours=1), limit=1000)).collect(),
         "stored_search_attr": lambda: search(logs, LogQuery(attributes={"user_id": "42"}, limit=1000)).collect(),
         "stored_search_newest": lambda: store.newest(LogQuery()).collect(),
-        "stored_alert_counts": lambda: alert_counts(logs, rules, NOW).collect(),
+        "stored_alert_counts": lambda: alert_counts(logs, rules, NOW, rollup).collect(),
     }
     return {name: timed(run) for name, run in runs.items()}
 
@@ -98,7 +114,8 @@ def main() -> None:
     folder = tempfile.mkdtemp(prefix="cinderlog-bench-")
     ingest, store = ingest_figures(spark, rows, folder)
     spent.update(ingest)
-    spent.update(stored_figures(spark, store))
+    dense_rows = int(os.environ.get("BENCH_DENSE_ROWS", "4000000"))
+    spent.update(stored_figures(spark, store, dense_store(spark, dense_rows, folder)))
     print(json.dumps({
         "metric": "headline queries and one ingest batch, total", "value": round(sum(spent.values()), 3), "unit": "sec",
         "queries": spent, "sf": sf_dir.rsplit("sf", 1)[-1], "ingest_rows": rows,

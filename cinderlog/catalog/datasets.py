@@ -123,8 +123,8 @@ valid_rules AS (
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`events` as entry texts (number, entry), twelve of sixteen spoiled in one way each."""
-    kind = F.pmod("id", F.lit(16))
+    """`events` as entry texts (number, entry), all but four of twenty spoiled: one in two ways, three are no objects."""
+    kind = F.pmod("id", F.lit(20))
 
     def spoiled(normal, cases: dict):
         value = None
@@ -140,8 +140,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     good = F.concat(F.lit('"attributes":{"user_id":"'), user, F.lit('","retries":3,"resolved":false}'))
     parts = [
         quoted("timestamp", spoiled(stamp, {0: "", 1: "not-a-date", 2: "2024-02-01T00:05:00.001Z"})),
-        spoiled(quoted("level", F.col("level")), {3: '"level":"critical"', 4: None}),
-        quoted("service", spoiled(F.col("service"), {5: "  "})),
+        spoiled(quoted("level", F.col("level")), {3: '"level":"critical"', 4: None, 19: '"level":"loud"'}),
+        quoted("service", spoiled(F.col("service"), {5: "  ", 19: " "})),
         quoted("message", spoiled(F.col("message"), {6: ""})),
         spoiled(good, {
             7: '"attributes":{"z":1,"user":{"id":"42"}}', 8: '"attributes":{"tags":["a","b"]}',
@@ -149,7 +149,7 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
             12: '"attributes":null',
         }),
     ]
-    text = F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
+    text = spoiled(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), {16: "null", 17: '[1,{"level":"info"}]', 18: '"text"'})
     return logs(spark, sf_dir).select(F.col("id").alias("number"), text.alias("entry"))
 
 
@@ -169,15 +169,17 @@ def bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 # What validation must say about each entry, told from how it was spoiled.
 ENTRIES = f"""{LOGS},
 entries AS (
-  SELECT id, id // {BATCH} AS batch_id, id % {BATCH} AS index, id % 16 AS kind,
-         CASE id % 16 WHEN 0 THEN 'timestamp is required' WHEN 1 THEN 'invalid timestamp'
+  SELECT id, id // {BATCH} AS batch_id, id % {BATCH} AS index, id % 20 AS kind,
+         CASE id % 20 WHEN 0 THEN 'timestamp is required' WHEN 1 THEN 'invalid timestamp'
               WHEN 2 THEN 'timestamp too far in the future' WHEN 3 THEN 'invalid level: ''critical'''
               WHEN 4 THEN 'invalid level: ''undefined''' WHEN 5 THEN 'service is required' WHEN 6 THEN 'message is required'
               WHEN 7 THEN 'nested object in attribute ''user''' WHEN 8 THEN 'nested object in attribute ''tags'''
               WHEN 9 THEN 'attributes must be a flat object' WHEN 10 THEN 'attributes must be a flat object'
-              WHEN 11 THEN 'invalid attribute value for ''a''' END AS reason,
+              WHEN 11 THEN 'invalid attribute value for ''a'''
+              WHEN 16 THEN 'entry must be an object' WHEN 17 THEN 'entry must be an object' WHEN 18 THEN 'entry must be an object'
+              WHEN 19 THEN 'invalid level: ''loud''' END AS reason,
          date_trunc('second', timestamp) AS timestamp, level, service, message,
-         CASE WHEN id % 16 > 12 THEN concat('{{"resolved":"false","retries":"3","user_id":"', attr_user_id, '"}}') END AS attributes
+         CASE WHEN id % 20 BETWEEN 13 AND 15 THEN concat('{{"resolved":"false","retries":"3","user_id":"', attr_user_id, '"}}') END AS attributes
   FROM logs),
 opened AS (SELECT * FROM entries WHERE batch_id % 7 NOT IN (1, 2, 3, 4))"""
 

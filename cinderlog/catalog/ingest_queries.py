@@ -128,8 +128,10 @@ ROW = "timestamp, level, service, message, attributes"
 QUERIES = [
     Query(
         "ingest_explode", _explode,
-        with_ctes(d.ENTRIES, """SELECT batch_id, index, 'OBJECT' AS kind, CASE kind WHEN 3 THEN 'critical' WHEN 4 THEN NULL ELSE level END AS level,
-            CASE kind WHEN 5 THEN '  ' ELSE service END AS service, CASE kind WHEN 6 THEN '' ELSE message END AS message FROM opened"""),
+        with_ctes(d.ENTRIES, """SELECT batch_id, index, CASE kind WHEN 16 THEN 'VOID' WHEN 17 THEN 'ARRAY' WHEN 18 THEN 'STRING' ELSE 'OBJECT' END AS kind,
+            CASE WHEN kind = 3 THEN 'critical' WHEN kind = 19 THEN 'loud' WHEN kind IN (4, 16, 17, 18) THEN NULL ELSE level END AS level,
+            CASE WHEN kind = 5 THEN '  ' WHEN kind = 19 THEN ' ' WHEN kind BETWEEN 16 AND 18 THEN NULL ELSE service END AS service,
+            CASE WHEN kind = 6 THEN '' WHEN kind BETWEEN 16 AND 18 THEN NULL ELSE message END AS message FROM opened"""),
     ),
     Query(
         "ingest_bad_batches", _bad,
@@ -157,7 +159,7 @@ QUERIES = [
     ),
     Query(
         "normalize_attributes", _attributes,
-        with_ctes(d.ENTRIES, """SELECT batch_id, index, CASE WHEN kind BETWEEN 7 AND 12 THEN NULL
+        with_ctes(d.ENTRIES, """SELECT batch_id, index, CASE WHEN kind BETWEEN 7 AND 12 OR kind BETWEEN 16 AND 18 THEN NULL
             ELSE concat('{"resolved":"false","retries":"3","user_id":"', regexp_extract(message, 'user_([0-9]+)', 1), '"}') END AS attributes FROM opened"""),
     ),
     Query(

@@ -39,10 +39,10 @@ def _pick(values: tuple[str, ...], number: Column, salt: int) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (draw(number, salt, len(values)) + 1).cast("int"))
 
 
-def logs_from(numbers: DataFrame, as_of: datetime) -> DataFrame:
-    """Log rows from a DataFrame with a column `id`, spread over the 30 days before `as_of`."""
+def logs_from(numbers: DataFrame, as_of: datetime, days: int = SPREAD_DAYS) -> DataFrame:
+    """Log rows from a DataFrame with a column `id`, spread over the days before `as_of`."""
     n = F.col("id")
-    seconds = draw(n, 1, SPREAD_DAYS * 86_400)
+    seconds = draw(n, 1, days * 86_400)
     level, service = _pick(LEVEL_WEIGHTS, n, 2), _pick(SERVICES, n, 3)
     message = None
     for name, texts in TEXTS.items():
@@ -68,8 +68,8 @@ def logs_from(numbers: DataFrame, as_of: datetime) -> DataFrame:
     return rows.select("id", "timestamp", "level", "service", message.alias("message"), attributes.alias("attributes"))
 
 
-def synthetic_logs(spark: SparkSession, rows: int, as_of: datetime) -> DataFrame:
-    return logs_from(spark.range(rows), as_of)
+def synthetic_logs(spark: SparkSession, rows: int, as_of: datetime, days: int = SPREAD_DAYS) -> DataFrame:
+    return logs_from(spark.range(rows), as_of, days)
 
 
 def cyclic_logs(numbers: DataFrame, as_of: datetime) -> DataFrame:
