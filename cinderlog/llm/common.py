@@ -20,7 +20,7 @@ from cinderlog.sources.workspace import written
 #: A word is a run of anything but the six ASCII spaces; bytes.split() cuts at the same six.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of text that go to Python at once.
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 400, 8 << 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -72,7 +72,7 @@ def running_totals(df: DataFrame, by: list[Column], total: str, value: str) -> D
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    BOUND = 1 << 19
+    BOUND = 1 << 16
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word, 7)

@@ -21,7 +21,7 @@ class Pieces:
     BOUND pieces are remembered they become the older generation, of which only what is met again is taken over.
     """
 
-    LONGEST, BOUND = 48, 1 << 19
+    LONGEST, BOUND = 48, 3 << 17
 
     def __init__(self, compute: Callable[[list[str]], list], specials: Iterable[str] = ()):
         self.compute = compute
