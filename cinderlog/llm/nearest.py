@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from cinderlog.llm.common import ready
 from cinderlog.sources.workspace import written
 
-NEIGHBOURS, TABLES, BLOCK_ROWS, SAMPLE_ROWS, SAMPLE_QUERIES, MOST_PROBES, RECALL, SEED = 20, 8, 4096, 2000, 64, 1024, 0.95, 1
+NEIGHBOURS, TABLES, BLOCK_BYTES, QUERY_ROWS, SAMPLE_ROWS, SAMPLE_QUERIES, MOST_PROBES, RECALL, SEED = 20, 8, 16 << 20, 1 << 12, 2000, 64, 1024, 0.95, 1
+#: Queries that are scored against a bucket at once.
+_CHUNK = 512
 
 
 @dataclass(frozen=True)
@@ -103,7 +105,7 @@ def fitted(sample: np.ndarray, most: float, total: int, neighbours: int = NEIGHB
     near = np.take_along_axis(scores, top, 1)
     distance = float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * near)))) if n > 1 else 1.0
     width = max(1e-6, 1.1 * distance)
-    functions = max(4, round(np.log2(total) / 3))
+    functions = max(4, round(np.log2(total) / 4))
     every = min(3**functions, MOST_PROBES)
     hashing = Hashing(dimension, most, width, every, functions)
     keys = hashing.keys(np.floor(hashing.places(sample, query=False)))
@@ -158,17 +160,17 @@ def _best(keep: int):
         asked, asker = asked[order], asker[order]
         rows, columns = [], []
         for name, start, end in zip(names, starts, ends):
-            who = asker[np.searchsorted(asked, name, "left") : np.searchsorted(asked, name, "right")]
-            if not len(who):
-                continue
-            scores = q[who] @ x[start:end].T
-            if end - start > keep:
-                least = np.partition(scores, -keep, axis=1)[:, -keep]
-                i, j = np.nonzero(scores >= (least - 1e-9 * np.abs(least))[:, None])
-            else:
-                i, j = (part.ravel() for part in np.indices(scores.shape))
-            rows.append(who[i])
-            columns.append(start + j)
+            everyone = asker[np.searchsorted(asked, name, "left") : np.searchsorted(asked, name, "right")]
+            for at in range(0, len(everyone), _CHUNK):
+                who = everyone[at : at + _CHUNK]
+                scores = q[who] @ x[start:end].T
+                if end - start > keep:
+                    least = np.partition(scores, -keep, axis=1)[:, -keep]
+                    i, j = np.nonzero(scores >= (least - 1e-9 * np.abs(least))[:, None])
+                else:
+                    i, j = (part.ravel() for part in np.indices(scores.shape))
+                rows.append(who[i])
+                columns.append(start + j)
         if not rows:
             return empty
         i, j = np.concatenate(rows), np.concatenate(columns)
@@ -182,13 +184,13 @@ def _best(keep: int):
     return search
 
 
-def _searched(members: DataFrame, probes: DataFrame, vectors: DataFrame, keep: int, block_rows: int) -> DataFrame:
+def _searched(members: DataFrame, probes: DataFrame, vectors: DataFrame, keep: int) -> DataFrame:
     """Best classes per query: members (group, bucket, class_id, vector) against probes (group, query_class, bucket).
 
     Queries of a group are dealt into blocks too, and each block gets a copy of the group's members.
     """
     asked = written(probes.groupBy("group", "query_class").agg(F.collect_set("bucket").alias("buckets")), "probes")
-    blocks = asked.groupBy("group").count().select("group", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
+    blocks = asked.groupBy("group").count().select("group", F.ceil(F.col("count") / QUERY_ROWS).cast("int").alias("blocks"))
     asked = asked.join(blocks, "group").withColumn("block", F.pmod(F.xxhash64("query_class"), F.col("blocks")).cast("int"))
     asked = asked.join(vectors, "query_class").select("group", "block", "query_class", "buckets", "vector")
     seated = members.join(blocks, "group").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -201,7 +203,7 @@ def _first(rows: DataFrame, by: str, order: list[Column], most: int, rank: str)
     return rows.withColumn(rank, F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col(rank) <= most)
 
 
-def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, block_rows: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the `neighbours` vectors of largest inner product found for each query.
 
     vectors: vec_id, embedding (array of numbers). queries: a condition on vec_id that picks the query rows. A query
@@ -211,7 +213,8 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
 
     Equal vectors are one class in the search, of which the `neighbours` + 1 smallest ids can matter. Each class lies in
     one bucket of each table; queries visit buckets in estimated order of success. Small buckets share tasks, a bucket
-    of more than block_rows is dealt over several, and each task reranks exactly and hands on the best of each query.
+    of more than block_rows (by default, as many vectors as take BLOCK_BYTES) is dealt over several, and each task reranks
+    exactly and hands on the best of each query.
     Width and probes are fitted on the SAMPLE_ROWS vectors of smallest hash. Queries for which the visited buckets hold
     too few candidates are searched in all vectors, block by block.
     """
@@ -230,6 +233,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
         sample = classes.where(F.col("dimension") == dimension).orderBy(*order).limit(SAMPLE_ROWS).select("vector").collect()
         plan[dimension] = fitted(np.array([row[0] for row in sample], np.float64), float(np.sqrt(most)), n, neighbours)
         total = max(total, n)
+    block_rows = block_rows or max(256, BLOCK_BYTES // (4 * max([1, *plan])))
     groups = max(1, -(-total // block_rows))
 
     def hashed(batches):
@@ -278,7 +282,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
     reached = probes.join(parts, bucket).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     found = _searched(
         seated.select(group, "bucket", "class_id", "vector"), reached.select(group, "bucket", "query_class"),
-        query_vectors.select("query_class", "vector"), keep, block_rows,
+        query_vectors.select("query_class", "vector"), keep,
     )
     best = [F.desc("score"), F.col("class_id")]
     found = written(_first(found.distinct(), "query_class", best, keep, "place").drop("place"), "found")
@@ -297,7 +301,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
         place = F.struct("dimension", "bucket").alias("group")
         exact = _searched(
             plain.select(place, "bucket", "class_id", "vector"), every.select(place, "bucket", "query_class"),
-            query_vectors.select("query_class", "vector"), keep, block_rows,
+            query_vectors.select("query_class", "vector"), keep,
         )
         found = _first(found.union(exact).distinct(), "query_class", best, keep, "place").drop("place")
     expanded = found.join(members, "class_id").select("query_class", "vec_id", "score")

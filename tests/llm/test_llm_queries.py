@@ -5,6 +5,7 @@ import math
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 import public_tokenizers
 import pytest
 from check_oracle import oracle, rows_of
@@ -138,3 +139,19 @@ def test_pipeline_on_no_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.collect() == []
+
+
+def test_nearest_query_reaches_its_recall(spark, sf_dir):
+    rows = {r.vec_id: np.array(r.embedding, np.float64) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    ids, matrix = np.array(sorted(rows)), np.array([rows[i] for i in sorted(rows)])
+    found = {}
+    for r in llm_queries()["op1_nearest"](spark, sf_dir).collect():
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+        assert math.isclose(r.score, float(rows[r.query_id] @ rows[r.vec_id]), rel_tol=1e-9)
+    recall = []
+    for query in ids[ids % 20 == 0]:
+        scores = matrix @ rows[query]
+        scores[ids == query] = -np.inf
+        best = ids[np.lexsort((ids, -scores))[:20]]
+        recall.append(len(found[query] & set(best.tolist())) / 20)
+    assert np.mean(recall) >= 0.9
