@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import WORD_HASHES, Rolling, group_roots, mixed, ready
+from cinderlog.llm.common import WORD_HASHES, Rolling, mixed, ready
 from cinderlog.llm.components import components
 from cinderlog.sources.workspace import written
 
 SHINGLE, PERMUTATIONS, BANDS, LIKENESS, SEED = 5, 64, 16, 0.8, 4
-BLOCK_ROWS = 512
+#: Rows and shingles of a block, and how many representatives of a large group are tried before its rest meets all of it.
+BLOCK_ROWS, BLOCK_SHINGLES, ROUNDS = 512, 1 << 20, 3
 _CHUNK = 4096
 
 
@@ -172,11 +173,44 @@ def near_duplicates(
 
     docs: doc_id, text. Texts with the same shingles (letter case and spacing aside) are collapsed first. Signatures are
     cut into bands, texts that agree in a band are candidates, and the Jaccard similarity of their shingle sets is
-    computed exactly; pairs at `likeness` or more link. A band's group is dealt into blocks of about block_rows
-    rows and each pair of blocks is compared in a task of its own, which gives a spanning forest of its links:
-    memory is bounded, no pair is left out, and what leaves a task is linear in what entered. Texts without words form one
-    class. A null doc_id takes no part in the smallest; repeated rows are kept each.
+    computed exactly; pairs at `likeness` or more link. Groups of a band are compared in tasks of bounded blocks, large
+    ones with a few representatives first; what these do not bring together meets the whole group, so no candidate is
+    left out. Texts without words form one class. A null doc_id takes no part in the smallest; repeated rows
+    are kept each.
     """
+    signed, rooted = _near_classes(docs, likeness, bands, permutations, block_rows)
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least.doc_id").alias("class_id")), "root").select("content", "class_id")
+    return signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
+
+
+def one_of_near_duplicates(docs: DataFrame, likeness: float = LIKENESS, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """One row of each class of `near_duplicates`, with the columns of docs: that of smallest doc_id, null last.
+
+    Rows are told apart by doc_id and a hash of all their columns, so rows that share a doc_id, and those without one, are
+    judged by their own texts. Of rows alike in every column one is kept.
+    """
+    _, rooted = _near_classes(docs, likeness, BANDS, PERMUTATIONS, block_rows)
+    least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*_named("least"))
+    return _rows_of(docs, least).dropDuplicates(["_near_id", "_near_key"]).select(*docs.columns)
+
+
+def _row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(*[part for name in docs.columns for part in (docs[name], docs[name].isNull())])
+
+
+def _named(row: str) -> list[Column]:
+    """The row's name in two columns that are never null (the key tells a null doc_id from zero)."""
+    return [F.coalesce(F.col(row)["doc_id"], F.lit(0)).alias("_near_id"), F.col(row)["row_key"].alias("_near_key")]
+
+
+def _rows_of(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """The rows of docs that are named, with their names; repeated rows are there each."""
+    keyed = docs.withColumns({"_near_id": F.coalesce(docs["doc_id"].cast("long"), F.lit(0)), "_near_key": _row_key(docs)})
+    return keyed.join(names, ["_near_id", "_near_key"])
+
+
+def _near_classes(docs: DataFrame, likeness: float, bands: int, permutations: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with the content (a hash of the shingle set) of their texts, and per content its least row and its class' root."""
     spark = ready(docs.sparkSession)
     width = permutations // bands
 
@@ -185,60 +219,137 @@ def near_duplicates(
         for batch in batches:
             sets = [np.unique(sign.shingles(text)) for text in batch["text"].to_pylist()]
             keys = [mixed(sign.sign(one).astype(np.uint64).reshape(bands, width) @ sign.a[:width] + sign.a[:bands]) for one in sets]
-            content = pa.array([np.bitwise_xor.reduce(mixed(one + np.uint64(1)), initial=np.uint64(len(one))).view(np.int64) for one in sets], pa.int64())
-            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
-            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            content, size = pa.array([_content(one) for one in sets], pa.int64()), pa.array([len(one) for one in sets], pa.int64())
             offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands)
             bandlists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], content, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), bandlists], ["doc_id", "content", "shingles", "bands"],
+                [batch["doc_id"], batch["row_key"], content, size, bandlists], ["doc_id", "row_key", "content", "size", "bands"],
             )
 
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    signed = written(rows.mapInArrow(read, "doc_id long, content long, shingles array<long>, bands array<long>"), "signatures")
-    classes = signed.groupBy("content").agg(F.min("doc_id").alias("least"))
-    sets = written(signed.select("content", "shingles", "bands").dropDuplicates(["content"]), "shingle-sets")
-    banded = sets.select("content", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("band", "key").count().where("count > 1")
-    sizes = sizes.select("band", "key", F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
-    seated = banded.join(sizes, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"))
-    # A row of block i goes to the pairs (i, j) and (j, i) of its group: as many copies as the group has blocks.
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = seated.withColumn("other", other).select(
-        "content", F.struct("band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).alias("pair"), _side(),
-    )
-    tasks = paired.join(sets.select("content", "shingles"), "content")
-    links = tasks.groupBy("pair").applyInPandas(lambda frame: _alike_links(frame, likeness), "a long, b long")
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sign = Signer(permutations)
+        for batch in batches:
+            sets = [np.unique(sign.shingles(text)) for text in batch["text"].to_pylist()]
+            content = pa.array([_content(one) for one in sets], pa.int64())
+            flat = np.concatenate([*sets, np.zeros(0, np.uint64)]).view(np.int64)
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([content, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["content", "shingles"])
+
+    text = F.coalesce(docs["text"], F.lit("")).alias("text")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs).alias("row_key"), text)
+    signed = written(rows.mapInArrow(read, "doc_id long, row_key long, content long, size long, bands array<long>"), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
+    classes = written(signed.groupBy("content").agg(F.min(row).alias("least"), F.min("size").alias("size"), F.first("bands").alias("bands")), "contents")
+    banded = classes.select("content", "size", F.posexplode("bands").alias("band", "key"))
+    # Of groups with the same members (as bands of near copies mostly have) one is looked at.
+    alike = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "content")).alias("two")]
+    shared = banded.groupBy("band", "key").agg(*alike).where("n > 1")
+    shared = shared.groupBy("n", "one", "two").agg(F.min(F.struct("band", "key")).alias("group")).select("group.*")
+    members = written(banded.join(shared, ["band", "key"]), "band-members")
+    asked = classes.join(members.select("content").distinct(), "content", "left_semi").select(*_named("least"))
+    found = _rows_of(docs, asked).select("_near_id", "_near_key", F.coalesce("text", F.lit("")).alias("text"))
+    found = found.dropDuplicates(["_near_id", "_near_key"]).select("text")
+    sets = written(found.mapInArrow(shingled, "content long, shingles array<long>"), "shingle-sets")
+    links = _links(spark, members, sets, likeness, block_rows)
     roots = components(links)
     rooted = classes.join(roots, F.col("content") == F.col("node"), "left").select("content", "least", F.coalesce("root", "content").alias("root"))
-    rooted = written(rooted, "text-roots")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("class_id")), "root").select("content", "class_id")
-    return signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
+    return signed, written(rooted, "text-roots")
+
 
+def _content(shingles: np.ndarray) -> int:
+    return int(np.bitwise_xor.reduce(mixed(shingles + np.uint64(1)), initial=np.uint64(len(shingles))).view(np.int64))
 
-def _side() -> Column:
-    return (F.col("block") > F.col("other")).alias("right")
 
+def _links(spark, members: DataFrame, sets: DataFrame, likeness: float, block_rows: int) -> DataFrame:
+    """Verified links (a, b) that give the components of all alike pairs in the groups of `members`.
 
-def _alike_links(frame, likeness: float):
-    """Links between the two blocks of a pair (or inside one), as a spanning forest."""
+    A group's members in its largest component so far need no comparison with each other: the others (the rest) are
+    compared with all. While the rest of a group is larger than a block, one of the rest is first compared with all
+    the others, up to ROUNDS times; after that the rest is compared with the whole group, however large it is.
+    """
+    links = spark.createDataFrame([], "a long, b long")
+    state = members.withColumn("root", F.col("content"))
+    group = ["band", "key"]
+    for turn in range(ROUNDS + 1):
+        parts = state.groupBy(*group, "root").agg(F.count("*").alias("n"), F.sum("size").alias("amount"))
+        tops = parts.groupBy(*group).agg(
+            F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.sum("amount").alias("amount"),
+            F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"),
+        )
+        tops = written(tops.where("parts > 1"), "open-groups")
+        if turn < ROUNDS:
+            tops = tops.where(F.col("rest") > block_rows)
+            if not tops.limit(1).count():
+                continue
+        block = F.pmod(F.xxhash64("content"), _blocks(block_rows)).cast("int")
+        placed = state.join(tops, group).withColumn("block", block)
+        if turn < ROUNDS:
+            draw = F.struct(F.xxhash64(F.lit(turn), "content").alias("draw"), "content", "size", "root")
+            chosen = placed.where("root <> main").groupBy(*group).agg(F.min(draw).alias("one"))
+            rights = placed.withColumn("i", F.lit(0)).withColumn("j", F.col("block"))
+            lefts = chosen.select(*group, "one.content", "one.size", "one.root")
+            lefts = lefts.join(rights.select(*group, "i", "j").distinct(), group)
+        else:
+            # A block that holds some of the rest meets every block of its group.
+            resting = placed.where("root <> main")
+            every = F.explode(F.sequence(F.lit(0), _blocks(block_rows).cast("int") - 1))
+            pairs = written(resting.select(*group, F.col("block").alias("i"), "n", "amount").distinct().withColumn("j", every), "block-pairs")
+            pairs = pairs.select(*group, "i", "j")
+            lefts = resting.join(pairs.withColumn("block", F.col("i")), [*group, "block"])
+            rights = placed.join(pairs.withColumn("block", F.col("j")), [*group, "block"])
+        task = F.struct(*group, "i", "j")
+        sides = [side.select("content", "size", "root", task.alias("pair"), F.lit(no).alias("side")) for no, side in enumerate((lefts, rights))]
+        tasks = written(sides[0].union(sides[1]), "compared")
+        rows, amount = tasks.agg(F.count("*"), F.sum("size")).first()
+        bundles = max(1, -(-rows // block_rows), -(-(amount or 0) // BLOCK_SHINGLES))
+        tasks = tasks.withColumn("bundle", F.pmod(F.xxhash64("pair"), F.lit(bundles))).withColumn("pair", F.xxhash64("pair")).join(sets, "content")
+        more = tasks.groupBy("bundle").applyInPandas(lambda frame: _bundled(frame, likeness), "a long, b long")
+        links = written(links.union(more).distinct(), "alike-links")
+        if turn < ROUNDS:
+            roots = written(components(links), "alike-roots")
+            state = members.join(roots, F.col("content") == F.col("node"), "left").withColumn("root", F.coalesce("root", "content")).drop("node")
+    return links
+
+
+def _bundled(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:
+    """The links of all tasks of a bundle."""
+    found = [_alike_links(task, likeness) for _, task in frame.groupby("pair", sort=False)]
+    return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+
+
+def _blocks(block_rows: int) -> Column:
+    return F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows), F.ceil(F.col("amount") / BLOCK_SHINGLES))
+
+
+def _alike_links(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:
+    """Links from the left rows of a task to its right ones, as far as they join what was not joined before."""
+    right = frame["side"].to_numpy() == 1
     ids = frame["content"].to_numpy(np.int64)
-    right = frame["right"].to_numpy(bool)
-    sets = [np.asarray(one, np.int64) for one in frame["shingles"]]
-    crossing = right.any()
-    root = np.arange(len(ids))
-    lefts = np.flatnonzero(~right)
-    rights = np.flatnonzero(right) if crossing else lefts
+    names, root = np.unique(frame["root"].to_numpy(np.int64), return_inverse=True)
+    root = root.reshape(-1).copy()
+    known = np.arange(len(names))
+    sizes = np.array([len(one) for one in frame["shingles"]], np.int64)
+    flat = np.concatenate([np.asarray(one, np.int64) for one in frame["shingles"]]) if len(frame) else np.zeros(0, np.int64)
+    codes = np.unique(flat, return_inverse=True)[1].reshape(-1)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    marked = np.zeros(int(codes.max()) + 1 if len(codes) else 1, bool)
+    lefts, rights = np.flatnonzero(~right), np.flatnonzero(right & (sizes > 0))
+    out = []
     for i in lefts:
-        for j in rights:
-            if (not crossing and j <= i) or root[i] == root[j]:
-                continue
-            a, b = sets[i], sets[j]
-            small, large = sorted((len(a), len(b)))
-            if small < likeness * large:
-                continue
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            if common >= likeness * (len(a) + len(b) - common):
-                root = group_roots(len(ids), np.array([root[i]]), np.array([root[j]]))[root]
-    child = np.flatnonzero(root != np.arange(len(ids)))
-    return pd.DataFrame({"a": ids[child], "b": ids[root[child]]})
+        n = sizes[i]
+        fits = np.minimum(sizes[rights], n) >= likeness * np.maximum(sizes[rights], n)
+        open_ = rights[fits & (known[root[rights]] != known[root[i]])]
+        if not n or not len(open_):
+            continue
+        marked[codes[starts[i] : ends[i]]] = True
+        owner = np.repeat(np.arange(len(open_)), sizes[open_])
+        at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes[open_]) - sizes[open_], sizes[open_]) + starts[open_][owner]
+        common = np.bincount(owner, marked[codes[at]], len(open_))
+        marked[codes[starts[i] : ends[i]]] = False
+        for j in open_[common >= likeness * (n + sizes[open_] - common)]:
+            a, b = known[root[i]], known[root[j]]
+            if a != b:
+                known[known == max(a, b)] = min(a, b)
+                out.append((ids[i], ids[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)

@@ -4,6 +4,7 @@ import hashlib
 import random
 from itertools import combinations
 
+import corpus_pipeline
 import numpy as np
 import pytest
 import xxhash
@@ -148,3 +149,56 @@ def test_near_duplicates(spark, block_rows):
 def test_near_duplicates_of_odd_rows(odd, odd_rows, none):
     assert minhash.near_duplicates(odd).count() == len(odd_rows)
     assert minhash.near_duplicates(none).collect() == []
+
+
+def five_word_sets(rows):
+    return [frozenset(" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for w in ((text or "").lower().split() for _, text in rows)]
+
+
+def edited(seed):
+    """Texts of which pairs lie on both sides of a likeness of 0.8, by words changed here and there."""
+    draw = random.Random(seed)
+    rows = []
+    for group in range(25):
+        base = [f"g{group}w{draw.randrange(500)}" for _ in range(200)]
+        for changes in (0, 1, 3, 4, 4, 5, 9):
+            words = list(base)
+            for at in draw.sample(range(200), changes):
+                words[at] = f"new{draw.randrange(10**6)}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def test_stage_keeps_one_of_each_five_word_group(spark):
+    rows = edited(8)
+    sets = five_word_sets(rows)
+    pairs = [(i, j) for i, j in combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = group_roots(len(rows), np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(root.tolist()))
+
+
+def test_stage_judges_rows_of_one_doc_id_and_of_none_by_their_texts(spark):
+    prose, other = (" ".join(f"{name}{i}" for i in range(60)) for name in "pq")
+    rows = [(1, prose), (2, prose), (2, other), (None, prose), (None, other + " more"), (None, "three more words"), (None, "Three  more words"), (5, other), (5, other)]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(spark, rows), "").collect()
+    assert sorted(((r.doc_id, r.text.lower().split()[0]) for r in kept), key=repr) == [(1, "p0"), (2, "q0"), (None, "three")]
+
+
+def test_large_groups_need_no_block_pairs(spark, monkeypatch):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(240) if (k := draw.randrange(400)) >= 0]
+    asked = []
+    write = minhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "compared":
+            asked.append(out.count())
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    found = minhash.near_duplicates(documents(spark, rows), block_rows=8).collect()
+    assert {r.class_id for r in found} == {0}
+    assert 0 < sum(asked) < 16 * 3 * 2 * len(rows)
