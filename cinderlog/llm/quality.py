@@ -211,7 +211,8 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[LabelModel, np
         picked = rows.where(F.col("votes").isin(names)).select("draw").distinct().orderBy("draw").limit(sample_rows)
         drawn += [row[0] for row in picked.collect()]
     texts = docs.select(F.coalesce(docs["text"], F.lit("")).alias("text"), _draw(docs).alias("draw"))
-    texts = texts.where(F.col("draw").isin(drawn)).mapInArrow(read, "draw long, votes string, slots array<int>, values array<double>")
+    texts = texts.where(F.col("draw").isin(drawn)).groupBy("draw").agg(F.min("text").alias("text"))  # copies of a row once
+    texts = texts.mapInArrow(read, "draw long, votes string, slots array<int>, values array<double>")
     sample = {row["draw"]: row for row in texts.collect()}
     rows = [sample[draw] for draw in sorted(sample)]
     labels = np.array([belief[row["votes"]] for row in rows])

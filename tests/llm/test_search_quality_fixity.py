@@ -150,3 +150,16 @@ def test_records_of_pages(spark):
 
 def test_documents_fixture(spark):
     assert documents(spark, [(1, "a")]).columns[:2] == ["doc_id", "text"]
+
+
+def test_copies_of_a_row_reach_the_driver_once(spark, monkeypatch):
+    from cinderlog.llm import quality
+
+    prose = "The quick brown fox jumps over the lazy dog and then it runs away from all of them."
+    docs = documents(spark, [(1, prose)] * 300 + [(i, f"{prose} {i}") for i in range(2, 20)])
+    kind, sizes = type(docs), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: (rows := collect(self), "slots" in self.columns and sizes.append(len(rows)))[0])
+    quality.ready(spark)
+    quality.fit(docs, sample_rows=50)
+    assert sizes == [19]
