@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cinderlog.catalog.query import Query
-from cinderlog.llm import fixity, lines, minhash, mixing, nearest, packing, quality, shuffling, simhash, tokens
+from cinderlog.llm import fixity, hostrules, lines, minhash, mixing, nearest, packing, quality, shuffling, simhash, spelling, tokens, turntrie
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -88,6 +88,21 @@ def op10_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct beginning of the rebuilt conversations."""
+    return turntrie.turn_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality counts of every document and the verdict of its host (in these tables, its source)."""
+    return hostrules.judge(_documents(spark, sf_dir), "source")
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of seven letters or more with its near words and usual form."""
+    return spelling.spelling_variants(_documents(spark, sf_dir))
+
+
 FIXITY_SQL = """
 WITH raw AS (
   SELECT page_id, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS INTEGER) % 256 AS warc_file,
@@ -162,6 +177,81 @@ judged AS (
 SELECT doc_id, line_no, n_words, keeper[1] = doc_id AND keeper[2] = line_no AS kept, keeper[1] AS keeper_doc_id, keeper[2] AS keeper_line_no FROM judged
 """
 
+TRIE_SQL = r"""
+WITH said AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         md5(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) AS id
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) AS place FROM said),
+asked AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base,
+         xor(list_reduce(list_concat([4294967295::UBIGINT], list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: ascii(c)::UBIGINT)),
+           lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda bits, ignored: xor(bits >> 1, (bits & 1) * 3988292384))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM said)),
+parts AS (
+  SELECT a.conv_id, 0 AS part, p.place, p.role, p.text FROM asked a JOIN placed p ON p.conv_id = a.base AND p.place <= a.h
+  UNION ALL SELECT a.conv_id, 1, p.place, p.role, p.text FROM asked a JOIN placed p ON p.conv_id = a.conv_id AND p.place > a.h),
+rebuilt AS (
+  SELECT a.conv_id, coalesce(list({'role': role, 'text': text} ORDER BY part, place) FILTER (part IS NOT NULL), []) AS turns
+  FROM asked a LEFT JOIN parts p USING (conv_id) GROUP BY a.conv_id),
+members AS (SELECT conv_id, len(turns) AS n, unnest(range(len(turns) + 1)) AS depth, turns FROM rebuilt),
+nodes AS (
+  SELECT turns[1:depth] AS node, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM members GROUP BY turns[1:depth], depth),
+kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+valued AS (
+  SELECT n.*, coalesce(k.n_children, 0) AS n_children, (n_convs - 1) * CASE WHEN n.depth > 0 THEN length(n.node[-1].text) ELSE 0 END AS value
+  FROM nodes n LEFT JOIN kids k ON n.node = k.node),
+up AS (SELECT *, unnest(range(depth + 1)) AS above FROM valued),
+sums AS (
+  SELECT node[1:above] AS node, CAST(sum(value) AS BIGINT) AS saved_tokens, count(*) FILTER (n_children = 0) AS n_leaves
+  FROM up GROUP BY ALL)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves, s.saved_tokens, v.ends_sha256
+FROM valued v JOIN sums s ON v.node = s.node LEFT JOIN nodes p ON v.depth > 0 AND p.depth = v.depth - 1 AND p.node = v.node[1:v.depth - 1]
+"""
+
+HOST_RULES_SQL = r"""
+WITH texts AS (SELECT row_number() OVER () AS rid, doc_id, source AS host, coalesce(text, '') AS text FROM documents),
+said AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM texts),
+spread AS (SELECT rid, unnest(words) AS word, unnest(range(len(words))) AS place FROM said),
+windows AS (
+  SELECT rid, place, word, lead(word) OVER w AS second, lead(word, 2) OVER w AS third FROM spread WINDOW w AS (PARTITION BY rid ORDER BY place)),
+counted AS (SELECT *, third IS NOT NULL AND count(*) OVER (PARTITION BY rid, word, second, third) > 1 AS twice FROM windows),
+covered AS (
+  SELECT rid, twice OR coalesce(lag(twice) OVER w, false) OR coalesce(lag(twice, 2) OVER w, false) AS again
+  FROM counted WINDOW w AS (PARTITION BY rid ORDER BY place)),
+repeats AS (SELECT rid, count(*) AS n_repeat_words FROM covered WHERE again GROUP BY rid),
+lines AS (
+  SELECT rid, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines
+  FROM (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+counts AS (
+  SELECT s.rid, doc_id, host, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(len(regexp_extract_all(text, '[\x{0800}-\x{10FFFF}]')) AS BIGINT) AS n_wide,
+         CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, coalesce(l.n_lines, 0) AS n_lines,
+         coalesce(l.n_dup_lines, 0) AS n_dup_lines, coalesce(r.n_repeat_words, 0) AS n_repeat_words
+  FROM said s LEFT JOIN lines l ON s.rid = l.rid LEFT JOIN repeats r ON s.rid = r.rid),
+failures AS (
+  SELECT doc_id, host, unnest(range(5)) AS rule, CAST(unnest([
+    n_words < 50, 100 * n_repeat_words > 50 * n_words, 10 * n_symbols > n_words,
+    word_chars < 3 * n_words OR (word_chars > 12 * n_words AND 2 * n_wide < word_chars), 10 * n_dup_lines > 3 * n_lines]) AS BIGINT) AS failed
+  FROM counts),
+hosts AS (SELECT host, rule, count(*) AS n, CAST(sum(failed) AS DOUBLE) AS f FROM failures GROUP BY host, rule),
+moments AS (
+  SELECT rule, count(*) AS hosts, CAST(sum(n) AS DOUBLE) AS docs, CAST(sum(n * n) AS DOUBLE) AS squares, sum(f) / CAST(sum(n) AS DOUBLE) AS mean, sum(f * f / n) AS spread
+  FROM hosts GROUP BY rule),
+strengths AS (
+  SELECT rule, mean, 1 / least(greatest(
+    CASE WHEN mean * (1 - mean) > 0 AND docs - squares / docs - (hosts - 1) > 0
+         THEN ((spread - docs * mean * mean) / (mean * (1 - mean)) - (hosts - 1)) / (docs - squares / docs - (hosts - 1)) ELSE 0.001 END, 0.001), 0.5)::DOUBLE - 1 AS strength
+  FROM moments),
+verdicts AS (
+  SELECT host, max(n) AS host_docs, max((f + mean * strength) / (n + strength)) AS rate FROM hosts JOIN strengths USING (rule) GROUP BY host)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND rate <= 0.5 AS kept, c.host, host_docs, round(rate, 9) AS host_rate
+FROM counts c JOIN verdicts v ON c.host IS NOT DISTINCT FROM v.host
+"""
+
 QUERIES = (
     Query("op1_nearest", op1_nearest),
     Query("op2_fixity", op2_fixity, FIXITY_SQL),
@@ -173,6 +263,9 @@ QUERIES = (
     Query("op8_packing", op8_packing),
     Query("op9_lines", op9_lines, LINES_SQL),
     Query("op10_shuffle", op10_shuffle),
+    Query("op11_turn_trie", op11_turn_trie, TRIE_SQL),
+    Query("op12_host_rules", op12_host_rules, HOST_RULES_SQL),
+    Query("op13_spelling", op13_spelling),
     Query("pipeline", corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 )
 

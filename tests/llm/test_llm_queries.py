@@ -34,7 +34,7 @@ def test_equals_sql(spark, sf_dir, query):
 
 def test_all_are_registered():
     assert set(llm_queries()) <= set(entry.queries())
-    assert {name.split("_")[0] for name in llm_queries()} == {*(f"op{n}" for n in range(1, 11)), "pipeline"}
+    assert {name.split("_")[0] for name in llm_queries()} == {*(f"op{n}" for n in range(1, 14)), "pipeline"}
 
 
 def test_mixing_runs_no_python(spark, sf_dir):
