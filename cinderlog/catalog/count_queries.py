@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from cinderlog.catalog import datasets as d
 from cinderlog.catalog.query import Query, with_ctes
 from cinderlog.operators import aggregate as agg
+from cinderlog.operators import measures as ms
 from cinderlog.operators import metrics as m
 from cinderlog.operators import rollup as r
+from cinderlog.operators.pages import numbered_page
 from cinderlog.operators.quantile import exact_quantile, histogram
+from cinderlog.operators.rollup import build_rollup
+from cinderlog.operators.search import in_range
 from cinderlog.plans.spec import AggSpec, LogQuery
 from cinderlog.sources.export import read_csv, storage_rows, write_csv
 from cinderlog.sources.tables import LogStore
@@ -23,6 +27,12 @@ MONTH = (datetime(2024, 1, 1), datetime(2024, 2, 1))
 ODD = (datetime(2024, 1, 10, 0, 0, 30), datetime(2024, 1, 12, 0, 0, 30))
 ODD_SQL = "{0} >= TIMESTAMP '2024-01-10 00:00:30' AND {0} < TIMESTAMP '2024-01-12 00:00:30'"
 ROLLUP_ODD_SQL = "bucket_start >= TIMESTAMP '2024-01-10 00:00:00' AND bucket_start < TIMESTAMP '2024-01-12 00:00:30'"
+# A range that begins and ends within minutes, hours and days.
+RAGGED = (datetime(2024, 1, 3, 5, 7, 30), datetime(2024, 1, 27, 22, 41, 15))
+RAGGED_SQL = "{0} >= TIMESTAMP '2024-01-03 05:07:30' AND {0} < TIMESTAMP '2024-01-27 22:41:15'"
+ROLLUP_RAGGED_SQL = "bucket_start >= TIMESTAMP '2024-01-03 05:07:00' AND bucket_start < TIMESTAMP '2024-01-27 22:41:15'"
+WHOLE_HOURS = (datetime(2024, 1, 3, 5), datetime(2024, 1, 27, 22))
+WHOLE_HOURS_SQL = "timestamp >= TIMESTAMP '2024-01-03 05:00:00' AND timestamp < TIMESTAMP '2024-01-27 22:00:00'"
 WIDTH = {"1m": "1 MINUTE", "5m": "5 MINUTES", "1h": "1 HOUR", "1d": "1 DAY"}
 NO_GROUP = "CAST(NULL AS VARCHAR)"
 
@@ -96,6 +106,65 @@ def _stored_aggregate(spark, sf):
     return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+def _pyramid(bucket: str, exact: bool = False, **filters):
+    """Through the levels of a store of which one half is compacted and one is not."""
+    def run(spark, sf):
+        counts = _stored(spark, sf).aggregate(AggSpec(*RAGGED, bucket, **filters), exact)
+        return counts.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+    return run
+
+
+def _stored_page(spark, sf):
+    """A deep page of a service within ragged bounds, by the counts of a store."""
+    store, query = _stored(spark, sf), LogQuery(service="auth", since=RAGGED[0], until=RAGGED[1], limit=50)
+    page = numbered_page(store.logs, store.rollup_cover, query, 5, shallow=0)
+    return page.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "service")
+
+
+def _sketched(spark, sf):
+    """A store whose latency and distinct sketches come from two streams, the first compacted."""
+    store = LogStore(spark, new_folder(spark, "sketches"))
+    for stream in (0, 1):
+        part = d.logs(spark, sf).where(F.pmod("id", F.lit(2)) == stream)
+        store.append_rollup(build_rollup(part), 0, stream)
+        store.append_rollup(ms.latency_rollup(part, F.col("duration_ms")), 0, stream, ms.LATENCY)
+        fields = {"service": F.col("service"), "attr.user_id": F.col("attributes")["user_id"], "attr.k": F.col("attributes")["k"]}
+        store.append_rollup(ms.distinct_rollup(part, fields), 0, stream, ms.DISTINCT)
+        if stream == 0:
+            store.compact_all()
+    return store
+
+
+def _latency_sketch(spark, sf):
+    """P99 of a range from sketches, and whether as many durations lie at or below it as must, up to the sketch's bound."""
+    found = _sketched(spark, sf).latency(*WHOLE_HOURS).select("service", "n", "latency")
+    rows = d.logs(spark, sf).select("timestamp", "service", "duration_ms").where("duration_ms is not null")
+    rows = in_range(rows, *WHOLE_HOURS).join(found, "service")
+    below = F.count_if(F.col("duration_ms") <= F.col("latency")) / F.count("*")
+    strictly = F.count_if(F.col("duration_ms") < F.col("latency")) / F.count("*")
+    # One value more or less is allowed for, since ranks of few values are coarse.
+    slack = F.lit(ms.RANK_ERROR) + 1 / F.count("*")
+    return rows.groupBy("service").agg(F.first("n").alias("n"), ((below >= 0.99 - slack) & (strictly <= 0.99 + slack)).alias("within"))
+
+
+def _distinct_sketch(spark, sf):
+    """Distinct services and attribute values of a range by sketches, and whether they are within four standard errors."""
+    found = ms.distinct_estimates(_sketched(spark, sf).rollup_cover(*WHOLE_HOURS, measure=ms.DISTINCT))
+    logs = in_range(d.logs(spark, sf), *WHOLE_HOURS)
+    values = {"service": F.col("service"), "attr.user_id": F.col("attributes")["user_id"], "attr.k": F.col("attributes")["k"]}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("field"), v.cast("string").alias("value")) for k, v in values.items()]))
+    exact = logs.select(pairs.alias("p")).groupBy("p.field").agg(F.count_distinct("p.value").alias("exact"))
+    off = F.abs(F.col("estimate") - F.col("exact")) <= 4 * ms.DISTINCT_ERROR * F.col("exact") + 1
+    return exact.join(found, "field").select("field", "exact", off.alias("within"))
+
+
+def _stored_summary(spark, sf):
+    """The service summary of a range without its P99, which is a sketch's."""
+    found = _sketched(spark, sf).service_summary(*WHOLE_HOURS)
+    return found.select("service", "total", "error_rate", "status")
+
+
 def _stored_newest(spark, sf):
     page = _stored(spark, sf).newest(LogQuery(levels=("error",), limit=200))
     return page.select("id", F.col("timestamp").cast("timestamp_ntz").alias("timestamp"), "service")
@@ -318,6 +387,32 @@ QUERIES = [
                    CAST(round(CAST(100 * (count - previous) AS DECIMAL(18,8)) / previous, 1) AS DOUBLE) AS change_pct FROM paired"""),
     ),
     Query("stored_agg_rollup", _stored_aggregate, _counts_sql("1h", "service", ROLLUP_ODD_SQL, "rollup")),
+    Query("agg_pyramid_1d", _pyramid("1d", group_by="level"), _counts_sql("1d", "level", ROLLUP_RAGGED_SQL, "rollup")),
+    Query("agg_pyramid_1h", _pyramid("1h", group_by="service"), _counts_sql("1h", "service", ROLLUP_RAGGED_SQL, "rollup")),
+    Query("agg_pyramid_5m", _pyramid("5m", service="auth"), _counts_sql("5m", where=f"service = 'auth' AND {ROLLUP_RAGGED_SQL}", source="rollup")),
+    Query("agg_pyramid_exact", _pyramid("1d", exact=True, level="error"), _counts_sql("1d", where="level = 'error' AND " + RAGGED_SQL.format("timestamp"))),
+    Query(
+        "stored_page_deep", _stored_page,
+        with_ctes(d.LOGS, f"""SELECT id, timestamp, service FROM logs WHERE service = 'auth' AND {RAGGED_SQL.format('timestamp')}
+            ORDER BY timestamp DESC, id DESC LIMIT 50 OFFSET 200"""),
+    ),
+    Query(
+        "latency_sketch", _latency_sketch,
+        with_ctes(d.LOGS, f"SELECT service, count(*) AS n, true AS within FROM logs WHERE duration_ms IS NOT NULL AND {WHOLE_HOURS_SQL} GROUP BY service"),
+    ),
+    Query(
+        "distinct_sketch", _distinct_sketch,
+        with_ctes(d.LOGS + f", ranged AS (SELECT * FROM logs WHERE {WHOLE_HOURS_SQL})", """
+            SELECT 'service' AS field, count(DISTINCT service) AS exact, true AS within FROM ranged
+            UNION ALL SELECT 'attr.user_id', count(DISTINCT attr_user_id), true FROM ranged
+            UNION ALL SELECT 'attr.k', count(DISTINCT attr_k), true FROM ranged"""),
+    ),
+    Query(
+        "stored_service_summary", _stored_summary,
+        with_ctes(d.LOGS, f"""SELECT service, total, error_rate, CASE WHEN error_rate >= 2.5 THEN 'DEGRADED' WHEN error_rate >= 1.0 THEN 'WARNING' ELSE 'HEALTHY' END AS status
+            FROM (SELECT service, count(*) AS total, CAST(round(CAST(100 * count(*) FILTER (level = 'error') AS DECIMAL(18,8)) / count(*), 2) AS DOUBLE) AS error_rate
+                  FROM logs WHERE {WHOLE_HOURS_SQL} GROUP BY service)"""),
+    ),
     Query(
         "stored_newest", _stored_newest,
         with_ctes(d.LOGS, "SELECT id, timestamp, service FROM logs WHERE level = 'error' ORDER BY timestamp DESC, id DESC LIMIT 200"),

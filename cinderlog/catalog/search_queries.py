@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cinderlog.catalog import datasets as d
 from cinderlog.catalog.query import Query, with_ctes
 from cinderlog.operators import search as ops
+from cinderlog.operators.pages import search_offset
 from cinderlog.plans.cursor import Cursor
 from cinderlog.plans.spec import LogQuery
 from cinderlog.sources.export import log_rows, read_csv, write_csv
@@ -39,6 +40,16 @@ def _page(query: LogQuery):
     return lambda spark, sf: shown(ops.search(d.logs(spark, sf), query))
 
 
+def _deep(query: LogQuery):
+    """A page behind the first quarter of all matching rows, looked up in the counts however small the table is."""
+    def run(spark, sf):
+        logs = d.logs(spark, sf)
+        page = ops.total(logs, query).first()["total"] // (4 * query.limit) + 2
+        return shown(search_offset(logs, query, page, d.rollup(spark, sf), shallow=0))
+
+    return run
+
+
 def _sql(rest: str) -> str:
     return with_ctes(d.LOGS, f"SELECT {COLUMNS} FROM logs {rest}")
 
@@ -116,9 +127,18 @@ QUERIES = [
             FROM page ORDER BY timestamp, id LIMIT 1"""),
     ),
     Query(
-        "search_offset_page", lambda spark, sf: shown(ops.search_offset(d.logs(spark, sf), LogQuery(limit=100), 3)),
+        "search_offset_page", lambda spark, sf: shown(search_offset(d.logs(spark, sf), LogQuery(limit=100), 3)),
         _sql(f"{NEWEST} LIMIT 100 OFFSET 200"),
     ),
+    Query(
+        "search_offset_deep", _deep(LogQuery(limit=100)),
+        _sql(f"{NEWEST} LIMIT 100 OFFSET (SELECT count(*) // 400 * 100 + 100 FROM logs)"),
+    ),
+    Query(
+        "search_offset_deep_text", _deep(LogQuery(q="by user_1", since=SINCE, limit=20)),
+        with_ctes(d.LOGS + ", found AS (SELECT * FROM logs WHERE message ILIKE '%by user_1%' AND timestamp >= TIMESTAMP '2024-01-10 00:00:30')",
+                  f"SELECT {COLUMNS} FROM found {NEWEST} LIMIT 20 OFFSET (SELECT count(*) // 80 * 20 + 20 FROM found)"),
+    ),
     Query(
         "search_total", lambda spark, sf: ops.total(d.logs(spark, sf), LogQuery.from_params(COMBINED)),
         with_ctes(d.LOGS, """SELECT count(*) AS total FROM logs WHERE service = 'auth' AND level IN ('warn', 'error')

@@ -12,6 +12,7 @@ from cinderlog.functions.numbers import half_up, percent
 from cinderlog.functions.text import mask_digits
 from cinderlog.functions.times import iso_millis, ts_literal
 from cinderlog.operators.aggregate import aggregate_rollup, last, rollup_rows
+from cinderlog.operators.measures import latency_quantile
 from cinderlog.operators.quantile import exact_quantile, histogram
 from cinderlog.operators.search import in_range, newest_first
 from cinderlog.sources.workspace import written
@@ -172,6 +173,18 @@ def service_summary(logs: DataFrame, duration: str = "duration_ms", exact: bool
     else:
         latency = F.percentile_approx(duration, 0.99).alias("p99_ms")
         counts = logs.groupBy("service").agg(F.count("*").alias("total"), errors, latency)
+    return _rated(counts)
+
+
+def service_summary_rollup(rollup: DataFrame, latency: DataFrame) -> DataFrame:
+    """The same from roll-up rows of counts and of latency sketches (any levels); the P99 has the sketch's rank error."""
+    errors = F.sum(F.when(F.col("level") == "error", F.col("count")).otherwise(0)).alias("errors")
+    counts = rollup.groupBy("service").agg(F.sum("count").alias("total"), errors)
+    tails = latency_quantile(latency).select("service", F.col("latency").alias("p99_ms"))
+    return _rated(counts.join(tails, "service", "left"))
+
+
+def _rated(counts: DataFrame) -> DataFrame:
     rate = percent(F.col("errors"), F.col("total"), 2)
     status = (
         F.when(F.col("error_rate") >= DEGRADED_RATE, "DEGRADED")

@@ -14,9 +14,6 @@ from cinderlog.functions.times import iso_micros, ts_literal
 from cinderlog.plans.cursor import Cursor
 from cinderlog.plans.spec import AggSpec, LogQuery
 
-# How far pages can be addressed by number.
-MAX_OFFSET = 100_000
-
 
 def newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.desc("timestamp"), F.desc("id"))
@@ -71,16 +68,6 @@ def search(logs: DataFrame, query: LogQuery) -> DataFrame:
     return newest_first(df).limit(query.limit)
 
 
-def search_offset(logs: DataFrame, query: LogQuery, page: int) -> DataFrame:
-    """Page number addressing, from 1, over the newest MAX_OFFSET rows: every task keeps all rows up to the page's end.
-    Cursors reach everything behind."""
-    if page < 1:
-        raise ValueError("page must be at least 1")
-    if page * query.limit > MAX_OFFSET:
-        raise ValueError(f"pages by number end after {MAX_OFFSET} rows; go on with the cursor")
-    return newest_first(filter_logs(logs, query)).offset((page - 1) * query.limit).limit(query.limit)
-
-
 def total(logs: DataFrame, query: LogQuery) -> DataFrame:
     return filter_logs(logs, query).agg(F.count("*").alias("total"))
 

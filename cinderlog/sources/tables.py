@@ -2,7 +2,9 @@
 
 logs       log_date=/stream=/epoch=   rows sorted by (service, timestamp, id) inside each file
 deltas     stream=/epoch=             roll-up deltas, one folder per micro-batch
-compact    generation=/log_date=      roll-up with deltas summed in; a day's newest generation counts
+compact    generation=/log_date=      roll-up with deltas merged in; a day's newest generation counts
+compact_60, compact_1440   generation=/log_month=   the same by hour and by day; a month's newest generation counts
+latency_deltas, latency..., distinct_deltas, distinct...   mergeable sketches, kept and compacted like the counts
 rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch=
 rules      added=                     rule definitions; trigger times are kept apart, in triggers
 receipts   added=                     which notifications have been read
@@ -24,12 +26,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.operators.aggregate import aggregate, aggregate_exact
 from cinderlog.operators.alerts import with_rule_check
+from cinderlog.operators.measures import COUNTS, LATENCY, MEASURES, Measure, latency_quantile
+from cinderlog.operators.metrics import service_summary_rollup
 from cinderlog.operators.notifications import with_read_state
-from cinderlog.operators.rollup import compacted, rollup_kept
-from cinderlog.operators.search import newest
-from cinderlog.plans.spec import LogQuery
-from cinderlog.schemas import NOTIFICATIONS, ROLLUP, RULES, STORED_LOGS
+from cinderlog.operators.pages import numbered_page
+from cinderlog.operators.rollup import rollup_kept
+from cinderlog.operators.search import in_range, newest
+from cinderlog.plans.spec import AggSpec, LogQuery
+from cinderlog.schemas import NOTIFICATIONS, RULES, STORED_LOGS
 
 EPOCH = (T.StructField("stream", T.LongType(), False), T.StructField("epoch", T.LongType(), False))
 TRIGGERS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("triggered_at", T.TimestampType())])
@@ -37,7 +43,7 @@ RECEIPTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("all_u
 EXPIRED = T.StructType([T.StructField("deleted", T.LongType())])
 MAX_RECORDS_PER_FILE = 20_000_000
 MAX_STREAM, MAX_EPOCH, MAX_RULE = 1 << 7, 1 << 24, 1 << 31
-COMPLETE = "_COMPLETE"
+COMPLETE, LEVELLED = "_COMPLETE", "_LEVELS"
 
 
 def checked_number(stream: int, epoch: int) -> None:
@@ -48,17 +54,28 @@ def checked_number(stream: int, epoch: int) -> None:
 
 @dataclass(frozen=True)
 class Compaction:
-    """A finished compaction: what it has summed in per stream, and the first day that is kept."""
+    """A finished compaction: what it has merged in per stream, the first day that is kept, and whether it has all levels."""
 
     generation: int
     upto: dict[int, int]
     first_day: date | None
+    levelled: bool = True
 
 
 def _with(schema: T.StructType, *fields: T.StructField) -> T.StructType:
     return T.StructType(schema.fields + list(fields))
 
 
+def _folder_key(measure: Measure, minutes: int | None) -> str:
+    return "log_date" if minutes in (None, measure.levels[0]) else "log_month"
+
+
+def _touches(day: date, low: datetime | None, high: datetime | None, month: bool) -> bool:
+    """Whether the folder of a day (or of the month that begins on it) may hold a part of the range."""
+    last = (day.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1) if month else day
+    return (low is None or last >= low.date()) and (high is None or day <= high.date())
+
+
 @dataclass(frozen=True)
 class LogStore:
     spark: SparkSession
@@ -202,28 +219,29 @@ class LogStore:
                     found[int(stream), int(epoch)] = path
         return found
 
-    # Roll-up
+    # Roll-ups: counts and other measures
 
-    def append_rollup(self, deltas: DataFrame, epoch: int, stream: int = 0) -> None:
+    def append_rollup(self, deltas: DataFrame, epoch: int, stream: int = 0, measure: Measure = COUNTS) -> None:
         """Rebalancing sizes the files by their bytes: one for a small batch, many for a big one."""
-        self.write_epoch(deltas.hint("rebalance"), "deltas", epoch, stream)
+        self.write_epoch(deltas.select(*measure.schema.names).hint("rebalance"), measure.deltas, epoch, stream)
 
-    def _compactions(self) -> list[Compaction]:
+    def _compactions(self, measure: Measure = COUNTS) -> list[Compaction]:
         found = []
-        for text, path in self.folders("compact", "generation").items():
+        for text, path in self.folders(measure.compact, "generation").items():
             names = self._names(path)
             if COMPLETE in names:
                 upto = dict(map(int, name.split(".")[1:]) for name in names if name.startswith("_upto."))
                 first = [date.fromisoformat(name.split(".")[1]) for name in names if name.startswith("_from.")]
-                found.append(Compaction(int(text), upto, max(first, default=None)))
+                found.append(Compaction(int(text), upto, max(first, default=None), LEVELLED in names))
         return sorted(found, key=lambda c: c.generation)
 
-    def _compact_days(self, upto_generation: int) -> dict[date, list[tuple[int, str]]]:
-        """The generations (ascending) that hold a day, and their paths."""
+    def _compact_days(self, upto_generation: int, measure: Measure = COUNTS, minutes: int | None = None) -> dict[date, list[tuple[int, str]]]:
+        """The generations (ascending) that hold a day, or a month of a coarser level, and their paths."""
+        table, key = measure.table(minutes or measure.levels[0]), _folder_key(measure, minutes)
         days: dict[date, list[tuple[int, str]]] = {}
-        for text in sorted(self.folders("compact", "generation"), key=int):
+        for text in sorted(self.folders(table, "generation"), key=int):
             if int(text) <= upto_generation:
-                for day, path in self.folders(f"compact/generation={text}", "log_date").items():
+                for day, path in self.folders(f"{table}/generation={text}", key).items():
                     days.setdefault(date.fromisoformat(day), []).append((int(text), path))
         return days
 
@@ -234,89 +252,171 @@ class LogStore:
             pending = pending & ((F.col("stream") != stream) | (F.col("epoch") > epoch))
         return pending
 
-    def _deltas(self, where: Column) -> DataFrame:
-        deltas = self.read_epochs("deltas", ROLLUP).where(where)
-        return deltas.select(*ROLLUP.names, F.to_date("bucket_start").alias("log_date"))
+    def _deltas(self, where: Column, measure: Measure = COUNTS) -> DataFrame:
+        deltas = self.read_epochs(measure.deltas, measure.schema).where(where)
+        return deltas.select(*measure.schema.names, F.to_date("bucket_start").alias("log_date"))
 
-    def _compacted(self, base: Compaction | None, days: set[date] | None = None) -> DataFrame:
-        dated = _with(ROLLUP, T.StructField("log_date", T.DateType()))
+    def _compacted(self, base: Compaction | None, days: set[date] | None = None, measure: Measure = COUNTS, minutes: int | None = None) -> DataFrame:
+        """The compacted rows of a level (the finest, if none is named) in the folders of the given days or months."""
+        key = _folder_key(measure, minutes)
+        schema = _with(measure.schema, T.StructField(key, T.DateType()))
+        first = base.first_day if base else None
+        lowest = first.replace(day=1) if first and key == "log_month" else first
         paths = []
-        for day, found in self._compact_days(base.generation).items() if base else []:
-            if (days is None or day in days) and (base.first_day is None or day >= base.first_day):
+        for day, found in self._compact_days(base.generation, measure, minutes).items() if base else []:
+            if (days is None or day in days) and (lowest is None or day >= lowest):
                 paths.append(found[-1][1])
+        dated = F.to_date("bucket_start").alias("log_date")
         if not paths:
-            return self.spark.createDataFrame([], dated)
+            return self.spark.createDataFrame([], schema).select(*measure.schema.names, dated)
         # Read with the generation as well, which the folders carry.
-        rows = self.spark.read.schema(_with(dated, T.StructField("generation", T.LongType())))
-        return rows.option("basePath", self.path("compact")).parquet(*paths).select(*dated.names)
-
-    def rollup(self) -> DataFrame:
-        """Compacted part and later deltas together; always sum the counts. Dated, so that ranges
+        rows = self.spark.read.schema(_with(schema, T.StructField("generation", T.LongType())))
+        rows = rows.option("basePath", self.path(measure.table(minutes or measure.levels[0]))).parquet(*paths)
+        if key == "log_date":
+            return rows.select(*measure.schema.names, "log_date")
+        rows = rows.select(*measure.schema.names, dated)
+        return rows.where(F.col("log_date") >= F.lit(first)) if first else rows
+
+    def rollup(self, measure: Measure = COUNTS) -> DataFrame:
+        """Compacted part and later deltas together; always merge the rows. Dated, so that ranges
         open only the days they need of the compacted part."""
-        base = max(self._compactions(), key=lambda c: c.generation, default=None)
-        deltas = self._deltas(self._pending(base))
-        return self._compacted(base).unionByName(deltas) if base else deltas
+        base = max(self._compactions(measure), key=lambda c: c.generation, default=None)
+        deltas = self._deltas(self._pending(base), measure)
+        return self._compacted(base, measure=measure).unionByName(deltas) if base else deltas
 
-    def compact_rollup(self, drop_before: datetime | None = None) -> Compaction | None:
-        """Sum the finished deltas into a new generation of the days they touch, optionally without expired minutes.
+    def rollup_cover(self, since: datetime | None, until: datetime | None, coarsest: int = 1440, measure: Measure = COUNTS) -> DataFrame:
+        """Roll-up rows of a range, of the coarsest buckets (up to `coarsest` minutes) that fit into it.
 
-        Other days stay as they are. Readers switch once the generation is marked complete. What it replaces is kept
-        until the next compaction, for readers that are still at it.
+        Whole days come from the level of days, whole hours at the edges from that of hours, and only the rest from
+        minutes; rows that are not compacted yet come as they are. Folders outside of the range are not opened.
+        """
+        base = max(self._compactions(measure), key=lambda c: c.generation, default=None)
+        stretches = measure.cover(since, until, coarsest if base and base.levelled else measure.levels[0])
+        whole = [edge for _, low, high in stretches for edge in (low, high) if edge]
+        low, high = min(whole, default=None) if since else None, max(whole, default=None) if until else None
+        rows = in_range(self._deltas(self._pending(base), measure), low, high, "bucket_start")
+        for minutes, low, high in stretches if base else []:
+            found = self._compact_days(base.generation, measure, minutes)
+            inside = {day for day in found if _touches(day, low, high, minutes > measure.levels[0])}
+            if inside:
+                rows = rows.unionByName(in_range(self._compacted(base, inside, measure, minutes), low, high, "bucket_start"))
+        return rows
+
+    def aggregate(self, spec: AggSpec, exact: bool = False) -> DataFrame:
+        """Bucket counts from the cheapest stored tables: the levels of the roll-up, or raw rows of the days in range.
+
+        With `exact`, minutes that the range cuts are counted from raw rows.
         """
-        history = self._compactions()
+        logs = self.logs(spec.since, spec.until)
+        if spec.source != "rollup":
+            return aggregate(logs, logs, spec)
+        return (aggregate_exact if exact else aggregate)(logs, self.rollup_cover(spec.since, spec.until, spec.minutes), spec)
+
+    def page(self, query: LogQuery, number: int) -> DataFrame:
+        """Page number addressing at any depth; only the days that hold the page are opened for its rows."""
+        return numbered_page(self.logs, self.rollup_cover, query, number)
+
+    def latency(self, since: datetime | None, until: datetime | None, quantile: float = 0.99) -> DataFrame:
+        """(service, n, latency): a quantile of the range from stored sketches, without a scan of raw rows."""
+        return latency_quantile(self.rollup_cover(since, until, measure=LATENCY), quantile)
+
+    def service_summary(self, since: datetime | None, until: datetime | None) -> DataFrame:
+        """The service summary of a range, from counts and sketches."""
+        return service_summary_rollup(self.rollup_cover(since, until), self.rollup_cover(since, until, measure=LATENCY))
+
+    def compact_all(self, drop_before: datetime | None = None) -> None:
+        """Compact every measure that has been stored."""
+        for measure in MEASURES:
+            if self.has(measure.deltas) or measure is COUNTS:
+                self.compact_rollup(drop_before, measure)
+
+    def compact_rollup(self, drop_before: datetime | None = None, measure: Measure = COUNTS) -> Compaction | None:
+        """Merge the finished deltas into a new generation of the days they touch, optionally without expired buckets.
+
+        Other days stay as they are. Coarser levels are made from the finest one: of the months that are touched, the
+        days that are touched anew and the others as they were. Readers switch once the generation is marked complete.
+        What it replaces is kept until the next compaction, for readers that are still at it.
+        """
+        history = self._compactions(measure)
         base = history[-1] if history else None
-        finished = self.epochs("deltas")
+        finished = self.epochs(measure.deltas)
         new = {key: path for key, path in finished.items() if not base or key[1] > base.upto.get(key[0], -1)}
         if not new and not drop_before:
-            self._clean(base, finished)
+            self._clean(base, finished, measure)
             return base
         upto = dict(base.upto if base else {})
         for stream, epoch in new:
             upto[stream] = max(epoch, upto.get(stream, -1))
         current = Compaction(0, upto, None)
-        fresh = self._deltas(self._pending(base) & ~self._pending(current)) if new else self._deltas(F.lit(False))
+        fresh = self._deltas(self._pending(base) & ~self._pending(current), measure) if new else self._deltas(F.lit(False), measure)
         first_day = drop_before.date() if drop_before else None
         if base and base.first_day:
             first_day = max(first_day or base.first_day, base.first_day)
         touched = {row[0] for row in fresh.select("log_date").distinct().collect()} if new else set()
         if drop_before:
             touched.add(drop_before.date())
-        rows = compacted(self._compacted(base, touched).unionByName(fresh))
+        rows = measure.merged(self._compacted(base, touched, measure).unionByName(fresh))
         if drop_before:
             rows = rollup_kept(rows, drop_before)
         if first_day:
             rows = rows.where(F.to_date("bucket_start") >= F.lit(first_day))
         generation = base.generation + 1 if base else 0
-        path = f"{self.path('compact')}/generation={generation}"
+        path = f"{self.path(measure.compact)}/generation={generation}"
         dated = rows.withColumn("log_date", F.to_date("bucket_start")).hint("rebalance", F.col("log_date"))
-        dated.sortWithinPartitions("log_date", "service", "bucket_start").write.mode("overwrite").partitionBy("log_date").parquet(path)
+        dated.sortWithinPartitions("log_date", measure.keys[0], "bucket_start").write.mode("overwrite").partitionBy("log_date").parquet(path)
         if drop_before and base:
-            self._hide(generation, drop_before.date())
+            self._hide(path, "log_date", drop_before.date(), measure)
+        self._write_levels(base, generation, touched, drop_before, measure)
         for stream, epoch in upto.items():
             self._mark(f"{path}/_upto.{stream}.{epoch}")
         if first_day:
             self._mark(f"{path}/_from.{first_day.isoformat()}")
+        self._mark(f"{path}/{LEVELLED}")
         self._mark(f"{path}/{COMPLETE}")
-        self._clean(base, finished)
+        self._clean(base, finished, measure)
         return Compaction(generation, upto, first_day)
 
-    def _hide(self, generation: int, day: date) -> None:
-        """A cutoff day of which nothing is left has no folder in the new generation; an empty one stands for it."""
-        path = f"{self.path('compact')}/generation={generation}/log_date={day.isoformat()}"
+    def _write_levels(self, base: Compaction | None, generation: int, touched: set[date], drop_before: datetime | None, measure: Measure) -> None:
+        """The hours and days of the touched months; all months if the generation before has no levels yet."""
+        dated = _with(measure.schema, T.StructField("log_date", T.DateType()))
+        finest = self.spark.read.schema(dated).parquet(f"{self.path(measure.compact)}/generation={generation}")
+        levelled = base is not None and base.levelled
+        if base and not levelled:
+            others = {day for day in self._compact_days(base.generation, measure) if day not in touched}
+            finest = finest.unionByName(self._compacted(base, others, measure))
+        months = {day.replace(day=1) for day in touched}
+        for minutes in measure.levels[1:]:
+            rows = measure.merged(finest, minutes)
+            if levelled:
+                kept = self._compacted(base, months, measure, minutes)
+                kept = kept.where(~F.col("log_date").isin(sorted(touched))) if touched else kept
+                rows = rows.unionByName(kept.drop("log_date"))
+            path = f"{self.path(measure.table(minutes))}/generation={generation}"
+            rows = rows.withColumn("log_month", F.trunc("bucket_start", "month")).hint("rebalance", F.col("log_month"))
+            ordered = rows.sortWithinPartitions("log_month", "bucket_start", measure.keys[0])
+            ordered.write.mode("overwrite").partitionBy("log_month").parquet(path)
+            if drop_before and base:
+                self._hide(path, "log_month", drop_before.date().replace(day=1), measure)
+
+    def _hide(self, generation: str, key: str, day: date, measure: Measure) -> None:
+        """A cutoff day or month of which nothing is left has no folder in the new generation; an empty one stands for it."""
+        path = f"{generation}/{key}={day.isoformat()}"
         if not self._is_file(path):
-            self.spark.createDataFrame([], ROLLUP).write.parquet(path)
+            self.spark.createDataFrame([], measure.schema).write.parquet(path)
 
-    def _clean(self, base: Compaction | None, finished: dict[tuple[int, int], str]) -> None:
+    def _clean(self, base: Compaction | None, finished: dict[tuple[int, int], str], measure: Measure) -> None:
         """Drop what the compaction before the newest one (`base`) had already replaced."""
         if base is None:
             return
         for (stream, epoch), path in finished.items():
             if epoch <= base.upto.get(stream, -1):
                 self._drop(path)
-        for day, found in self._compact_days(base.generation).items():
-            stale = found if base.first_day and day < base.first_day else found[:-1]
-            for _, path in stale:
-                self._drop(path)
+        for minutes in measure.levels:
+            first = base.first_day
+            first = first.replace(day=1) if first and minutes != measure.levels[0] else first
+            for day, found in self._compact_days(base.generation, measure, minutes).items():
+                for _, path in found if first and day < first else found[:-1]:
+                    self._drop(path)
 
     # Retention
 

@@ -73,7 +73,7 @@ def run_retention(store: LogStore, as_of: datetime, run: int, days: int = RETENT
         store.write_epoch(expired_count(store.logs(until=limit), limit).select("deleted"), "retention", run)
     report = store.read_epochs("retention", EXPIRED).where((F.col("stream") == 0) & (F.col("epoch") == run)).select("deleted")
     store.drop_expired_days(limit)
-    store.compact_rollup(drop_before=limit)
+    store.compact_all(drop_before=limit)
     notice = retention_notification(report, days, as_of, NOTIFICATIONS["created_at"].dataType)
     _write_notifications(store, notice, run, 0, RETENTION_KIND, F.lit(0))
     # A count is a single number.

@@ -3,7 +3,8 @@ from datetime import datetime
 
 import pytest
 
-from cinderlog.operators.search import filter_logs, log_detail, newest, next_cursor, pages, search, search_offset, total
+from cinderlog.operators.pages import search_offset
+from cinderlog.operators.search import filter_logs, log_detail, newest, next_cursor, pages, search, total
 from cinderlog.plans.cursor import Cursor
 from cinderlog.plans.spec import LogQuery
 
