@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import os
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from cinderlog.llm.bytepieces import PieceIds, holding, other_spaces
 from cinderlog.llm.common import running_totals, ready
 from cinderlog.llm.pretokens import Pieces
 from cinderlog.sources.workspace import written
@@ -22,21 +23,37 @@ DIMENSIONS, BITS, HASHED = 3, 10, 1024
 
 
 class TokenIds:
-    """Ids by the tokenizers library, asked once for each piece of text and remembered as bytes."""
+    """Ids by the tokenizers library, asked once for each piece of text and remembered.
+
+    Texts with special strings or white space beyond ASCII are cut in Python, all others over the bytes of a column.
+    """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         tokenizer = Tokenizer.from_file(path)
-        self.type, self.code = ("<u2", "H") if tokenizer.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.type = "<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         specials = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        self.special = {content: np.array([i], self.type).tobytes() for content, i in specials.items()}
+        self.special = {content: np.array([i], self.type) for content, i in specials.items()}
         self.tokenizer = tokenizer
-        self.pieces = Pieces(self._ids, list(specials))
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        token_bytes = np.zeros(max(vocabulary.values(), default=0) + 1, np.int64)
+        token_bytes[list(vocabulary.values())] = list(map(len, vocabulary))  # a letter of byte-level tokens is a byte
+        self.pieces = Pieces(self._each, list(specials))
+        self.known = PieceIds(self._each, token_bytes, self.type, not any(map(str.isspace, "".join(specials))))
 
-    def _ids(self, pieces: list[str]) -> list[bytes]:
+    def _each(self, pieces: list[str]) -> list[np.ndarray]:
         encoded = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array(self.code, one.ids).tobytes() for one in encoded]
+        return [np.array(one.ids, self.type) for one in encoded]
+
+    def of(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text."""
+        odd = other_spaces(texts) | holding(texts, list(self.special))
+        flat, offsets = self.known.of(texts.filter(pa.array(~odd)))
+        plain = (flat[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()))
+        rest = iter(self._cut(texts.filter(pa.array(odd)).to_pylist()))
+        return [next(rest if here else plain) for here in odd.tolist()]
 
-    def of(self, texts: list[str]) -> list[bytes]:
+    def _cut(self, texts: list[str]) -> list[np.ndarray]:
         parts = [self.pieces.parts(text) for text in texts]
         flat = iter(self.pieces.values([part for inside, _ in parts for part in inside]))
         found = []
@@ -45,7 +62,7 @@ class TokenIds:
             for content in special:
                 row.append(self.special[content])
                 row.extend(next(flat))
-            found.append(b"".join(row))
+            found.append(np.concatenate(row))
         return found
 
 
@@ -107,10 +124,10 @@ def tokenized(docs: DataFrame, path: str, end_id: int = END_ID) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = token_ids(path)
-        end = np.array([end_id], tokens.type).tobytes()
+        end = np.array([end_id], tokens.type)
         for batch in batches:
-            ids = [one + end for one in tokens.of(batch["text"].to_pylist())]
-            arrays = [np.frombuffer(one, tokens.type) for one in ids]
+            arrays = [np.append(one, end) for one in tokens.of(batch["text"])]
+            ids = [one.tobytes() for one in arrays]
             curve = pa.array(hilbert(places(arrays)), pa.int64())
             counts = pa.array([len(one) for one in arrays], pa.int64())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], curve, counts, pa.array(ids, pa.binary())], ["doc_id", "curve", "doc_tokens", "ids"])
