@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -11,9 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import WORD_HASHES, Rolling, mixed, ready, running_totals
+from cinderlog.llm.bytewords import ByteWords
+from cinderlog.llm.common import Rolling, mixed, ready, running_totals
 from cinderlog.sources.workspace import written
 
+#: Lines of fewer words are compared on equality alone.
 MIN_WORDS = 5
 #: Fixed odd numbers that keep hashes of different kinds apart.
 _SECOND, _LENGTH, _PLACE, _PREFIX, _SUFFIX, _DELETED = (
@@ -30,18 +31,21 @@ def where_in() -> Column:
 class _Lines:
     """The lines of a batch of texts with rolling hashes over all their words."""
 
-    def __init__(self, texts: list[str]):
-        lines = [text.encode().split(b"\n") for text in texts]
-        self.per_text = np.fromiter(map(len, lines), np.int64, len(lines))
-        words = [line.split() for line in chain.from_iterable(lines)]
-        self.words = np.fromiter(map(len, words), np.int64, len(words))
-        hashes = WORD_HASHES.of(chain.from_iterable(words))
+    def __init__(self, texts: pa.Array):
+        words = ByteWords(texts)
+        breaks = np.flatnonzero(words.data == 10)
+        before = np.searchsorted(breaks, words.offsets)
+        self.per_text = np.diff(before) + 1
+        first = np.cumsum(self.per_text) - self.per_text
+        line = first[words.text_no] + np.searchsorted(breaks, words.start) - before[words.text_no]
+        self.words = np.bincount(line, minlength=int(self.per_text.sum()))
+        hashes = words.hash
         self.end = np.cumsum(self.words)
         self.start = self.end - self.words
         self.roll = Rolling(mixed(hashes))
         self.second = Rolling(mixed(hashes ^ _SECOND))
         self.text_no = np.repeat(np.arange(len(texts)), self.per_text)
-        self.line_no = np.arange(len(words)) - np.repeat(np.cumsum(self.per_text) - self.per_text, self.per_text)
+        self.line_no = np.arange(len(self.words)) - np.repeat(first, self.per_text)
         size = self.words.astype(np.uint64) * _LENGTH
         self.h1 = mixed(self.roll.run(self.start, self.end) + size).view(np.int64)
         self.h2 = mixed(self.second.run(self.start, self.end) + size).view(np.int64)
@@ -60,21 +64,21 @@ class _Lines:
 
 
 def line_keys(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """A row of LINE for each line of each text; h1, h2 and halves are null for lines of fewer than min_words words."""
+    """A row of LINE for each line of each text; halves are null for lines of fewer than min_words words, h1 and h2 for blank ones."""
     ready(docs.sparkSession)
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            lines = _Lines(batch["text"].to_pylist())
-            short = lines.words < min_words
+            lines = _Lines(batch["text"])
+            short, blank = lines.words < min_words, lines.words == 0
             halves = lines.halves()
             offsets = pa.array(np.arange(len(short) + 1, dtype=np.int32) * 4)
             rows = pa.array(lines.text_no)
             yield pa.RecordBatch.from_arrays([
                 batch["doc_id"].take(rows), batch["text_key"].take(rows), pa.array(lines.line_no, pa.int32()),
-                pa.array(lines.words, pa.int32()), pa.array(lines.h1, mask=short), pa.array(lines.h2, mask=short),
+                pa.array(lines.words, pa.int32()), pa.array(lines.h1, mask=blank), pa.array(lines.h2, mask=blank),
                 pa.ListArray.from_arrays(offsets, pa.array(halves.ravel()), mask=pa.array(short)),
             ], ["doc_id", "text_key", "line_no", "n_words", "h1", "h2", "halves"])
 
@@ -101,7 +105,7 @@ def variants(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             asked = batch["lines"].to_pylist()
             picked = ["\n".join(_picked(text, one)) for text, one in zip(batch["text"].to_pylist(), asked)]
             asked = [line for one in asked for line in one]
-            lines = _Lines(picked)
+            lines = _Lines(pa.array(picked, pa.string()))
             words = lines.words
             half = np.maximum(words - 1, 0) // 2
             head, tail = (np.array([line[side] for line in asked], bool) for side in ("head", "tail"))
@@ -169,7 +173,7 @@ def near_lines(docs: DataFrame, keyed: DataFrame) -> DataFrame:
     numbered, in the order of their places, and expanded. Each key then meets the smallest number that has it, so no two
     lines of a group are ever paired with each other.
     """
-    distinct = keyed.where("h1 is not null").groupBy("h1", "h2").agg(F.min(where_in()).alias("place"), F.first("halves").alias("halves"))
+    distinct = keyed.where("halves is not null").groupBy("h1", "h2").agg(F.min(where_in()).alias("place"), F.first("halves").alias("halves"))
     distinct = written(distinct, "distinct-lines")
     sides = [_sided(F.array(F.col("halves")[kind], F.col("halves")[kind + 2]), kind) for kind in (0, 1)]
     halves = distinct.select("h1", F.explode(F.concat(*sides)).alias("side")).select("h1", "side.*")
@@ -205,7 +209,7 @@ def line_decisions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     come in the order of doc_id (null first), then of a hash of the text (for rows that share a doc_id), then of their
     number. A line of at least min_words words goes if an earlier one has the same words, or the same but for one word
     changed, left out or put in; the keeper is the earliest such line (which may itself go in favour of a still earlier
-    one). Shorter lines stay, as their own keepers. Null texts have no lines, empty ones have one of no words. Rows alike
+    one). A line of fewer words goes if an earlier one has the same words. Lines without words stay, as their own keepers. Null texts have no lines, empty ones have one of no words. Rows alike
     in id and text get the same decisions. An empty table gives no rows.
     """
     keyed = written(line_keys(docs, min_words), "line-keys")

@@ -159,13 +159,13 @@ LINES_SQL = r"""
 WITH texts AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
 rows AS (SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS line_no FROM texts),
 worded AS (SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS words FROM rows),
-said AS (SELECT *, len(words) AS n, CASE WHEN len(words) >= 5 THEN array_to_string(words, ' ') END AS line FROM worded),
+said AS (SELECT *, len(words) AS n, CASE WHEN len(words) >= 1 THEN array_to_string(words, ' ') END AS line FROM worded),
 firsts AS (SELECT line, min((doc_id, line_no)) AS place, any_value(words) AS words, any_value(n) AS n FROM said WHERE line IS NOT NULL GROUP BY line),
 spread AS (
   SELECT line, place, n, i, array_to_string(words[1:i - 1] || words[i + 1:], ' ') AS rest
-  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts)),
+  FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM firsts WHERE n >= 5)),
 swapped AS (SELECT line, min(place) OVER (PARTITION BY n, i, rest) AS other, place FROM spread),
-longer AS (SELECT s.line, s.place AS place, f.place AS other FROM spread s JOIN firsts f ON f.line = s.rest),
+longer AS (SELECT s.line, s.place AS place, f.place AS other FROM spread s JOIN firsts f ON f.line = s.rest AND f.n >= 5),
 links AS (
   SELECT line, other FROM swapped WHERE other < place
   UNION ALL SELECT line, other FROM longer WHERE other < place

@@ -28,11 +28,12 @@ def plain_decisions(rows, min_words=5):
         for number, line in enumerate((text or "").split("\n") if text is not None else []):
             words = tuple(w.decode() for w in line.encode().split())
             occurrences.append(((doc, number), words))
-            if len(words) >= min_words:
+            if words:
                 first.setdefault(words, (doc, number))
     keeper = {}
     for words, place in first.items():
-        earlier = [p for other, p in first.items() if p < place and abs(len(other) - len(words)) <= 1 and distance(other, words) <= 1]
+        long = [(other, p) for other, p in first.items() if len(other) >= min_words <= len(words)]
+        earlier = [p for other, p in long if p < place and abs(len(other) - len(words)) <= 1 and distance(other, words) <= 1]
         keeper[words] = min(earlier, default=place)
     return {place: keeper.get(words, place) for place, words in occurrences}
 
@@ -40,7 +41,7 @@ def plain_decisions(rows, min_words=5):
 def random_lines(seed, rows):
     draw = random.Random(seed)
     words = [f"w{i}" for i in range(12)]
-    pool = [[draw.choice(words) for _ in range(draw.choice([2, 5, 6, 9, 30]))] for _ in range(12)]
+    pool = [[draw.choice(words) for _ in range(draw.choice([1, 2, 4, 5, 6, 9, 30]))] for _ in range(12)]
     out = []
     for doc in range(rows):
         text = []

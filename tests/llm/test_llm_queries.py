@@ -72,14 +72,15 @@ def plain_fresh_lines(rows):
     for doc, text in sorted(rows):
         for number, line in enumerate(text.split("\n")):
             words = tuple(line.encode().split())
-            if len(words) >= 5:
+            if words:
                 first.setdefault(words, (doc, number))
-    gone = {words for words, place in first.items() if any(p < place and near(other, words) for other, p in first.items())}
+    long = {words: place for words, place in first.items() if len(words) >= 5}
+    gone = {words for words, place in long.items() if any(p < place and near(other, words) for other, p in long.items())}
     for doc, text in rows:
         lines = []
         for number, line in enumerate(text.split("\n")):
             words = tuple(line.encode().split())
-            if len(words) < 5 or (first[words] == (doc, number) and words not in gone):
+            if not words or (first[words] == (doc, number) and words not in gone):
                 lines.append(line)
         if lines == text.split("\n") or "".join(lines).strip():
             kept[doc] = "\n".join(lines)
