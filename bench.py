@@ -90,6 +90,9 @@ def stored_figures(spark, store: LogStore, dense: LogStore) -> dict[str, float]:
     )
     runs = {
         "stored_agg_rollup_1h": lambda: aggregate_rollup(rollup, AggSpec(*week, "1h", group_by="service")).collect(),
+        "stored_agg_levels_1d": lambda: store.aggregate(AggSpec(NOW - timedelta(days=28, hours=5, minutes=7), NOW, "1d", group_by="service")).collect(),
+        "stored_agg_minutes_1d": lambda: aggregate_rollup(rollup, AggSpec(NOW - timedelta(days=28, hours=5, minutes=7), NOW, "1d", group_by="service")).collect(),
+        "stored_page_500": lambda: store.page(LogQuery(limit=1000), 500).collect(),
         "stored_agg_raw_1h": lambda: aggregate_raw(logs, AggSpec(*week, "1h", group_by="service")).collect(),
         "dense_agg_rollup_1h": lambda: aggregate_rollup(counts, AggSpec(*day, "1h", group_by="service")).collect(),
         "dense_agg_raw_1h": lambda: aggregate_raw(busy, AggSpec(*day, "1h", group_by="service")).collect(),

@@ -12,7 +12,7 @@ from cinderlog.catalog.query import Query, with_ctes
 from cinderlog.functions.times import literal_like
 from cinderlog.operators import validation as v
 from cinderlog.sources.batches import MALFORMED, NO_ARRAY, bad_batches, open_batches
-from cinderlog.sources.synthetic import LEVEL_WEIGHTS, REGIONS, SERVICES, TEXTS, cyclic_logs, logs_from
+from cinderlog.sources.synthetic import ATTEMPTS, BUILDS, HOSTS, LEVEL_WEIGHTS, SERVICES, TEXTS, USERS, cyclic_logs, logs_from
 from cinderlog.sources.tables import LogStore
 from cinderlog.sources.workspace import new_folder
 from cinderlog.streaming.ingest import ingest_stream
@@ -115,10 +115,9 @@ def _synthetic_sql() -> str:
                     {_pick_sql(LEVEL_WEIGHTS, 2)} AS level, {_pick_sql(SERVICES, 3)} AS service FROM numbers)"""
     return with_ctes(base, f"""
         SELECT id, timestamp, level, service, CASE level {texts} END AS message,
-          concat('{{"region":"', {_pick_sql(REGIONS, 5)}, '","request_id":"req-', upper(to_hex(id)), '"',
-            CASE WHEN {_draw_sql(6, 2)} = 0 THEN concat(',"user_id":"', CAST({_draw_sql(7, 10000)} AS VARCHAR), '"') ELSE '' END,
-            CASE WHEN {_draw_sql(8, 5)} < 2 THEN concat(',"duration_ms":"', CAST({_draw_sql(9, 5000)} AS VARCHAR), '"') ELSE '' END,
-            CASE WHEN service IN ('checkout', 'payment-gateway') THEN concat(',"transaction_id":"TX-', CAST({_draw_sql(10, 99999)} AS VARCHAR), '"') ELSE '' END,
+          concat('{{"host":"node-', CAST({_draw_sql(5, HOSTS)} AS VARCHAR), '","build":"b', CAST({_draw_sql(6, BUILDS)} AS VARCHAR), '"',
+            CASE WHEN {_draw_sql(7, 4)} > 0 THEN concat(',"user_id":"', CAST({_draw_sql(8, USERS)} AS VARCHAR), '"') ELSE '' END,
+            CASE WHEN level IN ('warn', 'error') THEN concat(',"attempt":"', CAST({_draw_sql(9, ATTEMPTS)} + 1 AS VARCHAR), '"') ELSE '' END,
             '}}') AS attributes FROM rows""")
 
 

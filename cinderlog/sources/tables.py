@@ -21,11 +21,14 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.functions.times import ts_literal
 from cinderlog.operators.aggregate import aggregate, aggregate_exact
 from cinderlog.operators.alerts import with_rule_check
 from cinderlog.operators.measures import COUNTS, LATENCY, MEASURES, Measure, latency_quantile
@@ -70,6 +73,11 @@ def _folder_key(measure: Measure, minutes: int | None) -> str:
     return "log_date" if minutes in (None, measure.levels[0]) else "log_month"
 
 
+def _between(rows: DataFrame, low: datetime | None, high: datetime | None) -> Column:
+    inside = F.lit(True) if low is None else F.col("bucket_start") >= ts_literal(low, rows, "bucket_start")
+    return inside if high is None else inside & (F.col("bucket_start") < ts_literal(high, rows, "bucket_start"))
+
+
 def _touches(day: date, low: datetime | None, high: datetime | None, month: bool) -> bool:
     """Whether the folder of a day (or of the month that begins on it) may hold a part of the range."""
     last = (day.replace(day=28) + timedelta(days=4)).replace(day=1) - timedelta(days=1) if month else day
@@ -256,14 +264,15 @@ class LogStore:
         deltas = self.read_epochs(measure.deltas, measure.schema).where(where)
         return deltas.select(*measure.schema.names, F.to_date("bucket_start").alias("log_date"))
 
-    def _compacted(self, base: Compaction | None, days: set[date] | None = None, measure: Measure = COUNTS, minutes: int | None = None) -> DataFrame:
+    def _compacted(self, base: Compaction | None, days: set[date] | None = None, measure: Measure = COUNTS, minutes: int | None = None, listed: dict[date, list[tuple[int, str]]] | None = None) -> DataFrame:
         """The compacted rows of a level (the finest, if none is named) in the folders of the given days or months."""
         key = _folder_key(measure, minutes)
         schema = _with(measure.schema, T.StructField(key, T.DateType()))
         first = base.first_day if base else None
         lowest = first.replace(day=1) if first and key == "log_month" else first
         paths = []
-        for day, found in self._compact_days(base.generation, measure, minutes).items() if base else []:
+        listed = self._compact_days(base.generation, measure, minutes) if base and listed is None else listed or {}
+        for day, found in listed.items():
             if (days is None or day in days) and (lowest is None or day >= lowest):
                 paths.append(found[-1][1])
         dated = F.to_date("bucket_start").alias("log_date")
@@ -295,11 +304,13 @@ class LogStore:
         whole = [edge for _, low, high in stretches for edge in (low, high) if edge]
         low, high = min(whole, default=None) if since else None, max(whole, default=None) if until else None
         rows = in_range(self._deltas(self._pending(base), measure), low, high, "bucket_start")
-        for minutes, low, high in stretches if base else []:
-            found = self._compact_days(base.generation, measure, minutes)
-            inside = {day for day in found if _touches(day, low, high, minutes > measure.levels[0])}
+        for minutes in measure.levels if base else []:
+            ranges = [(low, high) for level, low, high in stretches if level == minutes]
+            found = self._compact_days(base.generation, measure, minutes) if ranges else {}
+            inside = {day for day in found if any(_touches(day, low, high, minutes > measure.levels[0]) for low, high in ranges)}
             if inside:
-                rows = rows.unionByName(in_range(self._compacted(base, inside, measure, minutes), low, high, "bucket_start"))
+                level = self._compacted(base, inside, measure, minutes, found)
+                rows = rows.unionByName(level.where(reduce(or_, [_between(level, low, high) for low, high in ranges])))
         return rows
 
     def aggregate(self, spec: AggSpec, exact: bool = False) -> DataFrame:
@@ -307,10 +318,11 @@ class LogStore:
 
         With `exact`, minutes that the range cuts are counted from raw rows.
         """
-        logs = self.logs(spec.since, spec.until)
         if spec.source != "rollup":
+            logs = self.logs(spec.since, spec.until)
             return aggregate(logs, logs, spec)
-        return (aggregate_exact if exact else aggregate)(logs, self.rollup_cover(spec.since, spec.until, spec.minutes), spec)
+        cover = self.rollup_cover(spec.since, spec.until, spec.minutes)
+        return aggregate_exact(self.logs(spec.since, spec.until), cover, spec) if exact else aggregate(cover, cover, spec)
 
     def page(self, query: LogQuery, number: int) -> DataFrame:
         """Page number addressing at any depth; only the days that hold the page are opened for its rows."""
