@@ -9,6 +9,7 @@ rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch
 rules      added=                     rule definitions; trigger times are kept apart, in triggers
 receipts   added=                     which notifications have been read
 streams    one marker per stream number that is taken
+log_ids, notification_ids   which blocks of id prefixes are taken, and by which stream and run of epochs
 
 Whatever a micro-batch writes goes to folders named by its stream and epoch, which a replay overwrites, so a retried
 batch never counts twice. A stream's number is taken once per checkpoint and remembered inside it: a second stream, or
@@ -45,14 +46,16 @@ TRIGGERS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("
 RECEIPTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("all_until", T.TimestampType())])
 EXPIRED = T.StructType([T.StructField("deleted", T.LongType())])
 MAX_RECORDS_PER_FILE = 20_000_000
-MAX_STREAM, MAX_EPOCH, MAX_RULE = 1 << 7, 1 << 24, 1 << 31
+MAX_RULE = 1 << 31
+#: Epochs of a stream that take their id prefixes together.
+BLOCK_EPOCHS = 1 << 10
 COMPLETE, LEVELLED = "_COMPLETE", "_LEVELS"
 
 
 def checked_number(stream: int, epoch: int) -> None:
-    """Ids are made of these numbers; beyond their bounds they would repeat."""
-    if not 0 <= stream < MAX_STREAM or not 0 <= epoch < MAX_EPOCH:
-        raise ValueError(f"stream {stream} must be below {MAX_STREAM} and epoch {epoch} below {MAX_EPOCH}")
+    """These numbers name folders."""
+    if stream < 0 or epoch < 0:
+        raise ValueError(f"stream {stream} and epoch {epoch} must not be negative")
 
 
 @dataclass(frozen=True)
@@ -151,10 +154,29 @@ class LogStore:
             if match := re.fullmatch(r"stream\.(\d+)", name):
                 return int(match.group(1))
         number = self._next("streams", "taken")
-        checked_number(number, 0)
         self._mark(f"{checkpoint.rstrip('/')}/stream.{number}")
         return number
 
+    def id_prefix(self, table: str, stream: int, epoch: int, bits: int) -> int:
+        """A number of at most `bits` bits that only this epoch of this stream has, the same one whenever it is repeated.
+
+        Prefixes are handed out in blocks of BLOCK_EPOCHS, when a stream first needs one: neither streams nor epochs are
+        bounded by themselves, only all of them together. If two callers take a block for the same epochs at once, both
+        blocks are theirs alone, and the first counts from then on.
+        """
+        checked_number(stream, epoch)
+        run, place = divmod(epoch, BLOCK_EPOCHS)
+        holder = f"{self.path(table)}/stream={stream}/run={run}"
+        held = [int(name.removeprefix("block.")) for name in self._names(holder) if name.startswith("block.")]
+        block = min(held, default=None)
+        if block is None:
+            block = self._next(table, "taken")
+            self._mark(f"{holder}/block.{block}")
+        prefix = (block - 1) * BLOCK_EPOCHS + place
+        if prefix >= 1 << bits:
+            raise ValueError(f"all {bits}-bit prefixes of {table} are taken")
+        return prefix
+
     # Logs
 
     def append_logs(self, rows: DataFrame, epoch: int, stream: int = 0) -> None:

@@ -14,10 +14,10 @@ from cinderlog.functions.times import literal_like
 from cinderlog.operators.rollup import build_rollup
 from cinderlog.operators.validation import accepted, rejected, validate
 from cinderlog.sources.batches import bad_batches, open_batches, stream_bodies
-from cinderlog.sources.tables import LogStore, checked_number
+from cinderlog.sources.tables import LogStore
 
-# Batch numbers and row ids of a micro-batch begin with its stream and epoch; what follows counts inside it.
-INSIDE_BITS, EPOCH_BITS = 32, 24
+# Batch numbers and row ids of a micro-batch begin with a prefix of its own; what follows counts inside it.
+INSIDE_BITS, PREFIX_BITS = 32, 31
 DEFAULT_FILES = 1000
 
 
@@ -26,16 +26,15 @@ def _inside(number: Column, position: Column) -> Column:
     return F.when(position >= 1 << INSIDE_BITS, too_many).otherwise(number + position)
 
 
-def _numbered(checked: DataFrame, epoch: int, stream: int) -> DataFrame:
+def _numbered(checked: DataFrame, prefix: int) -> DataFrame:
     """Number the batches and entries of a micro-batch by file name and index, the same way on every replay.
 
     One task ranks the files of the micro-batch, a row each.
     """
-    checked_number(stream, epoch)
     files = checked.groupBy("source_file").agg((F.coalesce(F.max("index"), F.lit(-1)) + 1).alias("entries"))
     order = Window.orderBy("source_file")
     before = F.coalesce(F.sum("entries").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    number = F.lit((stream << EPOCH_BITS | epoch) << INSIDE_BITS)
+    number = F.lit(prefix << INSIDE_BITS).cast("long")
     rank = F.row_number().over(order).cast("long") - 1
     numbers = files.select("source_file", _inside(number, rank).alias("batch_id"), before.alias("entries_before"))
     joined = checked.join(numbers, "source_file")
@@ -50,9 +49,10 @@ class IngestJob:
     stream: int = 0
 
     def __call__(self, opened: DataFrame, epoch: int) -> None:
+        prefix = self.store.id_prefix("log_ids", self.stream, epoch, PREFIX_BITS)
         checked = validate(opened, F.col("as_of")).persist()
         try:
-            numbered = _numbered(checked, epoch, self.stream)
+            numbered = _numbered(checked, prefix)
             good = accepted(numbered, "id")
             self.store.append_logs(good.select("id", "timestamp", "level", "service", "message", "attributes"), epoch, self.stream)
             self.store.append_rollup(build_rollup(good), epoch, self.stream)

@@ -13,17 +13,16 @@ from cinderlog.operators.alerts import alert_payloads, alerts_firing
 from cinderlog.operators.notifications import alert_notifications, retention_notification
 from cinderlog.operators.retention import RETENTION_DAYS, cutoff, expired_count
 from cinderlog.schemas import NOTIFICATIONS
-from cinderlog.sources.tables import EXPIRED, TRIGGERS, LogStore, checked_number
+from cinderlog.sources.tables import EXPIRED, TRIGGERS, LogStore
 
-# A notification's id is the stream and number of the run, the kind of run, and the rule's id.
-RULE_BITS, RUN_BITS = 31, 24
+# A notification's id is a prefix that only its run has, and the rule's id.
+RULE_BITS, PREFIX_BITS = 31, 32
 ALERT_KIND, RETENTION_KIND = 0, 1
 
 
 def _write_notifications(store: LogStore, rows: DataFrame, run: int, stream: int, kind: int, position: Column) -> None:
-    checked_number(stream, 2 * run + kind)
-    first = ((stream << RUN_BITS | run) << 1 | kind) << RULE_BITS
-    numbered = rows.withColumn("id", F.lit(first) + position)
+    first = store.id_prefix("notification_ids", stream, 2 * run + kind, PREFIX_BITS) << RULE_BITS
+    numbered = rows.withColumn("id", F.lit(first).cast("long") + position)
     numbered = numbered.withColumn("created_at", F.col("created_at").cast("timestamp"))
     store.write_epoch(numbered.select(*NOTIFICATIONS.names), "notifications", 2 * run + kind, stream)
 

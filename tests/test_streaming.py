@@ -12,6 +12,7 @@ from cinderlog.schemas import LOGS, RULES
 from cinderlog.sources.batches import open_batches, read_bodies
 from cinderlog.sources.export import log_rows, write_csv
 from cinderlog.sources.synthetic import as_bodies, synthetic_logs
+from cinderlog.sources.tables import BLOCK_EPOCHS
 from cinderlog.streaming.ingest import IngestJob, ingest_stream
 from cinderlog.streaming.jobs import alert_stream, alert_tick, run_retention
 
@@ -128,7 +129,31 @@ def test_a_micro_batch_of_very_many_bodies(spark, store):
     IngestJob(store)(opened.where("source_file < 'f000000010'"), 1)
     assert store.logs().select("id").distinct().count() == store.logs().count() == 20_010
     with pytest.raises(ValueError):
-        IngestJob(store)(opened, 1 << 24)
+        IngestJob(store)(opened, -1)
+
+
+def test_stream_and_epoch_numbers_have_no_bound(spark, store, tmp_path):
+    body = '{"logs":[{"timestamp":"2024-01-05T00:00:00Z","level":"info","service":"s","message":"m"}]}'
+    bodies = spark.createDataFrame([(f"f{i}", body) for i in range(3)], "source_file string, body string")
+    opened = open_batches(bodies).withColumn("as_of", literal_like(NOW, LOGS["timestamp"].dataType))
+    for number in range(1, 130):
+        store._mark(f"{store.path('streams')}/taken.{number}")
+    land(tmp_path / "landing", [body, body])
+    ingest_stream(store, str(tmp_path / "landing"), store.path("checkpoint"), as_of=NOW).awaitTermination()
+    assert store.stream_of(store.path("checkpoint")) == 130
+    runs = [(0, 0), (0, (1 << 24) + 1), (0, 1 << 40), (131, 5), (131, BLOCK_EPOCHS + 5), (0, (1 << 24) + 1)]
+    for stream, epoch in runs:
+        IngestJob(store, stream)(opened, epoch)
+    ids = {(r["stream"], r["epoch"]): sorted(r["ids"]) for r in store.logs().groupBy("stream", "epoch").agg(F.collect_list("id").alias("ids")).collect()}
+    assert set(ids) == {(130, 0), *runs} and len({i for found in ids.values() for i in found}) == 2 + 5 * 3
+    assert all(0 <= i < 1 << 63 for found in ids.values() for i in found)
+    # A replay has the same ids, and a block that is taken twice stays with its epochs.
+    IngestJob(store, 131)(opened, 5)
+    assert sorted(r["id"] for r in store.logs().where("stream = 131 and epoch = 5").collect()) == ids[131, 5]
+    taken = {store.id_prefix("ids", stream, epoch, 31) for stream in range(40) for epoch in (0, 1, 1023, 1024, 1 << 30)}
+    assert len(taken) == 200 and taken == {store.id_prefix("ids", stream, epoch, 31) for stream in range(40) for epoch in (0, 1, 1023, 1024, 1 << 30)}
+    with pytest.raises(ValueError, match="taken"):
+        store.id_prefix("ids", 41, 0, 8)
 
 
 def test_compaction_keeps_one_old_generation(spark, store):
