@@ -14,7 +14,12 @@ from pyspark.sql import functions as F
 from cinderlog.llm.common import ready
 from cinderlog.sources.workspace import written
 
-NEIGHBOURS, TABLES, BLOCK_BYTES, QUERY_ROWS, SAMPLE_ROWS, SAMPLE_QUERIES, MOST_PROBES, RECALL, SEED = 20, 8, 16 << 20, 1 << 12, 2000, 64, 1024, 0.95, 1
+NEIGHBOURS, BLOCK_BYTES, QUERY_ROWS, SAMPLE_ROWS, SAMPLE_QUERIES, RECALL, SEED = 20, 16 << 20, 1 << 12, 2000, 64, 0.95, 1
+#: What the fit chooses from: functions of a table, widths in median distances of near neighbours, numbers of tables.
+FUNCTIONS, WIDTHS, TABLES, MOST_PROBES = (4, 6, 8, 10, 12), (1.0, 1.6), (4, 8, 16), 512
+MOST_TABLES = max(TABLES)
+#: What visiting a bucket costs, in vectors scored.
+PROBE_COST = 32
 #: Queries that are scored against a bucket at once.
 _CHUNK = 512
 
@@ -32,11 +37,13 @@ class Hashing:
     width: float
     probes: int
     functions: int
-    tables: int = TABLES
+    tables: int
 
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        draw = np.random.default_rng([SEED, self.dimension])
-        return draw.standard_normal((self.tables, self.functions, self.dimension + 1)), draw.random((self.tables, self.functions))
+        """Each table draws its own, so that fewer tables are the first ones of more."""
+        draws = [np.random.default_rng([SEED, self.dimension, table]) for table in range(self.tables)]
+        lines = np.stack([draw.standard_normal((self.functions, self.dimension + 1)) for draw in draws])
+        return lines, np.stack([draw.random(self.functions) for draw in draws])
 
     def places(self, x: np.ndarray, query: bool) -> np.ndarray:
         """Projections in units of the width: (rows, tables, functions)."""
@@ -88,39 +95,61 @@ def probe_cells(place: np.ndarray, probes: int) -> np.ndarray:
     return np.array(cells)
 
 
-def fitted(sample: np.ndarray, most: float, total: int, neighbours: int = NEIGHBOURS, recall: float = RECALL) -> Hashing:
-    """Width and number of probes for one dimension, from a bounded sample of its `total` vectors.
-
-    Functions per table grow with the logarithm of the total, so that buckets stay small.
-    The width follows the median distance of the sample's near neighbours; as many probes are made as find `recall` of the
-    sample's own exact neighbours. In the whole table neighbours are closer than in the sample, and so found more often.
+def cheapest_scores(costs: np.ndarray, most: int) -> np.ndarray:
+    """The `most` smallest scores of sets of steps, ascending. costs: (rows, functions, 2), those of the two sides."""
+    found = np.zeros((len(costs), 1))
+    for axis in range(costs.shape[1]):
+        found = np.concatenate([found, found + costs[:, axis, :1], found + costs[:, axis, 1:]], axis=1)
+        if found.shape[1] > most:
+            found = np.partition(found, most - 1, axis=1)[:, :most]
+    return np.sort(found, axis=1)
+
+
+def probes_needed(hashing: Hashing, queries: np.ndarray, points: list[np.ndarray]) -> list[np.ndarray]:
+    """For each query, how many probes of each table reach each of its points (points, tables); above hashing.probes: more."""
+    places = hashing.places(queries, query=True)
+    home = np.floor(places)
+    inside = places - home
+    costs = np.stack([inside**2, (1 - inside) ** 2], axis=-1)
+    scores = cheapest_scores(costs.reshape(-1, hashing.functions, 2), hashing.probes).reshape(len(queries), hashing.tables, -1)
+    needed = []
+    for i, own in enumerate(points):
+        step = own - home[i]
+        score = np.where(step < 0, costs[i, ..., 0], np.where(step > 0, costs[i, ..., 1], 0.0)).sum(axis=-1)
+        # Sums in another order differ in their last bits.
+        ranks = np.stack([np.searchsorted(scores[i, t], score[:, t] * (1 + 1e-9) + 1e-12) for t in range(hashing.tables)], axis=1)
+        beyond = (np.abs(step).max(axis=-1) > 1) | (score > scores[i, :, -1] * (1 + 1e-9) + 1e-12)
+        needed.append(np.where(beyond, hashing.probes + 1, np.maximum(ranks, 1)))
+    return needed
+
+
+def fitted(queries: np.ndarray, neighbours: list[np.ndarray], sample: np.ndarray, most: float, total: int, recall: float = RECALL) -> Hashing | None:
+    """Functions, width, tables and probes together, for one dimension with `total` vectors: the cheapest that find enough.
+
+    neighbours: the exact nearest of each of the queries in the whole table. A choice counts if it finds `recall` of
+    them; its cost is what a query scores in all tables, estimated on the sample, and PROBE_COST for each bucket it
+    visits. None if no choice with up to MOST_PROBES probes in MOST_TABLES tables finds enough.
     """
-    n, dimension = sample.shape
-    queries = sample[: min(n, SAMPLE_QUERIES)]
+    dimension = sample.shape[1]
     unit = queries / np.linalg.norm(queries, axis=1)[:, None]
-    scores = unit @ (sample / most).T
-    scores[np.arange(len(queries)), np.arange(len(queries))] = -np.inf
-    k = max(1, min(neighbours, n - 1))
-    top = np.argsort(-scores, axis=1, kind="stable")[:, :k]
-    near = np.take_along_axis(scores, top, 1)
-    distance = float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * near)))) if n > 1 else 1.0
-    width = max(1e-6, 1.1 * distance)
-    functions = max(4, round(np.log2(total) / 4))
-    every = min(3**functions, MOST_PROBES)
-    hashing = Hashing(dimension, most, width, every, functions)
-    keys = hashing.keys(np.floor(hashing.places(sample, query=False)))
-    needed = []  # for each pair of a query and its neighbour the probes that find it in some table
-    for row, tables in enumerate(hashing.probed(queries)):
-        first = np.full(k, every)
-        for table, cells in enumerate(tables):
-            visited = hashing.keys(cells)
-            order = np.argsort(visited, kind="stable")
-            at = np.searchsorted(visited[order], keys[top[row], table]).clip(max=len(order) - 1)
-            hit = visited[order][at] == keys[top[row], table]
-            first = np.minimum(first, np.where(hit, order[at] + 1, every))
-        needed.append(first)
-    probes = int(np.quantile(np.concatenate(needed), recall, method="higher")) if n > 1 else every
-    return replace(hashing, probes=probes)
+    near = np.concatenate([n @ q for q, n in zip(unit, neighbours)]) / most if neighbours else np.zeros(0)
+    if not len(near):
+        return Hashing(dimension, most, 1.0, 1, 1, 1)
+    distance = float(np.median(np.sqrt(np.maximum(0.0, 2 - 2 * near))))
+    best, least = None, np.inf
+    for functions in FUNCTIONS:
+        for factor in WIDTHS:
+            hashing = Hashing(dimension, most, max(1e-6, factor * distance), min(3**functions, MOST_PROBES), functions, MOST_TABLES)
+            cells = np.floor(hashing.places(sample, query=False))
+            reach = np.stack(probes_needed(hashing, queries, [cells] * len(queries)))
+            found = np.concatenate(probes_needed(hashing, queries, [np.floor(hashing.places(n, query=False)) for n in neighbours]))
+            for tables in TABLES:
+                probes = int(np.quantile(found[:, :tables].min(axis=1), recall, method="higher"))
+                if probes <= hashing.probes:
+                    cost = total * float((reach[:, :, :tables] <= probes).sum(axis=2).mean()) + PROBE_COST * probes * tables
+                    if cost < least:
+                        best, least = replace(hashing, probes=probes, tables=tables), cost
+    return best
 
 
 def usable(embedding: Column) -> Column:
@@ -141,6 +170,33 @@ def _by_dimension(batch: pa.RecordBatch):
         yield int(size), batch.take(pa.array(np.flatnonzero(sizes == size)))
 
 
+def _exact_neighbours(classes: DataFrame, ids: list[int], queries: np.ndarray, keep: int) -> list[np.ndarray]:
+    """The vectors of the `keep` nearest classes of a few queries: every task hands on its best, the driver gets keep per query."""
+    own = np.array(ids, np.int64)
+
+    def best(batches):
+        seen, scores = np.zeros((len(own), 0), np.int64), np.zeros((len(own), 0))
+        for batch in batches:
+            found = queries @ _matrix(batch["vector"]).T
+            named = batch["class_id"].to_numpy()
+            found[own[:, None] == named[None, :]] = -np.inf
+            scores, seen = np.hstack([scores, found]), np.hstack([seen, np.broadcast_to(named, found.shape)])
+            order = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
+            scores, seen = np.take_along_axis(scores, order, 1), np.take_along_axis(seen, order, 1)
+        numbers = np.repeat(np.arange(len(own)), scores.shape[1])
+        kept = np.isfinite(scores.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(numbers[kept]), pa.array(seen.ravel()[kept]), pa.array(scores.ravel()[kept])], ["number", "class_id", "score"])
+
+    rows = classes.select("class_id", "vector").mapInArrow(best, "number long, class_id long, score double")
+    top = _first(rows, "number", [F.desc("score"), F.col("class_id")], keep, "place").select("number", "class_id").collect()
+    wanted = sorted({r["class_id"] for r in top})
+    vectors = {r["class_id"]: r["vector"] for r in classes.where(F.col("class_id").isin(wanted)).select("class_id", "vector").collect()} if wanted else {}
+    near: list[list] = [[] for _ in ids]
+    for r in top:
+        near[r["number"]].append(vectors[r["class_id"]])
+    return [np.array(found, np.float64).reshape(len(found), queries.shape[1]) for found in near]
+
+
 def _best(keep: int):
     """Exact inner products of each query with the members of the buckets it probes; the best `keep` per query."""
 
@@ -215,8 +271,10 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
     one bucket of each table; queries visit buckets in estimated order of success. Small buckets share tasks, a bucket
     of more than block_rows (by default, as many vectors as take BLOCK_BYTES) is dealt over several, and each task reranks
     exactly and hands on the best of each query.
-    Width and probes are fitted on the SAMPLE_ROWS vectors of smallest hash. Queries for which the visited buckets hold
-    too few candidates are searched in all vectors, block by block.
+    Functions, width, tables and probes are fitted together (`fitted`): the first SAMPLE_QUERIES of the SAMPLE_ROWS
+    vectors of smallest hash are searched exactly in the whole table, and the cheapest choice that finds RECALL of their
+    neighbours is taken. If none does, all vectors of that length are searched, block by block, as they are for queries
+    whose visited buckets hold too few candidates.
     """
     ready(vectors.sparkSession)
     keep = neighbours + 1
@@ -230,8 +288,12 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
     plan, total = {}, 0
     for dimension, n, most in sizes.collect():  # one row per vector length
         order = [F.xxhash64(F.lit(SEED), F.col("class_id")), F.col("class_id")]
-        sample = classes.where(F.col("dimension") == dimension).orderBy(*order).limit(SAMPLE_ROWS).select("vector").collect()
-        plan[dimension] = fitted(np.array([row[0] for row in sample], np.float64), float(np.sqrt(most)), n, neighbours)
+        sample = classes.where(F.col("dimension") == dimension).orderBy(*order).limit(SAMPLE_ROWS).select("class_id", "vector").collect()
+        points = np.array([row["vector"] for row in sample], np.float64)
+        asked = points[:SAMPLE_QUERIES]
+        same = classes.where(F.col("dimension") == dimension)
+        near = _exact_neighbours(same, [row["class_id"] for row in sample[:SAMPLE_QUERIES]], asked, neighbours)
+        plan[dimension] = fitted(asked, near, points, float(np.sqrt(most)), n)
         total = max(total, n)
     block_rows = block_rows or max(256, BLOCK_BYTES // (4 * max([1, *plan])))
     groups = max(1, -(-total // block_rows))
@@ -240,6 +302,8 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
         for batch in batches:
             for size, part in _by_dimension(batch):
                 hashing = plan[size]
+                if hashing is None:
+                    continue
                 keys = hashing.keys(np.floor(hashing.places(_matrix(part["vector"]), query=False)))
                 rows = pa.array(np.repeat(np.arange(len(keys)), hashing.tables))
                 tables = pa.array(np.tile(np.arange(hashing.tables, dtype=np.int32), len(keys)))
@@ -252,6 +316,8 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
         for batch in batches:
             for size, part in _by_dimension(batch):
                 hashing = plan[size]
+                if hashing is None:
+                    continue
                 cells = hashing.probed(_matrix(part["vector"]))
                 counts = [[len(cell) for cell in tables] for tables in cells]
                 keys = hashing.keys(np.concatenate([cell for tables in cells for cell in tables]))

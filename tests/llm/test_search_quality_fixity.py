@@ -39,6 +39,56 @@ def test_probes_come_in_order_of_cost():
     assert (np.diff(cost) >= -1e-12).all()
 
 
+def test_probes_needed_are_places_in_that_order():
+    draw = np.random.default_rng(4)
+    hashing = nearest.Hashing(6, 3.0, 0.7, 40, 4, 3)
+    queries, points = draw.standard_normal((5, 6)), draw.standard_normal((80, 6)) * 0.5
+    cells = np.floor(hashing.places(points, query=False))
+    for needed, probed in zip(nearest.probes_needed(hashing, queries, [cells] * 5), hashing.probed(queries)):
+        for table, visited in enumerate(probed):
+            at = {tuple(cell): i for i, cell in enumerate(visited, 1)}
+            assert needed[:, table].tolist() == [at.get(tuple(cell), 41) for cell in cells[:, table]]
+
+
+def searched(x, hashing, queries):
+    """For each query row which vectors its buckets hold."""
+    keys = hashing.keys(np.floor(hashing.places(x, query=False)))
+    return np.array([np.any([np.isin(keys[:, t], hashing.keys(cells)) for t, cells in enumerate(tables)], axis=0) for tables in hashing.probed(x[queries])])
+
+
+def nearest_rows(x, queries, k=20):
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -np.inf
+    return np.argsort(-scores, axis=1, kind="stable")[:, :k]
+
+
+def test_fit_is_selective_where_vectors_have_contrast():
+    draw = np.random.default_rng(1)
+    centres = draw.standard_normal((500, 48))
+    x = centres[draw.integers(0, 500, 50_000)] + 0.25 * draw.standard_normal((50_000, 48))
+    near = nearest_rows(x, np.arange(64))
+    hashing = nearest.fitted(x[:64], [x[rows] for rows in near], x[:2000], float(np.linalg.norm(x, axis=1).max()), len(x))
+    queries = np.arange(2000, 2100)
+    visited = searched(x, hashing, queries)
+    assert np.take_along_axis(visited, nearest_rows(x, queries), 1).mean() >= 0.9
+    assert visited.mean() <= 0.2
+
+
+def test_fit_refuses_what_it_cannot_find(spark, monkeypatch):
+    draw = np.random.default_rng(2)
+    x = draw.standard_normal((300, 16))
+    near = [x[rows] for rows in nearest_rows(x, np.arange(20))]
+    monkeypatch.setattr(nearest, "FUNCTIONS", (12,))
+    monkeypatch.setattr(nearest, "MOST_PROBES", 2)
+    assert nearest.fitted(x[:20], near, x, float(np.linalg.norm(x, axis=1).max()), 300) is None
+    # Then all vectors are searched.
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    found = nearest.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0, block_rows=90).collect()
+    expected = exact(rows, lambda i: i % 50 == 0, 20)
+    got = {q: [i for i, _ in expected[q]] for q in expected}
+    assert {q: [r.vec_id for r in sorted(found, key=lambda r: r.rank) if r.query_id == q] for q in got} == got
+
+
 def test_nearest_finds_most_neighbours(spark):
     draw = np.random.default_rng(1)
     centres = draw.standard_normal((30, 32))
