@@ -15,11 +15,11 @@ from cinderlog.llm.common import ready
 from cinderlog.sources.workspace import written
 
 NEIGHBOURS, BLOCK_BYTES, QUERY_ROWS, SAMPLE_ROWS, SAMPLE_QUERIES, RECALL, SEED = 20, 16 << 20, 1 << 12, 2000, 64, 0.95, 1
-#: What the fit chooses from: functions of a table, widths in median distances of near neighbours, numbers of tables.
-FUNCTIONS, WIDTHS, TABLES, MOST_PROBES = (4, 6, 8, 10, 12), (1.0, 1.6), (4, 8, 16), 512
-MOST_TABLES = max(TABLES)
-#: What visiting a bucket costs, in vectors scored.
-PROBE_COST = 32
+#: Tables, and what the fit chooses from: functions of a table, widths in median distances of near neighbours, probes.
+TABLES, FUNCTIONS, WIDTHS, MOST_PROBES = 8, (6, 8, 10, 12), (1.0, 1.6), 512
+#: What visiting a bucket costs, in vectors scored, for each unit of the square root of the table's vectors: buckets
+#: visited by a query may grow as that root does, as long as the vectors scored fall by more.
+PROBE_COST = 0.15
 #: Queries that are scored against a bucket at once.
 _CHUNK = 512
 
@@ -37,10 +37,10 @@ class Hashing:
     width: float
     probes: int
     functions: int
-    tables: int
+    tables: int = TABLES
 
     def _lines(self) -> tuple[np.ndarray, np.ndarray]:
-        """Each table draws its own, so that fewer tables are the first ones of more."""
+        """Each table draws its own."""
         draws = [np.random.default_rng([SEED, self.dimension, table]) for table in range(self.tables)]
         lines = np.stack([draw.standard_normal((self.functions, self.dimension + 1)) for draw in draws])
         return lines, np.stack([draw.random(self.functions) for draw in draws])
@@ -124,11 +124,11 @@ def probes_needed(hashing: Hashing, queries: np.ndarray, points: list[np.ndarray
 
 
 def fitted(queries: np.ndarray, neighbours: list[np.ndarray], sample: np.ndarray, most: float, total: int, recall: float = RECALL) -> Hashing | None:
-    """Functions, width, tables and probes together, for one dimension with `total` vectors: the cheapest that find enough.
+    """Functions, width and probes together, for one dimension with `total` vectors: the cheapest that find enough.
 
     neighbours: the exact nearest of each of the queries in the whole table. A choice counts if it finds `recall` of
-    them; its cost is what a query scores in all tables, estimated on the sample, and PROBE_COST for each bucket it
-    visits. None if no choice with up to MOST_PROBES probes in MOST_TABLES tables finds enough.
+    them; its cost is what a query scores in all tables, estimated on the sample, and what visiting its buckets costs.
+    None if no choice with up to MOST_PROBES probes finds enough.
     """
     dimension = sample.shape[1]
     unit = queries / np.linalg.norm(queries, axis=1)[:, None]
@@ -139,16 +139,15 @@ def fitted(queries: np.ndarray, neighbours: list[np.ndarray], sample: np.ndarray
     best, least = None, np.inf
     for functions in FUNCTIONS:
         for factor in WIDTHS:
-            hashing = Hashing(dimension, most, max(1e-6, factor * distance), min(3**functions, MOST_PROBES), functions, MOST_TABLES)
+            hashing = Hashing(dimension, most, max(1e-6, factor * distance), min(3**functions, MOST_PROBES), functions, TABLES)
             cells = np.floor(hashing.places(sample, query=False))
             reach = np.stack(probes_needed(hashing, queries, [cells] * len(queries)))
             found = np.concatenate(probes_needed(hashing, queries, [np.floor(hashing.places(n, query=False)) for n in neighbours]))
-            for tables in TABLES:
-                probes = int(np.quantile(found[:, :tables].min(axis=1), recall, method="higher"))
-                if probes <= hashing.probes:
-                    cost = total * float((reach[:, :, :tables] <= probes).sum(axis=2).mean()) + PROBE_COST * probes * tables
-                    if cost < least:
-                        best, least = replace(hashing, probes=probes, tables=tables), cost
+            probes = int(np.quantile(found.min(axis=1), recall, method="higher"))
+            if probes <= hashing.probes:
+                cost = total * float((reach <= probes).sum(axis=2).mean()) + PROBE_COST * np.sqrt(total) * probes * TABLES
+                if cost < least:
+                    best, least = replace(hashing, probes=probes), cost
     return best
 
 
@@ -271,7 +270,7 @@ def nearest(vectors: DataFrame, queries: Column, neighbours: int = NEIGHBOURS, b
     one bucket of each table; queries visit buckets in estimated order of success. Small buckets share tasks, a bucket
     of more than block_rows (by default, as many vectors as take BLOCK_BYTES) is dealt over several, and each task reranks
     exactly and hands on the best of each query.
-    Functions, width, tables and probes are fitted together (`fitted`): the first SAMPLE_QUERIES of the SAMPLE_ROWS
+    Functions, width and probes are fitted together (`fitted`): the first SAMPLE_QUERIES of the SAMPLE_ROWS
     vectors of smallest hash are searched exactly in the whole table, and the cheapest choice that finds RECALL of their
     neighbours is taken. If none does, all vectors of that length are searched, block by block, as they are for queries
     whose visited buckets hold too few candidates.
