@@ -12,7 +12,9 @@ from cinderlog.operators import search as ops
 from cinderlog.operators.pages import search_offset
 from cinderlog.plans.cursor import Cursor
 from cinderlog.plans.spec import LogQuery
+from cinderlog.schemas import LOGS
 from cinderlog.sources.export import log_rows, read_csv, write_csv
+from cinderlog.sources.tables import LogStore
 from cinderlog.sources.workspace import new_folder
 
 SINCE, UNTIL = datetime(2024, 1, 10, 0, 0, 30), datetime(2024, 1, 12, 0, 0, 30)
@@ -74,6 +76,18 @@ def _response(spark, sf):
     return found.select(ids.alias("ids"), "total", "next_cursor")
 
 
+def _signed(query: LogQuery):
+    """All matching rows of stored and signed logs, read from the files that may hold the text."""
+    def run(spark, sf):
+        store = LogStore(spark, new_folder(spark, "signed-logs"))
+        store.append_logs(d.logs(spark, sf).select(*LOGS.names).withColumn("timestamp", F.col("timestamp").cast("timestamp")), 0)
+        store.sign_logs()
+        found = ops.filter_logs(store.logs(query.since, query.until, query.q), query)
+        return shown(found.withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz")))
+
+    return run
+
+
 QUERIES = [
     Query(
         "search_response", _response,
@@ -93,6 +107,10 @@ QUERIES = [
         with_ctes(d.DOCS, "SELECT id, level, service, message FROM docs WHERE message ILIKE '%über%'"),
     ),
     Query("search_text_wildcard", _filter(LogQuery(q="BY USER_1%5%")), _sql("WHERE message ILIKE '%BY USER_1%5%%'")),
+    Query(
+        "search_text_signed", _signed(LogQuery(q="BY user_1_ at 9%")),
+        _sql("WHERE message ILIKE '%by user_1_ at 9%%'"),
+    ),
     Query("search_attr", _filter(LogQuery(attributes={"k": "1"})), _sql("WHERE attr_k = '1'")),
     Query(
         "search_attr_multi", _filter(LogQuery(attributes={"k": "1", "user_id": "2"})),

@@ -36,6 +36,47 @@ def matches_text(col: Column, text: str) -> Column:
     return col.ilike(substring_pattern(text))
 
 
+#: Numbers of trigrams, and the fixed size of a bitmap of Spark's, of which a signature has as many as are not empty.
+GRAM_NUMBERS, BITMAP_BITS = 1 << 20, 1 << 15
+#: Characters of a text that are cut into trigrams at once.
+GRAM_CHUNK = 1 << 16
+
+
+def literal_runs(pattern: str) -> list[str]:
+    """What a LIKE pattern asks for as it stands: the stretches between its wildcards."""
+    runs, run, i = [], [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\" and i + 1 < len(pattern):
+            run.append(pattern[i + 1])
+            i += 1
+        elif ch in "%_":
+            runs.append("".join(run))
+            run = []
+        else:
+            run.append(ch)
+        i += 1
+    return [text for text in [*runs, "".join(run)] if text]
+
+
+def chunks(text: Column) -> Column:
+    """The pieces of a text whose trigrams are those of the text; long texts give several."""
+    starts = F.sequence(F.lit(0), F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / GRAM_CHUNK).cast("int"))
+    return F.transform(starts, lambda i: F.substring(text, i * GRAM_CHUNK + 1, F.lit(GRAM_CHUNK + 2)))
+
+
+def gram_numbers(text: Column) -> Column:
+    """The numbers (from 1 to GRAM_NUMBERS) of all runs of three characters of a text; every start is looked at."""
+    grams = F.regexp_extract_all(text, F.lit("(?s)(?=(.{3}))"), F.lit(1))
+    return F.array_distinct(F.transform(grams, lambda gram: F.pmod(F.xxhash64(gram), F.lit(GRAM_NUMBERS)) + 1))
+
+
+def has_number(bits: Column, number: int) -> Column:
+    """Whether the bitmap that a number belongs to holds it, as 1 or 0."""
+    byte, bit = divmod((number - 1) % BITMAP_BITS, 8)
+    return F.getbit(F.conv(F.hex(F.substring(bits, byte + 1, 1)), 16, 10).cast("int"), F.lit(bit)).cast("int")
+
+
 def mask_digits(col: Column) -> Column:
     return F.regexp_replace(col, "[0-9]+", "#")
 

@@ -9,6 +9,7 @@ rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch
 rules      added=                     rule definitions; trigger times are kept apart, in triggers
 receipts   added=                     which notifications have been read
 streams    one marker per stream number that is taken
+signatures log_date=/signed=          which trigrams occur in which file of the logs; runs that are done are marked in signings
 log_ids, notification_ids   which blocks of id prefixes are taken, and by which stream and run of epochs
 
 Whatever a micro-batch writes goes to folders named by its stream and epoch, which a replay overwrites, so a retried
@@ -23,12 +24,13 @@ import re
 from dataclasses import dataclass
 from datetime import date, datetime, timedelta
 from functools import reduce
-from operator import or_
+from operator import add, or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cinderlog.functions.text import BITMAP_BITS, chunks, gram_numbers, has_number, literal_runs, substring_pattern
 from cinderlog.functions.times import ts_literal
 from cinderlog.operators.aggregate import aggregate, aggregate_exact
 from cinderlog.operators.alerts import with_rule_check
@@ -37,7 +39,7 @@ from cinderlog.operators.metrics import service_summary_rollup
 from cinderlog.operators.notifications import with_read_state
 from cinderlog.operators.pages import numbered_page
 from cinderlog.operators.rollup import rollup_kept
-from cinderlog.operators.search import in_range, newest
+from cinderlog.operators.search import in_range, newest, search
 from cinderlog.plans.spec import AggSpec, LogQuery
 from cinderlog.schemas import NOTIFICATIONS, RULES, STORED_LOGS
 
@@ -45,7 +47,16 @@ EPOCH = (T.StructField("stream", T.LongType(), False), T.StructField("epoch", T.
 TRIGGERS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("triggered_at", T.TimestampType())])
 RECEIPTS = T.StructType([T.StructField("id", T.LongType()), T.StructField("all_until", T.TimestampType())])
 EXPIRED = T.StructType([T.StructField("deleted", T.LongType())])
+SIGNATURES = T.StructType([
+    T.StructField("file", T.StringType(), False),
+    T.StructField("bucket", T.LongType(), False),  # 0 stands for the file itself
+    T.StructField("bits", T.BinaryType(), True),
+    T.StructField("log_date", T.DateType(), False),
+    T.StructField("signed", T.LongType(), False),
+])
 MAX_RECORDS_PER_FILE = 20_000_000
+#: Trigrams of a search that are looked up; any part of them is a sound test.
+LOOKED_UP = 64
 MAX_RULE = 1 << 31
 #: Epochs of a stream that take their id prefixes together.
 BLOCK_EPOCHS = 1 << 10
@@ -202,17 +213,100 @@ class LogStore:
         """The days that hold logs, from the names of their folders."""
         return sorted(date.fromisoformat(text) for text in self.folders("logs", "log_date"))
 
-    def logs(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
-        """The stored rows; with bounds, only folders of the days they touch are listed and read."""
+    def logs(self, since: datetime | None = None, until: datetime | None = None, text: str | None = None) -> DataFrame:
+        """The stored rows; with bounds, only folders of the days they touch are listed and read.
+
+        With a text, files are left out whose signature shows that no message of theirs contains it; the rows that
+        are read still have to be filtered.
+        """
         reader = self.spark.read.schema(STORED_LOGS)
-        if since is None and until is None:
+        numbers = self._grams_of(text) if text and self.has("signings") else []
+        if since is None and until is None and not numbers:
             return reader.parquet(self.path("logs"))
         days = [day for day in self.log_days() if (since is None or day >= since.date()) and (until is None or day <= until.date())]
-        if not days:
-            return self.spark.createDataFrame([], STORED_LOGS)
         paths = [f"{self.path('logs')}/log_date={day.isoformat()}" for day in days]
+        without = self._files_without(numbers, days) if numbers else set()
+        if without:
+            paths = [path for name, path in self._log_files(days).items() if name not in without]
+        if not paths:
+            return self.spark.createDataFrame([], STORED_LOGS)
         return reader.option("basePath", self.path("logs")).parquet(*paths)
 
+    def search(self, query: LogQuery) -> DataFrame:
+        """A page of the matching rows, from the days of the range and the files that may hold the text."""
+        return search(self.logs(query.since, query.until, query.q), query)
+
+    # Signatures of log files
+
+    def _log_files(self, days: list[date]) -> dict[str, str]:
+        """Name below the table and path of the data files of these days, as Spark's own index of the same scan holds them."""
+        found = {}
+        for day in days:
+            fs, path = self._fs(f"{self.path('logs')}/log_date={day.isoformat()}")
+            listed = fs.listFiles(path, True)
+            while listed.hasNext():
+                text = listed.next().getPath().toString()
+                if match := re.search(r"log_date=[^/]+/stream=\d+/epoch=\d+/[^/_.][^/]*$", text):
+                    found[match.group()] = text
+        return found
+
+    def _signatures(self, days: list[date]) -> DataFrame | None:
+        """The signatures of these days; those of signing runs that did not finish do not count."""
+        names = self._names(self.path("signings"))
+        open_runs = {int(n.removeprefix("taken.")) for n in names if n.startswith("taken.")} - {int(n.removeprefix("done.")) for n in names if n.startswith("done.")}
+        signed = self.folders("signatures", "log_date")
+        paths = [signed[day.isoformat()] for day in days if day.isoformat() in signed]
+        if not paths:
+            return None
+        rows = self.spark.read.schema(SIGNATURES).option("basePath", self.path("signatures")).parquet(*paths)
+        return rows.where(~F.col("signed").isin(sorted(open_runs))) if open_runs else rows
+
+    def sign_logs(self) -> int:
+        """Write the signatures of the log files that have none, and return how many files those are.
+
+        A signature says which trigrams of characters occur in the lower-cased messages of a file: one bit per number of a
+        trigram, in bitmaps of a fixed size. Files are never changed; one that a replay has replaced has another name.
+        Until it is signed, a file is read by every search. Distinct trigrams per file are what is shuffled.
+        """
+        files = self._log_files(self.log_days())
+        rows = self._signatures(self.log_days())
+        known = {row["file"] for row in rows.where("bucket = 0").select("file").distinct().collect()} if rows is not None else set()
+        fresh = [path for name, path in files.items() if name not in known]
+        if not fresh:
+            return 0
+        run = self._next("signings", "taken")
+        name = F.regexp_extract(F.col("_metadata.file_path"), "(log_date=[^/]+/stream=[0-9]+/epoch=[0-9]+/[^/]+)$", 1)
+        logs = self.spark.read.schema(STORED_LOGS).option("basePath", self.path("logs")).parquet(*fresh)
+        pieces = logs.select(name.alias("file"), "log_date", F.explode(chunks(F.lower("message"))).alias("piece"))
+        numbers = pieces.select("file", "log_date", F.explode(gram_numbers(F.col("piece"))).alias("number")).distinct()
+        bitmaps = numbers.groupBy("file", "log_date", F.bitmap_bucket_number("number").alias("bucket"))
+        bitmaps = bitmaps.agg(F.bitmap_construct_agg(F.bitmap_bit_position("number")).alias("bits"))
+        there = logs.select(name.alias("file"), "log_date").distinct().select("file", "log_date", F.lit(0).cast("long").alias("bucket"), F.lit(None).cast("binary").alias("bits"))
+        signed = bitmaps.unionByName(there).withColumn("signed", F.lit(run).cast("long")).hint("rebalance", F.col("log_date"))
+        ordered = signed.sortWithinPartitions("log_date", "signed", "bucket", "file")
+        ordered.write.mode("append").partitionBy("log_date", "signed").parquet(self.path("signatures"))
+        self._mark(f"{self.path('signings')}/done.{run}")
+        return len(fresh)
+
+    def _grams_of(self, text: str) -> list[int]:
+        """The numbers of trigrams that a message containing the text must have; lower-cased as ILIKE does, as a whole."""
+        low = self.spark.range(1).select(F.lower(F.lit(substring_pattern(text)))).first()[0]
+        runs = literal_runs(low)
+        if not runs:
+            return []
+        numbers = F.array_distinct(F.flatten(F.array(*[gram_numbers(F.lit(run)) for run in runs])))
+        return sorted(self.spark.range(1).select(numbers).first()[0])[:LOOKED_UP]
+
+    def _files_without(self, numbers: list[int], days: list[date]) -> set[str]:
+        """The signed files of these days that lack one of the trigrams."""
+        rows = self._signatures(days)
+        if rows is None:
+            return set()
+        buckets = sorted({1 + (number - 1) // BITMAP_BITS for number in numbers})
+        hits = [F.when(F.col("bucket") == 1 + (n - 1) // BITMAP_BITS, has_number(F.col("bits"), n)).otherwise(0) for n in numbers]
+        counted = rows.where(F.col("bucket").isin([0, *buckets])).groupBy("file").agg(F.sum(reduce(add, hits)).alias("hits"))
+        return {row["file"] for row in counted.where(F.col("hits") < len(numbers)).select("file").collect()}
+
     def newest(self, query: LogQuery) -> DataFrame:
         """The newest matching rows; see `newest`."""
         return newest(self.logs(query.since, query.until), query, self.log_days())
@@ -341,14 +435,14 @@ class LogStore:
         With `exact`, minutes that the range cuts are counted from raw rows.
         """
         if spec.source != "rollup":
-            logs = self.logs(spec.since, spec.until)
+            logs = self.logs(spec.since, spec.until, spec.q)
             return aggregate(logs, logs, spec)
         cover = self.rollup_cover(spec.since, spec.until, spec.minutes)
         return aggregate_exact(self.logs(spec.since, spec.until), cover, spec) if exact else aggregate(cover, cover, spec)
 
     def page(self, query: LogQuery, number: int) -> DataFrame:
         """Page number addressing at any depth; only the days that hold the page are opened for its rows."""
-        return numbered_page(self.logs, self.rollup_cover, query, number)
+        return numbered_page(lambda since, until: self.logs(since, until, query.q), self.rollup_cover, query, number)
 
     def latency(self, since: datetime | None, until: datetime | None, quantile: float = 0.99) -> DataFrame:
         """(service, n, latency): a quantile of the range from stored sketches, without a scan of raw rows."""
@@ -461,6 +555,7 @@ class LogStore:
             day = date.fromisoformat(text)
             if datetime(day.year, day.month, day.day) + timedelta(days=1) <= limit:
                 self._drop(path)
+                self._drop(f"{self.path('signatures')}/log_date={text}")
                 dropped.append(day)
         return sorted(dropped)
 
