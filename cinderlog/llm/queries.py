@@ -23,17 +23,27 @@ def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def damaged(records: DataFrame) -> DataFrame:
-    """A replica of records with damage planted by a hash of the page: one in 64 changed, one in 256 lost."""
-    dice = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 3, 2)
-    lost, changed = dice == "00", dice.isin("10", "20", "30", "40")
-    worse = F.sha2(F.concat(F.col("digest"), F.lit("!")), 256)
-    return records.where(~lost).withColumn("digest", F.when(changed, worse).otherwise(F.col("digest")))
+    """A second copy of archived records with damage planted in its bytes by a hash of the page.
+
+    One in 64 has its last byte changed. In every 16th file one in 16 each is cut to its first half, lost, or followed by
+    one that does not belong there, so that everything behind it lies elsewhere.
+    """
+    dice = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary"))
+    shifting, kind, length = F.col("warc_file") % 16 == 0, F.substring(dice, 12, 1), F.length("record")
+    found = (
+        F.when(shifting & (kind == "0"), F.array(F.substring("record", F.lit(1), F.floor(length / 2).cast("int"))))
+        .when(shifting & (kind == "1"), F.array().cast("array<string>"))
+        .when(shifting & (kind == "2"), F.array("record", F.concat(F.lit("stray "), F.col("record"))))
+        .when(F.substring(dice, 10, 2).isin("10", "20", "30", "40"), F.array(F.concat(F.substring("record", F.lit(1), length - 1), F.lit("~"))))
+        .otherwise(F.array("record"))
+    )
+    return records.select("warc_file", "page_id", F.explode(found).alias("record"))
 
 
 def op2_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages as archived records against a replica of them in which some are changed or lost."""
-    records = fixity.warc_records(spark.read.parquet(f"{sf_dir}/pages.parquet"))
-    return fixity.audit(records, damaged(records))
+    """All pages as archived records against a second copy of the records with damaged, lost and stray ones."""
+    records = fixity.archived(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    return fixity.audit(fixity.laid_out(records), fixity.laid_out(damaged(records)))
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,24 +115,33 @@ def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FIXITY_SQL = """
 WITH raw AS (
-  SELECT page_id, CAST('0x' || substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) AS INTEGER) % 256 AS warc_file,
+  SELECT page_id, md5(coalesce(CAST(page_id AS VARCHAR), '')) AS dice,
          concat('WARC/1.1', chr(13), chr(10), 'WARC-Type: resource', chr(13), chr(10), 'WARC-Target-URI: ', coalesce(url, ''), chr(13), chr(10),
                 'WARC-Record-ID: <urn:page:', coalesce(CAST(page_id AS VARCHAR), ''), '>', chr(13), chr(10), 'Content-Type: text/html', chr(13), chr(10),
                 'Content-Length: ', CAST(strlen(coalesce(html, '')) AS VARCHAR), chr(13), chr(10), chr(13), chr(10), coalesce(html, ''),
                 chr(13), chr(10), chr(13), chr(10)) AS record
   FROM pages),
-records AS (
-  SELECT page_id, warc_file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest,
-         substr(md5(CAST(page_id AS VARCHAR)), 3, 2) AS dice
-  FROM raw),
+files AS (SELECT greatest(256, CAST(ceil(sum(strlen(record)) / 67108864.0) AS BIGINT)) AS n FROM raw),
+records AS (SELECT page_id, dice, record, CAST('0x' || substr(dice, 1, 8) AS BIGINT) % n AS warc_file FROM raw, files),
+kinds AS (
+  SELECT *, CASE WHEN warc_file % 16 = 0 AND substr(dice, 12, 1) = '0' THEN 'cut' WHEN warc_file % 16 = 0 AND substr(dice, 12, 1) = '1' THEN 'lost'
+                 WHEN warc_file % 16 = 0 AND substr(dice, 12, 1) = '2' THEN 'followed' WHEN substr(dice, 10, 2) IN ('10', '20', '30', '40') THEN 'flipped'
+                 ELSE 'sound' END AS kind FROM records),
+copies AS (
+  SELECT page_id, warc_file, CASE kind WHEN 'cut' THEN left(record, length(record) // 2) WHEN 'flipped' THEN left(record, length(record) - 1) || '~'
+                                       ELSE record END AS record FROM kinds WHERE kind <> 'lost'
+  UNION ALL SELECT page_id, warc_file, 'stray ' || record FROM kinds WHERE kind = 'followed'),
+replicas AS (
+  SELECT 1 AS side, page_id, warc_file, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS digest FROM records
+  UNION ALL SELECT 2, page_id, warc_file, CAST(strlen(record) AS BIGINT), sha256(record) FROM copies),
 placed AS (
-  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY warc_file ORDER BY page_id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
-  FROM records)
-SELECT warc_file, "offset", length AS first_length, digest AS first_digest,
-       CASE WHEN dice <> '00' THEN length END AS second_length,
-       CASE WHEN dice <> '00' THEN sha256(digest || '!') END AS second_digest,
-       CASE WHEN dice = '00' THEN 'missing' ELSE 'changed' END AS status
-FROM placed WHERE dice IN ('00', '10', '20', '30', '40')
+  SELECT *, CAST(coalesce(sum(length) OVER (PARTITION BY side, warc_file ORDER BY page_id NULLS FIRST, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+  FROM replicas)
+SELECT CAST(coalesce(a.warc_file, b.warc_file) AS INTEGER) AS warc_file, coalesce(a."offset", b."offset") AS "offset", a.length AS first_length, a.digest AS first_digest,
+       b.length AS second_length, b.digest AS second_digest,
+       CASE WHEN b.digest IS NULL THEN 'missing' WHEN a.digest IS NULL THEN 'extra' ELSE 'changed' END AS status
+FROM (FROM placed WHERE side = 1) a FULL JOIN (FROM placed WHERE side = 2) b ON a.warc_file = b.warc_file AND a."offset" = b."offset"
+WHERE a.digest IS DISTINCT FROM b.digest OR a.length IS DISTINCT FROM b.length
 """
 
 MIXING_SQL = r"""

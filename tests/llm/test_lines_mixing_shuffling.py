@@ -179,3 +179,44 @@ def test_shuffle_odd_rows(odd, odd_rows, none):
     assert shuffling.shuffle_to_shards(none).collect() == []
     with pytest.raises(ValueError, match="slot"):
         shuffling.shuffle_to_shards(odd, columns=("doc_id", "slot"))
+
+
+def test_rows_alike_are_dealt_over_buckets(spark):
+    """A third of all bytes are one row; it must not come together in one group, and every repeat has to be written."""
+    rows = [(7, "same text")] * 500 + [(None, None)] * 3 + [(i, f"other {i}") for i in range(1000, 1500)]
+    docs = documents(spark, rows)
+    for bucket_bytes in (600, 1 << 20):
+        found = shuffling.shuffle_to_shards(docs, bucket_bytes=bucket_bytes).collect()
+        assert Counter((r.doc_id, r.text) for r in found) == Counter(rows)
+        shards = defaultdict(list)
+        for r in found:
+            shards[r.shard].append(r.slot)
+        assert sorted(shards) == list(range(8)) and {len(x) for x in shards.values()} <= {125, 126}
+        assert all(sorted(x) == list(range(len(x))) for x in shards.values())
+        again = shuffling.shuffle_to_shards(docs.orderBy(F.desc("text")).repartition(5), bucket_bytes=bucket_bytes).collect()
+        assert sorted(found, key=repr) == sorted(again, key=repr)
+    spread = Counter(r.shard for r in shuffling.shuffle_to_shards(docs, bucket_bytes=600).collect() if r.doc_id == 7)
+    assert len(spread) == 8
+
+
+def test_rows_that_differ_in_a_carried_column_are_dealt_alike(spark):
+    docs = documents(spark, [(1, "t", chr(97 + i % 26)) for i in range(200)])
+    columns = ("doc_id", "text", "source")
+    one = shuffling.shuffle_to_shards(docs, columns=columns).collect()
+    two = shuffling.shuffle_to_shards(docs.orderBy(F.desc("source")), columns=columns).collect()
+    assert sorted(one, key=repr) == sorted(two, key=repr)
+
+
+def test_registered_shuffle_equals_plain_columns(spark, sf_dir):
+    import zlib
+
+    from cinderlog.llm.queries import op10_shuffle
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    expected = Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in docs)
+    found = op10_shuffle(spark, sf_dir).collect()
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in found) == expected
+    assert {r.law for r in found} == {"rows"} and {r.grown_shard for r in found} == {None}
+    counts = Counter(r.shard for r in found)
+    assert sorted(counts) == list(range(8)) and max(counts.values()) - min(counts.values()) <= 1
+    assert sorted((r.shard, r.slot) for r in found) == sorted((s, i) for s, n in counts.items() for i in range(n))

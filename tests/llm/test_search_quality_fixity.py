@@ -198,6 +198,44 @@ def test_records_of_pages(spark):
     assert fixity.warc_records(pages.limit(0)).collect() == []
 
 
+def test_large_files_get_more_levels(spark):
+    """Six files of 64 MiB records, one of them beyond 5 GiB: no node has more than `fan` children."""
+    big = [(0, at << 26, 1 << 26, f"{at:x}") for at in range(90)] + [(f, 0, 10, "a") for f in range(1, 6)]
+    size = 90 << 26
+    levels = fixity.levels_for(size)
+    assert fixity.levels_for(1 << 32) < levels and fixity.levels_for(0) == 2 == fixity.levels_for(1 << 20) and fixity.levels_for((1 << 20) + 1) == 3
+    built = fixity.tree(records(spark, big), levels)
+    nodes = [[r.node for r in level.where("warc_file = 0").collect()] for level in built]
+    assert nodes[-1] == [0]
+    for low, high in zip(nodes, nodes[1:-1]):
+        assert set(high) == {n // fixity.FAN for n in low}
+    assert len(nodes[-2]) <= fixity.FAN
+    worse = [(0, 77 << 26, 1 << 26, "?") if row[:2] == (0, 77 << 26) else row for row in big]
+    assert [(r.warc_file, r.offset, r.status) for r in fixity.audit(records(spark, big), records(spark, worse)).collect()] == [(0, 77 << 26, "changed")]
+
+
+def test_second_copy_is_damaged_in_its_bytes(spark):
+    from cinderlog.llm.queries import damaged
+
+    pages = spark.createDataFrame([(i, f"http://{i}", f"<p>é {i}</p>" * 9) for i in range(1500)], "page_id long, url string, html string")
+    kept = fixity.archived(pages, 64)
+    first = {}
+    for r in kept.collect():
+        first.setdefault((r.warc_file, r.page_id), []).append(r.record)
+    second = {}
+    for r in damaged(kept).collect():
+        second.setdefault((r.warc_file, r.page_id), []).append(r.record)
+    lost = [k for k in first if k not in second]
+    longer = [k for k in second if len(second[k]) > 1]
+    flipped = [k for k in second if len(second[k]) == 1 and second[k] != first[k] and len(second[k][0]) == len(first[k][0])]
+    cut = [k for k in second if len(second[k]) == 1 and 2 * len(second[k][0]) // 2 <= len(first[k][0]) // 2]
+    assert lost and longer and flipped and cut
+    assert all(f % 16 == 0 for f, _ in lost + longer + cut)
+    found = fixity.audit(fixity.laid_out(kept), fixity.laid_out(damaged(kept))).collect()
+    assert {r.status for r in found} == {"changed", "missing", "extra"}
+    assert {r.warc_file for r in found} == {f for f, _ in lost + longer + cut + flipped}
+
+
 def test_documents_fixture(spark):
     assert documents(spark, [(1, "a")]).columns[:2] == ["doc_id", "text"]
 
