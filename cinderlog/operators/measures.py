@@ -30,6 +30,14 @@ DISTINCT_ROLLUP = T.StructType([
     T.StructField("field", T.StringType(), False),
     T.StructField("sketch", T.BinaryType(), True),
 ])
+DIGEST_ROLLUP = T.StructType([
+    T.StructField("bucket_start", T.TimestampType(), False),
+    T.StructField("service", T.StringType(), False),
+    T.StructField("n", T.LongType(), False),
+    T.StructField("digest", T.LongType(), False),
+])
+#: Digests are sums modulo this prime, so they do not depend on order and add up over any grouping.
+DIGEST_MODULUS = (1 << 31) - 1
 
 
 def bucket(column: str, minutes: int, dtype: T.DataType) -> Column:
@@ -96,7 +104,26 @@ def ceil_to(value: datetime, minutes: int) -> datetime:
 COUNTS = Measure("deltas", "compact", ROLLUP, ("service", "level"), (("count", F.sum),))
 LATENCY = Measure("latency_deltas", "latency", LATENCY_ROLLUP, ("service",), (("n", F.sum), ("sketch", F.kll_merge_agg_double)))
 DISTINCT = Measure("distinct_deltas", "distinct", DISTINCT_ROLLUP, ("field",), (("sketch", F.hll_union_agg),), (HOUR_MINUTES, DAY_MINUTES))
-MEASURES = (COUNTS, LATENCY, DISTINCT)
+DIGEST = Measure("digest_deltas", "digest", DIGEST_ROLLUP, ("service",), (("n", F.sum), ("digest", lambda name: F.pmod(F.sum(name), F.lit(DIGEST_MODULUS)))))
+MEASURES = (COUNTS, LATENCY, DISTINCT, DIGEST)
+
+
+def _digests(rows: DataFrame, column: str, count: Column, minutes: int) -> DataFrame:
+    mark = F.pmod(F.xxhash64(minute_number(F.col(column)), F.col("service"), F.col("level")), F.lit(DIGEST_MODULUS))
+    marked = rows.select(bucket(column, minutes, T.TimestampType()).alias("bucket_start"), "service", count.alias("n"), mark.alias("mark"))
+    part = F.pmod(F.col("mark") * F.pmod("n", F.lit(DIGEST_MODULUS)), F.lit(DIGEST_MODULUS))
+    grouped = marked.groupBy("bucket_start", "service")
+    return grouped.agg(F.sum("n").alias("n"), F.pmod(F.sum(part), F.lit(DIGEST_MODULUS)).alias("digest"))
+
+
+def digest_rollup(logs: DataFrame) -> DataFrame:
+    """Per minute and service the number of rows and a digest of their minutes, services and levels."""
+    return _digests(logs, "timestamp", F.lit(1).cast("long"), 1)
+
+
+def digest_of_counts(rollup: DataFrame, minutes: int) -> DataFrame:
+    """The digests that minute counts amount to, per bucket of `minutes` and service; those of the rows if no count is wrong."""
+    return _digests(rollup, "bucket_start", F.col("count"), minutes)
 
 
 def latency_rollup(logs: DataFrame, duration: Column) -> DataFrame:

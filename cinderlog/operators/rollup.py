@@ -48,3 +48,19 @@ def reconcile(logs: DataFrame, rollup: DataFrame, bucket: str = "1 hour") -> Dat
     rolled = counted(rollup, "bucket_start", F.sum("count"), "rollup_count")
     both = raw.join(rolled, list(KEYS), "full_outer").na.fill(0, ["raw_count", "rollup_count"])
     return both.withColumn("missing", F.col("raw_count") - F.col("rollup_count"))
+
+
+def unequal(kept: DataFrame, counted: DataFrame) -> DataFrame:
+    """(bucket_start, service, known) of which two tables of digests do not say the same; known if the first has any."""
+    names = ["bucket_start", "service"]
+    other = counted.select(*names, F.col("n").alias("other_n"), F.col("digest").alias("other_digest"))
+    both = kept.select(*names, "n", "digest").join(other, names, "full_outer")
+    return both.where(~(F.col("n").eqNullSafe(F.col("other_n")) & F.col("digest").eqNullSafe(F.col("other_digest")))).select(*names, F.col("n").isNotNull().alias("known"))
+
+
+def minute_differences(logs: DataFrame, rollup: DataFrame) -> DataFrame:
+    """Minutes whose counts are not those of the rows: bucket_start, service, level, raw_count, rollup_count, missing."""
+    raw = build_rollup(logs).withColumnRenamed("count", "raw_count")
+    rolled = compacted(rollup).withColumnRenamed("count", "rollup_count")
+    both = raw.join(rolled, list(KEYS), "full_outer").na.fill(0, ["raw_count", "rollup_count"])
+    return both.withColumn("missing", F.col("raw_count") - F.col("rollup_count")).where("missing <> 0")

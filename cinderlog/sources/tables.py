@@ -5,6 +5,7 @@ deltas     stream=/epoch=             roll-up deltas, one folder per micro-batch
 compact    generation=/log_date=      roll-up with deltas merged in; a day's newest generation counts
 compact_60, compact_1440   generation=/log_month=   the same by hour and by day; a month's newest generation counts
 latency_deltas, latency..., distinct_deltas, distinct...   mergeable sketches, kept and compacted like the counts
+digest_deltas, digest...           digests of what was ingested, likewise; repairs marks corrections of the roll-up
 rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch=
 rules      added=                     rule definitions; trigger times are kept apart, in triggers
 receipts   added=                     which notifications have been read
@@ -34,14 +35,15 @@ from cinderlog.functions.text import BITMAP_BITS, chunks, gram_numbers, has_numb
 from cinderlog.functions.times import ts_literal
 from cinderlog.operators.aggregate import aggregate, aggregate_exact
 from cinderlog.operators.alerts import with_rule_check
-from cinderlog.operators.measures import COUNTS, LATENCY, MEASURES, Measure, latency_quantile
+from cinderlog.operators.measures import COUNTS, DIGEST, LATENCY, MEASURES, Measure, ceil_to, digest_of_counts, floor_to, latency_quantile
 from cinderlog.operators.metrics import service_summary_rollup
 from cinderlog.operators.notifications import with_read_state
 from cinderlog.operators.pages import numbered_page
-from cinderlog.operators.rollup import rollup_kept
+from cinderlog.operators.rollup import minute_differences, rollup_kept, unequal
 from cinderlog.operators.search import in_range, newest, search
 from cinderlog.plans.spec import AggSpec, LogQuery
 from cinderlog.schemas import NOTIFICATIONS, RULES, STORED_LOGS
+from cinderlog.sources.workspace import written
 
 EPOCH = (T.StructField("stream", T.LongType(), False), T.StructField("epoch", T.LongType(), False))
 TRIGGERS = T.StructType([T.StructField("rule_id", T.LongType()), T.StructField("triggered_at", T.TimestampType())])
@@ -452,6 +454,44 @@ class LogStore:
         """The service summary of a range, from counts and sketches."""
         return service_summary_rollup(self.rollup_cover(since, until), self.rollup_cover(since, until, measure=LATENCY))
 
+    def reconcile(self, since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Minutes of the range (whole ones) whose roll-up differs from the stored rows: bucket_start, service, level,
+        raw_count, rollup_count, missing.
+
+        Digests kept at ingest are compared with those the roll-up amounts to, by day and service; of unequal days by
+        minute; raw rows are read and counted for unequal minutes only. Days whose digests agree are not opened in the
+        logs. Days of a service that have counts but no digests at all are recounted whole; rows that neither digests nor
+        counts know of are not noticed. Digests and roll-up may be compacted at different times.
+        """
+        low, high = since and floor_to(since, 1), until and ceil_to(until, 1)
+        counts = in_range(self.rollup(), low, high, "bucket_start")
+        days = unequal(DIGEST.merged(self.rollup_cover(low, high, measure=DIGEST), 1440), digest_of_counts(counts, 1440))
+        days = written(days, "unequal-days")
+        dates = [row[0] for row in days.select(F.to_date("bucket_start")).distinct().collect()]
+        if not dates:
+            return minute_differences(self.spark.createDataFrame([], STORED_LOGS), counts.where(F.lit(False)))
+        on_day = days.select(F.to_date("bucket_start").alias("log_date"), "service", "known")
+        counts = counts.where(F.col("log_date").isin(dates)).join(on_day, ["log_date", "service"], "left_semi")
+        kept = in_range(self.rollup(DIGEST), low, high, "bucket_start").where(F.col("log_date").isin(dates))
+        kept = DIGEST.merged(kept.join(on_day, ["log_date", "service"], "left_semi"), 1)
+        minutes = written(unequal(kept, digest_of_counts(counts, 1)), "unequal-minutes")
+        stored = {day.isoformat() for day in dates} & self.folders("logs", "log_date").keys()
+        paths = [f"{self.path('logs')}/log_date={day}" for day in sorted(stored)]
+        logs = self.spark.read.schema(STORED_LOGS).option("basePath", self.path("logs")).parquet(*paths) if paths else self.spark.createDataFrame([], STORED_LOGS)
+        logs = in_range(logs, low, high).withColumn("bucket_start", F.date_trunc("minute", "timestamp"))
+        undigested = logs.join(on_day.where("NOT known"), ["log_date", "service"], "left_semi").join(minutes, ["bucket_start", "service"], "left_anti")
+        logs = logs.join(minutes, ["bucket_start", "service"], "left_semi").unionByName(undigested)
+        return minute_differences(logs, counts.join(minutes, ["bucket_start", "service"], "left_semi"))
+
+    def repair_rollup(self, since: datetime | None = None, until: datetime | None = None) -> int:
+        """Add what `reconcile` finds to the roll-up as deltas of a stream of its own, and return how many counts that corrects."""
+        found = written(self.reconcile(since, until), "differences")
+        corrected = found.count()
+        if corrected:
+            stream, run = self.stream_of(self.path("repairs")), self._next("repairs", "run")
+            self.append_rollup(found.withColumn("count", F.col("missing")), run, stream)
+        return corrected
+
     def compact_all(self, drop_before: datetime | None = None) -> None:
         """Compact every measure that has been stored."""
         for measure in MEASURES:

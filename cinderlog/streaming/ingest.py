@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from cinderlog.functions.times import literal_like
+from cinderlog.operators.measures import DIGEST, digest_rollup
 from cinderlog.operators.rollup import build_rollup
 from cinderlog.operators.validation import accepted, rejected, validate
 from cinderlog.sources.batches import bad_batches, open_batches, stream_bodies
@@ -56,6 +57,7 @@ class IngestJob:
             good = accepted(numbered, "id")
             self.store.append_logs(good.select("id", "timestamp", "level", "service", "message", "attributes"), epoch, self.stream)
             self.store.append_rollup(build_rollup(good), epoch, self.stream)
+            self.store.append_rollup(digest_rollup(good), epoch, self.stream, DIGEST)
             self.store.write_epoch(rejected(numbered, "batch_id", "source_file"), "rejected", epoch, self.stream)
             bad = bad_batches(checked).select("source_file", F.col("batch_error").alias("reason"))
             self.store.write_epoch(bad, "quarantine", epoch, self.stream)
