@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -21,7 +21,9 @@ from cinderlog.schemas import LOGS
 from cinderlog.sources.export import read_csv, storage_rows, write_csv
 from cinderlog.sources.tables import LogStore
 from cinderlog.sources.workspace import new_folder
-from cinderlog.streaming.windows import rollup_delta_stream, window_count_stream, window_counts
+from cinderlog.streaming.windows import (
+    amendments, final_windows, open_windows, rollup_delta_stream, window_count_stream, window_counts, window_job_stream,
+)
 
 MONTH = (datetime(2024, 1, 1), datetime(2024, 2, 1))
 # Bounds that are not on a minute show where roll-up and raw counts differ.
@@ -245,6 +247,24 @@ def _stream_windows(spark, sf):
     return out.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
 
 
+def _late_rows(spark, sf):
+    """`events` in five deliveries by day, a ninth of them five days late: what was counted in time, and what afterwards."""
+    store, landed = LogStore(spark, new_folder(spark, "late")), new_folder(spark, "deliveries")
+    rows = d.logs(spark, sf).select(*LOGS.names).withColumn("timestamp", F.col("timestamp").cast("timestamp"))
+    rows = rows.withColumn("delivery", F.floor((F.dayofmonth("timestamp") + F.when(F.col("id") % 9 == 0, 5).otherwise(0)) / 8))
+    for number in range(5):
+        rows.where(F.col("delivery") == number).drop("delivery").coalesce(1).write.mode("append").parquet(landed)
+    stream = spark.readStream.schema(LOGS).option("maxFilesPerTrigger", 1).parquet(landed)
+    window_job_stream(stream, store, store.path("checkpoint"), 60, timedelta(hours=6)).awaitTermination()
+    number = store.stream_of(store.path("checkpoint"))
+    keys = ["bucket_start", "service", "level"]
+    counted = final_windows(store, number, 60).withColumn("closed", F.lit(True))
+    counted = counted.unionByName(open_windows(store, number, 60).withColumn("closed", F.lit(False))).withColumnRenamed("count", "counted")
+    amended = amendments(store, number).withColumnRenamed("count", "amended")
+    both = counted.join(amended, keys, "full_outer").na.fill(0, ["counted", "amended"]).na.fill(True, ["closed"])
+    return both.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz"))
+
+
 def _export(spark, sf):
     path = new_folder(spark, "storage-csv")
     write_csv(storage_rows(m.storage_by_service(d.rollup(spark, sf), d.NOW)), path)
@@ -305,6 +325,16 @@ QUERIES = [
             SELECT * FROM (SELECT time_bucket(INTERVAL '1 HOUR', timestamp) AS bucket_start, service, level, count(*) AS count FROM logs GROUP BY 1, 2, 3)
             WHERE bucket_start + INTERVAL '1 HOUR' <= (SELECT max(timestamp) FROM logs) - INTERVAL '10 MINUTES'"""),
     ),
+    Query(
+        "stream_late_rows", _late_rows,
+        with_ctes(d.LOGS + """,
+            dealt AS (SELECT *, time_bucket(INTERVAL '1 HOUR', timestamp) AS bucket_start, (day(timestamp) + CASE WHEN id % 9 = 0 THEN 5 ELSE 0 END) // 8 AS delivery FROM logs),
+            marks AS (SELECT n.delivery, (SELECT max(timestamp) - INTERVAL '6 HOURS' FROM dealt d WHERE d.delivery < n.delivery) AS mark FROM (SELECT DISTINCT delivery FROM dealt) n),
+            split AS (SELECT dealt.*, coalesce(bucket_start + INTERVAL '1 HOUR' <= mark, false) AS late FROM dealt JOIN marks USING (delivery))""", """
+            SELECT bucket_start, service, level, count(*) FILTER (NOT late) AS counted, count(*) FILTER (late) AS amended,
+                   bucket_start + INTERVAL '1 HOUR' <= (SELECT max(timestamp) - INTERVAL '6 HOURS' FROM logs) AS closed
+            FROM split GROUP BY bucket_start, service, level"""),
+    ),
     Query(
         "rollup_reconcile", _reconcile,
         with_ctes(d.LOGS, """

@@ -6,7 +6,7 @@ compact    generation=/log_date=      roll-up with deltas merged in; a day's new
 compact_60, compact_1440   generation=/log_month=   the same by hour and by day; a month's newest generation counts
 latency_deltas, latency..., distinct_deltas, distinct...   mergeable sketches, kept and compacted like the counts
 digest_deltas, digest...           digests of what was ingested, likewise; repairs marks corrections of the roll-up
-rejected, quarantine, alerts, triggers, notifications, retention   stream=/epoch=
+rejected, quarantine, alerts, triggers, notifications, retention, windows, amendments, watermarks   stream=/epoch=
 rules      added=                     rule definitions; trigger times are kept apart, in triggers
 receipts   added=                     which notifications have been read
 streams    one marker per stream number that is taken
