@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -178,18 +178,25 @@ def near_duplicates(
     left out. Texts without words form one class. A null doc_id takes no part in the smallest; repeated rows
     are kept each.
     """
-    signed, rooted = _near_classes(docs, likeness, bands, permutations, block_rows)
+    draw, width = Signer(permutations), permutations // bands
+
+    def keys(shingles: np.ndarray) -> np.ndarray:
+        return mixed(draw.sign(shingles).astype(np.uint64).reshape(bands, width) @ draw.a[:width] + draw.a[:bands]).view(np.int64)
+
+    def banded(classes: DataFrame) -> DataFrame:
+        return classes.select("content", "size", F.posexplode("marks").alias("band", "key"))
+
+    signed, rooted = near_classes(docs, keys, bands, banded, likeness, block_rows)
     named = rooted.join(rooted.groupBy("root").agg(F.min("least.doc_id").alias("class_id")), "root").select("content", "class_id")
     return signed.select("doc_id", "content").join(named, "content").select("doc_id", "class_id")
 
 
-def one_of_near_duplicates(docs: DataFrame, likeness: float = LIKENESS, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """One row of each class of `near_duplicates`, with the columns of docs: that of smallest doc_id, null last.
+def one_of_each_class(docs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """One row of each class that `near_classes` found, with the columns of docs: that of smallest doc_id, null last.
 
     Rows are told apart by doc_id and a hash of all their columns, so rows that share a doc_id, and those without one, are
     judged by their own texts. Of rows alike in every column one is kept.
     """
-    _, rooted = _near_classes(docs, likeness, BANDS, PERMUTATIONS, block_rows)
     least = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*_named("least"))
     return _rows_of(docs, least).dropDuplicates(["_near_id", "_near_key"]).select(*docs.columns)
 
@@ -209,25 +216,29 @@ def _rows_of(docs: DataFrame, names: DataFrame) -> DataFrame:
     return keyed.join(names, ["_near_id", "_near_key"])
 
 
-def _near_classes(docs: DataFrame, likeness: float, bands: int, permutations: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
-    """Rows with the content (a hash of the shingle set) of their texts, and per content its least row and its class' root."""
+def near_classes(
+    docs: DataFrame, marks: Callable[[np.ndarray], np.ndarray], width: int, groups: Callable[[DataFrame], DataFrame], likeness: float, block_rows: int = BLOCK_ROWS,
+) -> tuple[DataFrame, DataFrame]:
+    """Rows with the content (a hash of the shingle set) of their texts, and per content its least row and its class' root.
+
+    `marks` gives `width` signed numbers for the distinct shingles of a text, `groups` the candidates from them: of
+    (content, size, marks) groups (content, size, band, key) in which contents that are alike enough come together.
+    """
     spark = ready(docs.sparkSession)
-    width = permutations // bands
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signer(permutations)
+        sign = Signer()
         for batch in batches:
             sets = [np.unique(sign.shingles(text)) for text in batch["text"].to_pylist()]
-            keys = [mixed(sign.sign(one).astype(np.uint64).reshape(bands, width) @ sign.a[:width] + sign.a[:bands]) for one in sets]
+            flat = pa.array(np.concatenate([*map(marks, sets), np.zeros(0, np.int64)]))
             content, size = pa.array([_content(one) for one in sets], pa.int64()), pa.array([len(one) for one in sets], pa.int64())
-            offsets = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * bands)
-            bandlists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([*keys, np.zeros(0, np.uint64)]).view(np.int64)))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * width), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["row_key"], content, size, bandlists], ["doc_id", "row_key", "content", "size", "bands"],
+                [batch["doc_id"], batch["row_key"], content, size, lists], ["doc_id", "row_key", "content", "size", "marks"],
             )
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sign = Signer(permutations)
+        sign = Signer()
         for batch in batches:
             sets = [np.unique(sign.shingles(text)) for text in batch["text"].to_pylist()]
             content = pa.array([_content(one) for one in sets], pa.int64())
@@ -237,11 +248,11 @@ def _near_classes(docs: DataFrame, likeness: float, bands: int, permutations: in
 
     text = F.coalesce(docs["text"], F.lit("")).alias("text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), _row_key(docs).alias("row_key"), text)
-    signed = written(rows.mapInArrow(read, "doc_id long, row_key long, content long, size long, bands array<long>"), "signatures")
+    signed = written(rows.mapInArrow(read, "doc_id long, row_key long, content long, size long, marks array<long>"), "signatures")
     row = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_key")
-    classes = written(signed.groupBy("content").agg(F.min(row).alias("least"), F.min("size").alias("size"), F.first("bands").alias("bands")), "contents")
-    banded = classes.select("content", "size", F.posexplode("bands").alias("band", "key"))
-    # Of groups with the same members (as bands of near copies mostly have) one is looked at.
+    classes = written(signed.groupBy("content").agg(F.min(row).alias("least"), F.min("size").alias("size"), F.first("marks").alias("marks")), "contents")
+    banded = groups(classes)
+    # Of groups with the same members (as those of near copies mostly have) one is looked at.
     alike = [F.count("*").alias("n"), F.bit_xor(F.xxhash64("content")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "content")).alias("two")]
     shared = banded.groupBy("band", "key").agg(*alike).where("n > 1")
     shared = shared.groupBy("n", "one", "two").agg(F.min(F.struct("band", "key")).alias("group")).select("group.*")

@@ -1,20 +1,26 @@
-"""Near-duplicate groups by 64-bit similarity fingerprints, joined over a binary trie."""
+"""Near-duplicate groups by similarity fingerprints joined over binary tries: at a budget of bits, or verified on shingles."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cinderlog.llm.common import group_roots, ready
+from cinderlog.llm import minhash
+from cinderlog.llm.common import group_roots, mixed, ready
 from cinderlog.llm.components import components
 from cinderlog.sources.workspace import written
 
 SHINGLE, MAX_BITS, LEAF_ROWS, STEP = 3, 2, 1 << 14, 4
+#: Words of 64 bits of a wide fingerprint, its seed, and the chance to miss a pair that is just alike enough.
+WORDS, SEED, MISSED = 3, 11, 1e-4
+_TILE, _WIDE = 256, 2048
 #: Node pairs looked at together, and the size of node pairs that are compared outright.
 _FRONT, _SMALL = 1 << 17, 16
 
@@ -215,3 +221,129 @@ def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
     kept = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
     rows = docs.where("doc_id is not null").join(kept, F.col("doc_id") == F.col("_kept_id"), "left_semi")
     return rows.dropDuplicates(["doc_id"]).union(docs.where("doc_id is null"))
+
+
+# --- near copies by the likeness of their shingle sets ---------------------------------------------------------------
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """WORDS fingerprints of a set of shingle hashes, each under a seed of its own: the bits set in over half the hashes.
+
+    Eight bits of a hash at a time add up in the bytes of a sum, 255 hashes before they are taken out.
+    """
+    if not len(shingles):
+        return np.zeros(WORDS, np.int64)
+    hashes = mixed(shingles ^ mixed(np.arange(SEED, SEED + WORDS, dtype=np.uint64))[:, None])
+    lanes = (hashes[:, None, :] >> np.arange(8, dtype=np.uint64)[:, None]) & np.uint64(0x0101010101010101)
+    sums = np.add.reduceat(lanes, np.arange(0, len(shingles), 255), axis=2)
+    ones = sums.view(np.uint8).reshape(WORDS, 8, -1, 8).sum(axis=2, dtype=np.int64).transpose(0, 2, 1).reshape(WORDS, 64)
+    return np.packbits(2 * ones > len(shingles), axis=1, bitorder="little").view("<i8").reshape(WORDS)
+
+
+def _share_of_bits(likeness: float) -> float:
+    """The share of bits in which two sets of this Jaccard similarity differ at most, on average.
+
+    The angle between sets of equal size; other sizes are nearer. Sets of a few shingles, whose ties all give zero, differ
+    up to a quarter more often: four shingles of five in 3 bits of 16.
+    """
+    return 1.25 * float(np.arccos(2 * likeness / (1 + likeness)) / np.pi)
+
+
+def _chances(bits: int, share: float) -> np.ndarray:
+    """Chances that 0, 1, ... of so many bits differ."""
+    return np.array([comb(bits, d) * share**d * (1 - share) ** (bits - d) for d in range(bits + 1)])
+
+
+def _budget(bits: int, likeness: float) -> int:
+    """How many of so many bits may differ, so that pairs of this likeness stay but for MISSED."""
+    return int(np.searchsorted(np.cumsum(_chances(bits, _share_of_bits(likeness))), 1 - MISSED))
+
+
+def tries_for(depth: int, likeness: float) -> int:
+    """How many tries are cut at this depth: a pair of this likeness shares a node of one of them but for MISSED."""
+    bits = 64 * WORDS
+    apart = 1 - np.array([comb(bits - d, depth) / comb(bits, depth) for d in range(bits + 1)])
+    chances, tries = _chances(bits, _share_of_bits(likeness)), 1
+    while chances @ apart**tries > MISSED:
+        tries += 1
+    return tries
+
+
+def near_groups(prints: DataFrame, likeness: float, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """Candidates for this likeness among (content, marks: a wide fingerprint): groups (content, band, key), two rows or more each.
+
+    The bits are put in several orders, each of which makes a trie that is cut where even fingerprints fill leaf_rows; the
+    more there are, the deeper, and the more tries. In a node, fingerprints within the budget of bits are linked, and what
+    is linked is a group. A node that is much larger is dealt over blocks, every two of which meet in a task.
+    """
+    spark = ready(prints.sparkSession)
+    total, depth = prints.count(), 0
+    while (total >> depth) > leaf_rows:
+        depth += 1
+    tries, draw = tries_for(depth, likeness), np.random.default_rng(SEED)
+    per_order = 64 * WORDS // max(depth, 1)
+    orders = np.concatenate([draw.permutation(64 * WORDS)[: per_order * depth].reshape(per_order, depth) for _ in range(-(-tries // per_order))])[:tries]
+    limits = _budget(64, likeness), _budget(64 * WORDS, likeness)
+    words = [f"word{i}" for i in range(WORDS)]
+
+    def placed(with_words: bool) -> DataFrame:
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = batch["marks"].flatten().to_numpy().reshape(-1, WORDS)
+                bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                band = np.repeat(np.arange(tries, dtype=np.int32), len(values))
+                node = np.concatenate([bits[:, order] @ (1 << np.arange(depth)) for order in orders])
+                columns = [band, node, np.tile(batch["content"].to_numpy(), tries), *[np.tile(word, tries) for word in values.T]]
+                columns = columns if with_words else columns[:2]
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["band", "node", "content", *words][: len(columns)])
+
+        schema = "band int, node long"
+        return prints.mapInArrow(place, schema + (", content long, " + ", ".join(f"{word} long" for word in words) if with_words else ""))
+
+    wide = placed(False).groupBy("band", "node").count().where(F.col("count") > 2 * leaf_rows)
+    wide = written(wide.select("band", "node", F.ceil(F.col("count") / leaf_rows).cast("int").alias("blocks")), "wide-nodes")
+    rows = placed(True).withColumns({"i": F.lit(0), "j": F.lit(0)})
+    if wide.limit(1).count():
+        dealt = placed(True).join(wide, ["band", "node"], "left")
+        block = F.coalesce(F.pmod(F.xxhash64("content"), F.col("blocks")).cast("int"), F.lit(0))
+        dealt = dealt.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        rows = dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("block", "other", "blocks")
+
+    def grouped(frame: pd.DataFrame) -> pd.DataFrame:
+        content = frame["content"].to_numpy(np.int64)
+        root = _near_roots([frame[word].to_numpy(np.int64).view(np.uint64) for word in words], *limits)
+        shared = np.bincount(root, minlength=len(root))[root] > 1
+        task = np.uint64(hash(tuple(frame[name].iloc[0] for name in ("node", "i", "j"))) & (1 << 64) - 1)
+        key = mixed(content[root[shared]].view(np.uint64) ^ mixed(np.array([task]))).view(np.int64)
+        return pd.DataFrame({"content": content[shared], "band": frame["band"].to_numpy(np.int32)[shared], "key": key})
+
+    found = rows.groupBy("band", "node", "i", "j").applyInPandas(grouped, "content long, band int, key long")
+    return written(found, "near-groups")
+
+
+def _near_roots(words: list[np.ndarray], first: int, whole: int) -> np.ndarray:
+    """Per row the smallest row it reaches over pairs that differ in at most `first` bits of the first word and `whole` of all."""
+    n = len(words[0])
+    root = np.arange(n)
+    for top in range(0, n, _TILE):
+        for left in range(top, n, _WIDE):
+            i, j = np.nonzero(np.bitwise_count(words[0][top : top + _TILE, None] ^ words[0][None, left : left + _WIDE]) <= first)
+            i, j = i + top, j + left
+            open_ = (i < j) & (root[i] != root[j])
+            i, j = i[open_], j[open_]
+            near = sum(np.bitwise_count(word[i] ^ word[j]).astype(np.int64) for word in words) <= whole
+            if near.any():
+                root = group_roots(n, root[i[near]], root[j[near]])[root]
+    return root
+
+
+def one_of_near_copies(docs: DataFrame, likeness: float = minhash.LIKENESS, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """One row of each class of texts linked at a Jaccard similarity of `likeness` or more of their five-word shingle sets.
+
+    Candidates come from fingerprints of those sets (`near_groups`), and each is verified on the sets; see `near_classes`
+    and `one_of_each_class`. Sets too small to be alike without being equal are left out of the candidates.
+    """
+    def groups(classes: DataFrame) -> DataFrame:
+        able = classes.where(F.col("size") >= likeness * (F.col("size") + 1))
+        return near_groups(able.select("content", "marks"), likeness, leaf_rows).join(classes.select("content", "size"), "content")
+
+    return minhash.one_of_each_class(docs, minhash.near_classes(docs, wide_fingerprint, WORDS, groups, likeness)[1])

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cinderlog.llm import lines, minhash, mixing, packing, quality
+from cinderlog.llm import lines, mixing, packing, quality, simhash
 from cinderlog.sources.workspace import written
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -24,7 +24,7 @@ def fresh_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five-word shingles, Jaccard similarity of 0.8 or more), that of smallest doc_id."""
-    return minhash.one_of_near_duplicates(docs)
+    return simhash.one_of_near_copies(docs)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -202,3 +202,35 @@ def test_large_groups_need_no_block_pairs(spark, monkeypatch):
     found = minhash.near_duplicates(documents(spark, rows), block_rows=8).collect()
     assert {r.class_id for r in found} == {0}
     assert 0 < sum(asked) < 16 * 3 * 2 * len(rows)
+
+
+@pytest.mark.parametrize("leaf_rows", [1 << 14, 20])
+def test_tries_bring_together_what_five_words_share(spark, leaf_rows):
+    rows = edited(12) + [(1000, "a b c d e f g h"), (1001, "a b c d e f g h i"), (1002, "p q r"), (1003, "p q")]
+    sign = minhash.Signer()
+    sets = [np.unique(sign.shingles(text)) for _, text in rows]
+    prints = spark.createDataFrame([(i, simhash.wide_fingerprint(one).tolist()) for i, one in enumerate(sets)], "content long, marks array<long>")
+    groups = {}
+    for r in simhash.near_groups(prints, 0.8, leaf_rows).collect():
+        groups.setdefault((r.band, r.key), set()).add(r.content)
+    together = {pair for group in groups.values() for pair in combinations(sorted(group), 2)}
+    alike = {(i, j) for i, j in combinations(range(len(sets)), 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    assert alike <= together and len(together) < 2 * len(rows) * 7
+    assert len({band for band, _ in groups}) > (1 if leaf_rows == 20 else 0)
+
+
+def test_stage_finds_near_copies_by_fingerprints(spark, monkeypatch):
+    asked, search = [], simhash.near_groups
+    monkeypatch.setattr(simhash, "near_groups", lambda prints, *rest: asked.append(prints.count()) or search(prints, *rest))
+    monkeypatch.setattr(minhash, "near_duplicates", None)
+    rows = edited(8)[:14]
+    kept = dict(corpus_pipeline.STAGES)["near_dedup"](spark, documents(spark, rows), "").collect()
+    assert asked == [14 - len(rows) + len({text for _, text in rows})] and len(kept) < len(rows)
+
+
+def test_a_node_of_very_many_near_copies_is_dealt_over_blocks(spark):
+    draw = random.Random(9)
+    base = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(200) if (k := draw.randrange(400)) >= 0]
+    rows += [(500, "some other text of eight words or so")]
+    assert sorted(r.doc_id for r in simhash.one_of_near_copies(documents(spark, rows), leaf_rows=16).collect()) == [0, 500]
