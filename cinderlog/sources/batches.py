@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cinderlog.schemas import MAX_BODY_BYTES
@@ -18,24 +18,37 @@ EXPONENT_VALUE = r":\s*-?(?:[0-9.]+[eE][+-]?[0-9]+|0\.0{6}[0-9]*)\s*[,}]"
 
 def read_bodies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(source_file, body): one file per batch, or with `lines` one line of a file."""
-    bodies = _named(spark.read.text(path, wholetext=True))
-    return body_lines(bodies) if lines else bodies
+    if lines:
+        return numbered_lines(_lines(spark.read.option("lineSep", "\n").text(path)))
+    return _named(spark.read.text(path, wholetext=True))
 
 
 def stream_bodies(spark: SparkSession, path: str, max_files: int, lines: bool = False) -> DataFrame:
+    """Files as bodies; with `lines` rows that `numbered_lines` makes bodies of, in each micro-batch."""
     reader = spark.readStream.option("maxFilesPerTrigger", max_files)
-    bodies = _named(reader.text(path, wholetext=True))
-    return body_lines(bodies) if lines else bodies
+    return _lines(reader.option("lineSep", "\n").text(path)) if lines else _named(reader.text(path, wholetext=True))
 
 
-def body_lines(files: DataFrame) -> DataFrame:
+def _lines(read: DataFrame) -> DataFrame:
+    return read.select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("block"),
+        F.regexp_replace("value", "\r$", "").alias("body"),
+    )
+
+
+def numbered_lines(rows: DataFrame) -> DataFrame:
     """Each line of a file as a batch of its own, named by the file and the line's number; blank lines are none.
 
-    Lines are cut from whole files, since only so does a line know its number in whatever order files are read.
+    Files are read in blocks, by as many tasks as there are. A block's lines come in order from one task; how many
+    lines the blocks before hold, a row per block, makes their numbers those of the file.
     """
-    parts = files.select("source_file", F.posexplode(F.split("body", "\r?\n", -1)).alias("number", "body"))
-    name = F.concat("source_file", F.lit("#"), (F.col("number") + 1).cast("string"))
-    return parts.where(F.trim("body") != "").select(name.alias("source_file"), "body")
+    placed = rows.withColumn("_place", F.monotonically_increasing_id())
+    blocks = placed.groupBy("source_file", "block").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
+    before = Window.partitionBy("source_file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("source_file", "block", (F.coalesce(F.sum("_n").over(before), F.lit(0)) - F.col("_first") + 1).alias("_shift"))
+    named = placed.where(F.trim("body") != "").join(F.broadcast(blocks), ["source_file", "block"])
+    name = F.concat("source_file", F.lit("#"), (F.col("_place") + F.col("_shift")).cast("string"))
+    return named.withColumn("source_file", name).drop("block", "_place", "_shift")
 
 
 def _named(files: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ from cinderlog.functions.times import literal_like
 from cinderlog.operators.measures import DIGEST, digest_rollup
 from cinderlog.operators.rollup import build_rollup
 from cinderlog.operators.validation import accepted, rejected, validate
-from cinderlog.sources.batches import bad_batches, open_batches, stream_bodies
+from cinderlog.sources.batches import bad_batches, numbered_lines, open_batches, stream_bodies
 from cinderlog.sources.tables import LogStore
 
 # Batch numbers and row ids of a micro-batch begin with a prefix of its own; what follows counts inside it.
@@ -80,6 +80,12 @@ def ingest_stream(
         raise ValueError("max_files must be at least 1")
     now: Column = literal_like(as_of, T.TimestampType()) if as_of else F.current_timestamp()
     bodies = stream_bodies(store.spark, landing, max_files, lines).withColumn("as_of", now)
-    writer = open_batches(bodies).writeStream.foreachBatch(IngestJob(store, store.stream_of(checkpoint))).option("checkpointLocation", checkpoint)
+    job = IngestJob(store, store.stream_of(checkpoint))
+
+    def lines_job(rows: DataFrame, epoch: int) -> None:
+        job(open_batches(numbered_lines(rows)), epoch)
+
+    started = bodies.writeStream.foreachBatch(lines_job) if lines else open_batches(bodies).writeStream.foreachBatch(job)
+    writer = started.option("checkpointLocation", checkpoint)
     trigger = {"processingTime": interval} if interval else {"availableNow": True}
     return writer.trigger(**trigger).start()

@@ -74,6 +74,24 @@ def test_bodies_as_lines(spark, store, tmp_path):
     assert reasons == {"00001.json#4": "malformed JSON", "00001.json#5": "body must contain a 'logs' array"}
 
 
+def test_lines_keep_their_numbers_when_files_are_read_in_blocks(spark, store, tmp_path):
+    landing, bodies = tmp_path / "landing", make_bodies(spark, 200, 10)
+    texts = [f'{{"logs":{i}}}' if i % 3 else "" for i in range(400)]
+    land(landing, ["\n".join([*bodies, *texts]), "\r\n".join([*texts[1:], bodies[0]]) + "\r\n"])
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        assert spark.read.text(str(landing)).rdd.getNumPartitions() > 20
+        found = {(Path(r.source_file).name, r.body) for r in read_bodies(spark, str(landing), lines=True).collect()}
+        ingest_stream(store, str(landing), store.path("checkpoint"), as_of=NOW, lines=True).awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    lines = {"00000.json": [*bodies, *texts], "00001.json": [*texts[1:], bodies[0]]}
+    assert found == {(f"{name}#{i}", line) for name, rows in lines.items() for i, line in enumerate(rows, 1) if line}
+    bad = {Path(r["source_file"]).name for r in spark.read.parquet(store.path("quarantine")).collect()}
+    assert bad == {name for name, line in found if line == "{bad" or (line.startswith('{"logs":') and line[8].isdigit())}
+
+
 def test_a_body_may_span_lines(spark, store, tmp_path):
     landing = tmp_path / "landing"
     land(landing, [json.dumps(json.loads(body), indent=2) for body in make_bodies(spark, 100)[:2]])
