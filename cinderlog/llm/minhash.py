@@ -276,50 +276,69 @@ def _links(spark, members: DataFrame, sets: DataFrame, likeness: float, block_ro
 
     A group's members in its largest component so far need no comparison with each other: the others (the rest) are
     compared with all. While the rest of a group is larger than a block, one of the rest is first compared with all
-    the others, up to ROUNDS times; after that the rest is compared with the whole group, however large it is.
+    the others, up to ROUNDS times and as long as that halves the rest; after that the rest is compared with the whole
+    group, however large it is. Only groups that are in a round are looked at anew after it; the others meet the
+    components found once, at the end.
     """
     links = spark.createDataFrame([], "a long, b long")
-    state = members.withColumn("root", F.col("content"))
+    state, rested = members.withColumn("root", F.col("content")), []
     group = ["band", "key"]
-    for turn in range(ROUNDS + 1):
-        parts = state.groupBy(*group, "root").agg(F.count("*").alias("n"), F.sum("size").alias("amount"))
-        tops = parts.groupBy(*group).agg(
-            F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.sum("amount").alias("amount"),
-            F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"),
-        )
-        tops = written(tops.where("parts > 1"), "open-groups")
-        if turn < ROUNDS:
-            tops = tops.where(F.col("rest") > block_rows)
-            if not tops.limit(1).count():
-                continue
-        block = F.pmod(F.xxhash64("content"), _blocks(block_rows)).cast("int")
-        placed = state.join(tops, group).withColumn("block", block)
-        if turn < ROUNDS:
-            draw = F.struct(F.xxhash64(F.lit(turn), "content").alias("draw"), "content", "size", "root")
-            chosen = placed.where("root <> main").groupBy(*group).agg(F.min(draw).alias("one"))
-            rights = placed.withColumn("i", F.lit(0)).withColumn("j", F.col("block"))
-            lefts = chosen.select(*group, "one.content", "one.size", "one.root")
-            lefts = lefts.join(rights.select(*group, "i", "j").distinct(), group)
-        else:
-            # A block that holds some of the rest meets every block of its group.
-            resting = placed.where("root <> main")
-            every = F.explode(F.sequence(F.lit(0), _blocks(block_rows).cast("int") - 1))
-            pairs = written(resting.select(*group, F.col("block").alias("i"), "n", "amount").distinct().withColumn("j", every), "block-pairs")
-            pairs = pairs.select(*group, "i", "j")
-            lefts = resting.join(pairs.withColumn("block", F.col("i")), [*group, "block"])
-            rights = placed.join(pairs.withColumn("block", F.col("j")), [*group, "block"])
-        task = F.struct(*group, "i", "j")
-        sides = [side.select("content", "size", "root", task.alias("pair"), F.lit(no).alias("side")) for no, side in enumerate((lefts, rights))]
-        tasks = written(sides[0].union(sides[1]), "compared")
-        rows, amount = tasks.agg(F.count("*"), F.sum("size")).first()
-        bundles = max(1, -(-rows // block_rows), -(-(amount or 0) // BLOCK_SHINGLES))
-        tasks = tasks.withColumn("bundle", F.pmod(F.xxhash64("pair"), F.lit(bundles))).withColumn("pair", F.xxhash64("pair")).join(sets, "content")
-        more = tasks.groupBy("bundle").applyInPandas(lambda frame: _bundled(frame, likeness), "a long, b long")
-        links = written(links.union(more).distinct(), "alike-links")
-        if turn < ROUNDS:
-            roots = written(components(links), "alike-roots")
-            state = members.join(roots, F.col("content") == F.col("node"), "left").withColumn("root", F.coalesce("root", "content")).drop("node")
-    return links
+    for turn in range(ROUNDS):
+        tops = _open_groups(state)
+        large = tops.where((F.col("rest") > block_rows) & (F.col("rest") * (1 << turn) <= F.col("n")))
+        if not large.limit(1).count():
+            break
+        rested.append(state.join(large.select(*group), group, "left_anti"))
+        placed = state.join(large, group).withColumn("block", _block(block_rows))
+        draw = F.struct(F.xxhash64(F.lit(turn), "content").alias("draw"), "content", "size", "root")
+        chosen = placed.where("root <> main").groupBy(*group).agg(F.min(draw).alias("one"))
+        rights = placed.withColumn("i", F.lit(0)).withColumn("j", F.col("block"))
+        lefts = chosen.select(*group, "one.content", "one.size", "one.root")
+        lefts = lefts.join(rights.select(*group, "i", "j").distinct(), group)
+        links = written(links.union(_compared(lefts, rights, sets, likeness, block_rows)).distinct(), "alike-links")
+        roots = written(components(links), "alike-roots")
+        state = written(_rooted(placed.select(*members.columns), roots), "group-states")
+    if rested:
+        for part in [_rooted(rested[0].select(*members.columns), roots), *rested[1:]]:
+            state = state.unionByName(part)
+        state = written(state, "group-states")
+        tops = _open_groups(state)
+    # The rest of a block meets its own block, all later ones, and what is not of the rest in earlier ones.
+    placed = state.join(tops, group).withColumn("block", _block(block_rows))
+    blocks = placed.groupBy(*group, "block").agg(F.max(F.col("root") != F.col("main")).alias("rests"), F.max(F.col("root") == F.col("main")).alias("mains"))
+    blocks = written(blocks, "group-blocks")
+    pairs = blocks.where("rests").select(*group, F.col("block").alias("i")).join(blocks.select(*group, F.col("block").alias("j"), "mains"), group)
+    pairs = written(pairs.where("i <= j or mains").select(*group, "i", "j"), "block-pairs")
+    lefts = placed.where("root <> main").join(pairs.withColumn("block", F.col("i")), [*group, "block"])
+    rights = placed.join(pairs.withColumn("block", F.col("j")), [*group, "block"]).where("i <= j or root = main")
+    return written(links.union(_compared(lefts, rights, sets, likeness, block_rows)).distinct(), "alike-links")
+
+
+def _open_groups(state: DataFrame) -> DataFrame:
+    """Groups (band, key) of more than one component, with the largest one (main) and how many members are outside (rest)."""
+    parts = state.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("amount"))
+    tops = parts.groupBy("band", "key").agg(
+        F.max(F.struct("n", "root"))["root"].alias("main"), F.sum("n").alias("n"), F.sum("amount").alias("amount"),
+        F.count("*").alias("parts"), (F.sum("n") - F.max("n")).alias("rest"),
+    )
+    return written(tops.where("parts > 1"), "open-groups")
+
+
+def _rooted(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members with the roots of their components so far."""
+    joined = members.join(roots, F.col("content") == F.col("node"), "left")
+    return joined.withColumn("root", F.coalesce("root", "content")).drop("node")
+
+
+def _compared(lefts: DataFrame, rights: DataFrame, sets: DataFrame, likeness: float, block_rows: int) -> DataFrame:
+    """Links of the left members to the right ones of the same task (band, key, i, j)."""
+    task = F.struct("band", "key", "i", "j")
+    sides = [side.select("content", "size", "root", task.alias("pair"), F.lit(no).alias("side")) for no, side in enumerate((lefts, rights))]
+    tasks = written(sides[0].union(sides[1]), "compared")
+    rows, amount = tasks.agg(F.count("*"), F.sum("size")).first()
+    bundles = max(1, -(-rows // block_rows), -(-(amount or 0) // BLOCK_SHINGLES))
+    tasks = tasks.withColumn("bundle", F.pmod(F.xxhash64("pair"), F.lit(bundles))).withColumn("pair", F.xxhash64("pair")).join(sets, "content")
+    return tasks.groupBy("bundle").applyInPandas(lambda frame: _bundled(frame, likeness), "a long, b long")
 
 
 def _bundled(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:
@@ -328,8 +347,10 @@ def _bundled(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:
     return pd.concat(found) if found else pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
 
 
-def _blocks(block_rows: int) -> Column:
-    return F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows), F.ceil(F.col("amount") / BLOCK_SHINGLES))
+def _block(block_rows: int) -> Column:
+    """The block of its group that a member is dealt to."""
+    blocks = F.greatest(F.lit(1), F.ceil(F.col("n") / block_rows), F.ceil(F.col("amount") / BLOCK_SHINGLES))
+    return F.pmod(F.xxhash64("content"), blocks).cast("int")
 
 
 def _alike_links(frame: pd.DataFrame, likeness: float) -> pd.DataFrame:

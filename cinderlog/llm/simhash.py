@@ -273,8 +273,10 @@ def near_groups(prints: DataFrame, likeness: float, leaf_rows: int = LEAF_ROWS)
 
     The bits are put in several orders, each of which makes a trie that is cut where even fingerprints fill leaf_rows; the
     more there are, the deeper, and the more tries. In a node, fingerprints within the budget of bits are linked, and what
-    is linked is a group. A node that is much larger is dealt over blocks, every two of which meet in a task.
+    is linked is a group. A node that is much larger is dealt over blocks, every two of which meet in a task. Where prints
+    have the size of the sets, sets too unlike in size to be alike are not linked, and the groups have it too.
     """
+    sized = ["size"] if "size" in prints.columns else []
     spark = ready(prints.sparkSession)
     total, depth = prints.count(), 0
     while (total >> depth) > leaf_rows:
@@ -292,12 +294,13 @@ def near_groups(prints: DataFrame, likeness: float, leaf_rows: int = LEAF_ROWS)
                 bits = np.unpackbits(np.ascontiguousarray(values).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 band = np.repeat(np.arange(tries, dtype=np.int32), len(values))
                 node = np.concatenate([bits[:, order] @ (1 << np.arange(depth)) for order in orders])
-                columns = [band, node, np.tile(batch["content"].to_numpy(), tries), *[np.tile(word, tries) for word in values.T]]
+                named = [batch[name].to_numpy() for name in ("content", *sized)]
+                columns = [band, node, *[np.tile(column, tries) for column in (*named, *values.T)]]
                 columns = columns if with_words else columns[:2]
-                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["band", "node", "content", *words][: len(columns)])
+                yield pa.RecordBatch.from_arrays([pa.array(column) for column in columns], ["band", "node", "content", *sized, *words][: len(columns)])
 
         schema = "band int, node long"
-        return prints.mapInArrow(place, schema + (", content long, " + ", ".join(f"{word} long" for word in words) if with_words else ""))
+        return prints.mapInArrow(place, schema + "".join(f", {name} long" for name in ("content", *sized, *words)) * with_words)
 
     wide = placed(False).groupBy("band", "node").count().where(F.col("count") > 2 * leaf_rows)
     wide = written(wide.select("band", "node", F.ceil(F.col("count") / leaf_rows).cast("int").alias("blocks")), "wide-nodes")
@@ -310,18 +313,23 @@ def near_groups(prints: DataFrame, likeness: float, leaf_rows: int = LEAF_ROWS)
 
     def grouped(frame: pd.DataFrame) -> pd.DataFrame:
         content = frame["content"].to_numpy(np.int64)
-        root = _near_roots([frame[word].to_numpy(np.int64).view(np.uint64) for word in words], *limits)
+        sizes = frame["size"].to_numpy(np.int64) if sized else np.ones(len(frame), np.int64)
+        root = _near_roots([frame[word].to_numpy(np.int64).view(np.uint64) for word in words], *limits, sizes, likeness)
         shared = np.bincount(root, minlength=len(root))[root] > 1
         task = np.uint64(hash(tuple(frame[name].iloc[0] for name in ("node", "i", "j"))) & (1 << 64) - 1)
         key = mixed(content[root[shared]].view(np.uint64) ^ mixed(np.array([task]))).view(np.int64)
-        return pd.DataFrame({"content": content[shared], "band": frame["band"].to_numpy(np.int32)[shared], "key": key})
+        found = {"content": content[shared], "band": frame["band"].to_numpy(np.int32)[shared], "key": key}
+        return pd.DataFrame(found | {name: sizes[shared] for name in sized})
 
-    found = rows.groupBy("band", "node", "i", "j").applyInPandas(grouped, "content long, band int, key long")
+    found = rows.groupBy("band", "node", "i", "j").applyInPandas(grouped, "content long, band int, key long" + "".join(f", {name} long" for name in sized))
     return written(found, "near-groups")
 
 
-def _near_roots(words: list[np.ndarray], first: int, whole: int) -> np.ndarray:
-    """Per row the smallest row it reaches over pairs that differ in at most `first` bits of the first word and `whole` of all."""
+def _near_roots(words: list[np.ndarray], first: int, whole: int, sizes: np.ndarray, likeness: float) -> np.ndarray:
+    """Per row the smallest row it reaches over pairs that differ in at most `first` bits of the first word and `whole` of all.
+
+    Sets are alike only if the smaller has at least this share of the larger one's size; other pairs are none.
+    """
     n = len(words[0])
     root = np.arange(n)
     for top in range(0, n, _TILE):
@@ -329,6 +337,7 @@ def _near_roots(words: list[np.ndarray], first: int, whole: int) -> np.ndarray:
             i, j = np.nonzero(np.bitwise_count(words[0][top : top + _TILE, None] ^ words[0][None, left : left + _WIDE]) <= first)
             i, j = i + top, j + left
             open_ = (i < j) & (root[i] != root[j])
+            open_ &= np.minimum(sizes[i], sizes[j]) >= likeness * np.maximum(sizes[i], sizes[j])
             i, j = i[open_], j[open_]
             near = sum(np.bitwise_count(word[i] ^ word[j]).astype(np.int64) for word in words) <= whole
             if near.any():
@@ -344,6 +353,6 @@ def one_of_near_copies(docs: DataFrame, likeness: float = minhash.LIKENESS, leaf
     """
     def groups(classes: DataFrame) -> DataFrame:
         able = classes.where(F.col("size") >= likeness * (F.col("size") + 1))
-        return near_groups(able.select("content", "marks"), likeness, leaf_rows).join(classes.select("content", "size"), "content")
+        return near_groups(able.select("content", "size", "marks"), likeness, leaf_rows)
 
     return minhash.one_of_each_class(docs, minhash.near_classes(docs, wide_fingerprint, WORDS, groups, likeness)[1])

@@ -234,3 +234,33 @@ def test_a_node_of_very_many_near_copies_is_dealt_over_blocks(spark):
     rows = [(i, " ".join(base[:k] + [f"x{i}"] + base[k + 1 :])) for i in range(200) if (k := draw.randrange(400)) >= 0]
     rows += [(500, "some other text of eight words or so")]
     assert sorted(r.doc_id for r in simhash.one_of_near_copies(documents(spark, rows), leaf_rows=16).collect()) == [0, 500]
+
+
+def test_a_large_group_that_no_representative_gathers_is_compared_once(spark, monkeypatch):
+    n, bands, block_rows = 120, 3, 8
+    sets = [np.unique(minhash.Signer().shingles(" ".join(f"w{j}" for j in range(8 * i, 8 * i + 100)))) for i in range(n)]
+    contents = [minhash._content(one) for one in sets]
+    rows = [(content, len(one), band, 7) for band in range(bands) for content, one in zip(contents, sets)]
+    members = spark.createDataFrame(rows, "content long, size long, band int, key long")
+    table = spark.createDataFrame([(c, one.view(np.int64).tolist()) for c, one in zip(contents, sets)], "content long, shingles array<long>")
+    asked, write = {}, minhash.written
+
+    def counted(df, name):
+        out = write(df, name)
+        asked[name] = asked.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(minhash, "written", counted)
+    links = minhash._links(spark, members, table, 0.8, block_rows)
+    assert dict(components(links).collect()) == {content: min(contents) for content in contents}  # each is alike to the next only
+    assert asked["compared"] < bands * n * (n // block_rows + 4)
+    assert asked["group-states"] <= 2 * len(rows)
+
+
+def test_sets_of_unlike_sizes_are_no_candidates(spark):
+    marks = simhash.wide_fingerprint(np.unique(minhash.Signer().shingles(" ".join(f"w{i}" for i in range(50))))).tolist()
+    prints = spark.createDataFrame([(1, 100, marks), (2, 79, marks), (3, 80, marks), (4, 60, marks), (5, 75, marks)], "content long, size long, marks array<long>")
+    groups = {}
+    for r in simhash.near_groups(prints.where("content <> 5"), 0.8).collect():
+        groups.setdefault((r.band, r.key), set()).add((r.content, r["size"]))
+    assert set(map(frozenset, groups.values())) == {frozenset({(1, 100), (2, 79), (3, 80)})}
