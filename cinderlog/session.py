@@ -7,6 +7,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     # A JSON object that repeats a key keeps the last value instead of being malformed.
     "spark.sql.variant.allowDuplicateKeys": "true",
+    # A micro-batch lists its files anew; the default is a task per file, which takes longer to schedule than to run.
+    "spark.sql.sources.parallelPartitionDiscovery.parallelism": "64",
 }
 
 

@@ -23,9 +23,13 @@ def read_bodies(spark: SparkSession, path: str, lines: bool = False) -> DataFram
     return _named(spark.read.text(path, wholetext=True))
 
 
-def stream_bodies(spark: SparkSession, path: str, max_files: int, lines: bool = False) -> DataFrame:
-    """Files as bodies; with `lines` rows that `numbered_lines` makes bodies of, in each micro-batch."""
-    reader = spark.readStream.option("maxFilesPerTrigger", max_files)
+def stream_bodies(spark: SparkSession, path: str, max_files: int | None, lines: bool = False, max_bytes: int | None = None) -> DataFrame:
+    """Files as bodies; with `lines` rows that `numbered_lines` makes bodies of, in each micro-batch.
+
+    A micro-batch has max_files files, or if that is None max_bytes of files (one file at least).
+    """
+    limit = ("maxBytesPerTrigger", max_bytes) if max_files is None else ("maxFilesPerTrigger", max_files)
+    reader = spark.readStream.option(*limit)
     return _lines(reader.option("lineSep", "\n").text(path)) if lines else _named(reader.text(path, wholetext=True))
 
 

@@ -19,7 +19,8 @@ from cinderlog.sources.tables import LogStore
 
 # Batch numbers and row ids of a micro-batch begin with a prefix of its own; what follows counts inside it.
 INSIDE_BITS, PREFIX_BITS = 32, 31
-DEFAULT_FILES = 1000
+#: Bytes of files in a micro-batch, where no number of files is given.
+MICRO_BATCH_BYTES = 256 << 20
 
 
 def _inside(number: Column, position: Column) -> Column:
@@ -58,8 +59,10 @@ class IngestJob:
             self.store.append_logs(good.select("id", "timestamp", "level", "service", "message", "attributes"), epoch, self.stream)
             self.store.append_rollup(build_rollup(good), epoch, self.stream)
             self.store.append_rollup(digest_rollup(good), epoch, self.stream, DIGEST)
-            self.store.write_epoch(rejected(numbered, "batch_id", "source_file"), "rejected", epoch, self.stream)
-            bad = bad_batches(checked).select("source_file", F.col("batch_error").alias("reason"))
+            # Rebalanced like the roll-up: there is a task for every few files read, which would each write a file of its own.
+            bad_rows = rejected(numbered, "batch_id", "source_file").hint("rebalance")
+            self.store.write_epoch(bad_rows, "rejected", epoch, self.stream)
+            bad = bad_batches(checked).select("source_file", F.col("batch_error").alias("reason")).hint("rebalance")
             self.store.write_epoch(bad, "quarantine", epoch, self.stream)
         finally:
             checked.unpersist()
@@ -67,19 +70,20 @@ class IngestJob:
 
 def ingest_stream(
     store: LogStore, landing: str, checkpoint: str, as_of: datetime | None = None,
-    max_files: int = DEFAULT_FILES, interval: str | None = None, lines: bool = False,
+    max_files: int | None = None, interval: str | None = None, lines: bool = False,
 ) -> StreamingQuery:
     """Start ingesting the landing folder; without an interval, stop when it is worked off.
 
-    A file is a batch, or with `lines` each of its lines is one.
+    A file is a batch, or with `lines` each of its lines is one. A micro-batch takes MICRO_BATCH_BYTES of files, or
+    max_files of them: what it costs by itself is paid per bytes, also when files are small.
 
     The time that entries are checked against is the micro-batch's own (or a fixed one). Spark
     keeps it in the checkpoint, so a replayed batch accepts the same entries.
     """
-    if max_files < 1:
+    if max_files is not None and max_files < 1:
         raise ValueError("max_files must be at least 1")
     now: Column = literal_like(as_of, T.TimestampType()) if as_of else F.current_timestamp()
-    bodies = stream_bodies(store.spark, landing, max_files, lines).withColumn("as_of", now)
+    bodies = stream_bodies(store.spark, landing, max_files, lines, MICRO_BATCH_BYTES).withColumn("as_of", now)
     job = IngestJob(store, store.stream_of(checkpoint))
 
     def lines_job(rows: DataFrame, epoch: int) -> None:

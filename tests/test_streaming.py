@@ -13,6 +13,7 @@ from cinderlog.sources.batches import open_batches, read_bodies
 from cinderlog.sources.export import log_rows, write_csv
 from cinderlog.sources.synthetic import as_bodies, synthetic_logs
 from cinderlog.sources.tables import BLOCK_EPOCHS
+from cinderlog.streaming import ingest
 from cinderlog.streaming.ingest import IngestJob, ingest_stream
 from cinderlog.streaming.jobs import alert_stream, alert_tick, run_retention
 
@@ -337,3 +338,16 @@ def test_generated_logs(spark):
     assert NOW - timedelta(days=30) < bounds[0] and bounds[1] <= NOW
     again = synthetic_logs(spark, 7000, NOW).withColumn("attributes", F.to_json("attributes"))
     assert logs.withColumn("attributes", F.to_json("attributes")).exceptAll(again).count() == 0
+
+
+def test_small_files_share_a_micro_batch_up_to_its_bytes(spark, store, tmp_path, monkeypatch):
+    bodies = [json.dumps({"logs": [{"timestamp": "2024-01-15T00:00:00Z", "level": "info" if i % 2 else "loud", "service": "auth", "message": f"m{i}"}]}) for i in range(1100)]
+    land(tmp_path / "landing", bodies)
+    ingest_stream(store, str(tmp_path / "landing"), store.path("checkpoint"), as_of=NOW).awaitTermination()
+    assert store.logs().count() == 550 and {r["epoch"] for r in store.logs().select("epoch").distinct().collect()} == {0}
+    rejects = spark.read.parquet(store.path("rejected"))
+    assert rejects.count() == 550 and len(rejects.inputFiles()) == 1
+    monkeypatch.setattr(ingest, "MICRO_BATCH_BYTES", sum(map(len, bodies)) // 3)
+    ingest_stream(store, str(tmp_path / "landing"), store.path("checkpoint2"), as_of=NOW).awaitTermination()
+    again = store.logs().where("stream = 2")
+    assert again.count() == 550 and again.select("epoch").distinct().count() > 2
